@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cropspark.queries import cohorts, jobs, scans
+from cropspark.queries import cohorts, jobs, ranking, scalars, scans
 from cropspark.queries.domain import Domain
 
-MODULES = [scans, cohorts, jobs]
+MODULES = [scalars, scans, cohorts, jobs, ranking]
 
 
 def registry() -> dict:
