@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cropspark.queries import cohorts, jobs, ranking, scalars, scans
+from cropspark.queries import cohorts, jobs, learned, ranking, scalars, scans, streams
 from cropspark.queries.domain import Domain
 
-MODULES = [scalars, scans, cohorts, jobs, ranking]
+MODULES = [scalars, scans, cohorts, jobs, ranking, streams, learned]
 
 
 def registry() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative jobs read the result again instead of recomputing their inputs."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows below the shared folder and read them back.
+
+    Later steps start from the files, so a lost executor costs a re-read and not a recomputation, and
+    the planner sees real sizes. One pass, where a checkpoint would compute the rows twice.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cropspark-cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
