@@ -21,6 +21,15 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def pick(values: str, start: Column, n: int) -> Column:
+    """n elements from a 0-based start. Reads by position; ``slice`` would unpack the whole long array."""
+    return F.transform(F.sequence(start, start + F.lit(n - 1)), lambda i: F.get(values, i))
+
+
+def span_total(values: str, start: Column, n: int) -> Column:
+    return F.aggregate(F.sequence(start, start + F.lit(n - 1)), F.lit(0.0), lambda acc, i: acc + F.get(values, i))
+
+
 def longest_dry_run(marks: Column) -> Column:
     """Longest run of 'd' in a dry/wet text."""
     return F.array_max(F.transform(F.split(marks, "w"), F.length)).cast("int")
@@ -51,10 +60,7 @@ def _climatology(asof: Column, exclude_own_year: bool, years: int | None) -> Col
         picked, lambda y: F.datediff(F.concat(F.lpad(y.cast("string"), 4, "0"), month_day).try_cast("date"), start)
     )
     usable = F.filter(at, lambda i: (i >= low + F.lit(SHORT_WINDOW_DAYS)) & (i < n))
-    sums = F.transform(
-        usable,
-        lambda i: total(F.slice("rain", i - F.lit(SHORT_WINDOW_DAYS - 1), F.lit(SHORT_WINDOW_DAYS))),
-    )
+    sums = F.transform(usable, lambda i: span_total("rain", i - F.lit(SHORT_WINDOW_DAYS), SHORT_WINDOW_DAYS))
     return F.when(F.size(sums) > 0, total(sums) / F.size(sums))
 
 
@@ -86,19 +92,22 @@ def cut_windows(
 
     def windows(a: Column) -> Column:
         end = index_of(a) + F.lit(shift)
-
-        def cut(values: str, days: int) -> Column:
-            return F.slice(values, end - F.lit(days - 1), F.lit(days))
-
+        long, short = end - F.lit(WINDOW_DAYS), end - F.lit(SHORT_WINDOW_DAYS)
         return F.struct(
             *[a[c].alias(c) for c in carried],
-            cut("heat", WINDOW_DAYS).alias("heat_90"),
-            cut("rain", WINDOW_DAYS).alias("rain_90"),
-            cut("et0", WINDOW_DAYS).alias("et0_90"),
-            cut("radiation", WINDOW_DAYS).alias("radiation_90"),
-            cut("tmax", SHORT_WINDOW_DAYS).alias("tmax_30"),
-            cut("tmin", SHORT_WINDOW_DAYS).alias("tmin_30"),
-            cut("rh", SHORT_WINDOW_DAYS).alias("rh_30"),
+            pick("heat", long, WINDOW_DAYS).alias("heat_90"),
+            pick("rain", long, WINDOW_DAYS).alias("rain_90"),
+            span_total("et0", long, WINDOW_DAYS).alias("et0_sum_90"),
+            span_total("et0", short, SHORT_WINDOW_DAYS).alias("et0_sum_30"),
+            span_total("radiation", long, WINDOW_DAYS).alias("radiation_sum_90"),
+            span_total("tmax", short, SHORT_WINDOW_DAYS).alias("tmax_sum_30"),
+            span_total("tmin", short, SHORT_WINDOW_DAYS).alias("tmin_sum_30"),
+            span_total("rh", short, SHORT_WINDOW_DAYS).alias("rh_sum_30"),
+            F.aggregate(
+                F.sequence(short, end - F.lit(1)),
+                F.lit(0),
+                lambda n, i: n + is_hot(F.get("tmax", i)).cast("int"),
+            ).alias("hot_days_30"),
             F.substring("dry_marks", end - F.lit(WINDOW_DAYS - 1), F.lit(WINDOW_DAYS)).alias("marks_90"),
             _climatology(a[date], exclude_own_year, climatology_years).alias("clim_rain"),
         )
@@ -109,33 +118,25 @@ def cut_windows(
 def window_totals(windows: DataFrame) -> DataFrame:
     """Reduce the cut windows to crop-independent totals."""
     long, short = WINDOW_DAYS, SHORT_WINDOW_DAYS
-    arrays = {"heat_90", "rain_90", "et0_90", "radiation_90", "tmax_30", "tmin_30", "rh_30", "marks_90", "clim_rain"}
-    keep = [c for c in windows.columns if c not in arrays]
+    keep = [c for c in windows.columns if c not in {"heat_90", "rain_90", "marks_90", "clim_rain"}]
     with_onset = windows.withColumn("onset", season_onset(F.col("rain_90"), F.col("marks_90")))
-    last = long - short + 1
-    rain_short = total(F.slice("rain_90", last, short))
+    rain_short = total(F.slice("rain_90", long - short + 1, short))
     since = F.when(
         F.col("onset").isNotNull(),
         total(F.slice("heat_90", F.col("onset") + F.lit(1), F.lit(long) - F.col("onset"))),
     ).otherwise(F.lit(0.0))
-    return with_onset.select(
+    reduced = with_onset.select(
         *keep,
         total(F.col("heat_90")).alias("heat_sum_90"),
         since.alias("heat_since_onset"),
         F.coalesce(F.lit(long) - F.col("onset"), F.lit(0)).alias("days_since_onset"),
-        total(F.col("tmax_30")).alias("tmax_sum_30"),
-        total(F.col("tmin_30")).alias("tmin_sum_30"),
-        F.size(F.filter("tmax_30", is_hot)).alias("hot_days_30"),
         rain_short.alias("rain_sum_30"),
         total(F.col("rain_90")).alias("rain_sum_90"),
-        total(F.slice("et0_90", last, short)).alias("et0_sum_30"),
-        total(F.col("et0_90")).alias("et0_sum_90"),
-        longest_dry_run(F.substring("marks_90", last, short)).alias("dry_run_30"),
+        longest_dry_run(F.substring("marks_90", long - short + 1, short)).alias("dry_run_30"),
         longest_dry_run(F.col("marks_90")).alias("dry_run_90"),
-        total(F.col("rh_30")).alias("rh_sum_30"),
-        total(F.col("radiation_90")).alias("radiation_sum_90"),
-        F.coalesce(F.col("clim_rain"), rain_short).alias("clim_rain_30"),
+        "clim_rain",
     )
+    return reduced.withColumn("clim_rain_30", F.coalesce("clim_rain", "rain_sum_30")).drop("clim_rain")
 
 
 def weather_features(crop: Column | None = None) -> list[Column]:

@@ -6,8 +6,11 @@ The arithmetic stays on exact binary fractions or integers, so sums do not depen
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cropspark.functions.spectral import rvi
 from cropspark.sources.sites import sample_sites
@@ -23,8 +26,15 @@ CROP_BY_TYPE = {
 }
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A warehouse table; its schema is read from a footer once per session."""
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _pct(c: str) -> Column:
