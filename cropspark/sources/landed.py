@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, PAYLOAD_VARS, RADAR_KEYS, WEATHER_VARS
@@ -14,9 +14,14 @@ def weather_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WEATHER_PAYLOAD).json(path)
 
 
+def _series(path: str) -> Column:
+    """A missing key reads as an empty series; zipping pads it with NULL."""
+    return F.coalesce(F.col(path), F.array().cast("array<double>"))
+
+
 def daily_from_payload(payloads: DataFrame) -> DataFrame:
     """Parallel arrays of six variables to one row per (site, day). Absent keys stay NULL."""
-    zipped = F.arrays_zip(F.col("daily.time").alias("time"), *[F.col(f"daily.{v}").alias(v) for v in PAYLOAD_VARS])
+    zipped = F.arrays_zip(F.col("daily.time").alias("time"), *[_series(f"daily.{v}").alias(v) for v in PAYLOAD_VARS])
     rows = payloads.select("site_id", F.inline(zipped))
     return rows.select(
         "site_id",
@@ -33,8 +38,8 @@ def hourly_from_payload(payloads: DataFrame) -> DataFrame:
     """A shorter humidity series leaves NULL humidity in its missing tail."""
     zipped = F.arrays_zip(
         F.col("hourly.time").alias("time"),
-        F.col("hourly.temperature_2m").alias("temp"),
-        F.col("hourly.relative_humidity_2m").alias("rh"),
+        _series("hourly.temperature_2m").alias("temp"),
+        _series("hourly.relative_humidity_2m").alias("rh"),
     )
     rows = payloads.select("site_id", F.inline(zipped))
     return rows.select(
