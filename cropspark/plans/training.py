@@ -98,12 +98,13 @@ def build_samples(
     radar: DataFrame,
     sites: DataFrame,
     n_clusters: int,
-    materialise: bool = False,
+    materialise: bool = True,
 ) -> DataFrame:
     """One row per labelled observation: the 29 features, label, forward_z and keys.
 
     The peer reference needs the whole sample set, so it is taken from the canopy rows (one per site
-    and interval) before the weather windows are cut; the long daily series is read once.
+    and interval) before the weather windows are cut; the long daily series is read once. The canopy
+    rows are written once and read by both passes unless ``materialise`` is switched off.
     """
     canopy = canopy_samples(daily, optical, radar, sites, n_clusters)
     if materialise:

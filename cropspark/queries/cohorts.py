@@ -128,7 +128,7 @@ QUERIES = {
         rounded(f"SELECT cluster, {_MU_SIGMA} FROM samples GROUP BY 1", *_MU_SIGMA_COLS),
     ),
     "agg06_win10_join09_prj04_twins": (
-        lambda d: plain(peers.with_twins(d.samples, peers.cluster_stats(d.samples).filter(F.col("cluster") != "EUROPE"), d.n_clusters).select(
+        lambda d: plain(peers.with_twins(d.stored_samples, peers.cluster_stats(d.stored_samples).filter(F.col("cluster") != "EUROPE"), d.n_clusters).select(
             "site_id", "obs_date", *K.MODEL_FEATURES), 5),
         rounded(f"""SELECT s.site_id, CAST(s.obs_date AS VARCHAR) AS obs_date, {', '.join('s.' + c for c in K.MODEL_FEATURES if not c.endswith('_cz'))}, {_TWINS}
                     FROM samples s LEFT JOIN (SELECT cluster, {_MU_SIGMA} FROM samples WHERE cluster <> 'EUROPE' GROUP BY 1) r ON r.cluster = s.cluster""",

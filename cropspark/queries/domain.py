@@ -13,6 +13,7 @@ from cropspark.plans import farmers as farmer_plans
 from cropspark.plans.features import field_features, severity_by_station, site_state
 from cropspark.plans.scoring import assess, hazard_anomaly
 from cropspark.plans.training import build_samples, canopy_samples
+from cropspark.session import cut_lineage
 from cropspark.sources import mapping as M
 
 
@@ -36,7 +37,10 @@ class Domain:
 
     @cached_property
     def canopy(self) -> DataFrame:
-        return canopy_samples(self.daily_weather, self.optical_obs, self.radar_obs, self.sites, self.n_clusters)
+        """Labelled canopy rows, written once: the peer reference and its users both start from the files."""
+        return cut_lineage(
+            canopy_samples(self.daily_weather, self.optical_obs, self.radar_obs, self.sites, self.n_clusters)
+        )
 
     @cached_property
     def canopy_z(self) -> DataFrame:
@@ -46,6 +50,11 @@ class Domain:
     def samples(self) -> DataFrame:
         return build_samples(self.daily_weather, self.optical_obs, self.radar_obs, self.sites, self.n_clusters)
 
+    @cached_property
+    def stored_samples(self) -> DataFrame:
+        """The sample set as files, for jobs that pass over it more than once."""
+        return cut_lineage(self.samples)
+
     @cached_property
     def located_farms(self) -> DataFrame:
         return farmer_plans.located_farms(self.farms, self.farm_sites, self.sites)
