@@ -112,9 +112,9 @@ QUERIES = {
         rounded(f"SELECT cluster, {O.stress('ndvi_z_peer')} AS label, count(*) AS n, min(ndvi_z_peer) AS lowest FROM canopy_z GROUP BY 1, 2", "lowest"),
     ),
     "agg04_peer_reference": (
-        lambda d: plain(peers.peer_stats(d.canopy)),
+        lambda d: plain(peers.peer_stats(d.canopy), 10),
         rounded("SELECT cluster, CAST(m AS INTEGER) AS month, ndvi_mu, ndvi_sigma, rvi_mu, rvi_sigma FROM peer_ref",
-                "ndvi_mu", "ndvi_sigma", "rvi_mu", "rvi_sigma"),
+                "ndvi_mu", "ndvi_sigma", "rvi_mu", "rvi_sigma", digits=10),
     ),
     "join08_fn06_peer_z_lookup": (
         lambda d: plain(_peer_lookup(d)),

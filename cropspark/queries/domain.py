@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, PAYLOAD_VARS, RADAR_KEYS, WEATHER_VARS
+from cropspark.functions.farmer import dominant_crop
 from cropspark.operators.peers import peer_stats, with_peer_z
 from cropspark.plans import farmers as farmer_plans
 from cropspark.plans.features import field_features, severity_by_station, site_state
@@ -67,19 +68,25 @@ class Domain:
         )
 
     @cached_property
-    def fields(self) -> DataFrame:
-        usable, _ = farmer_plans.split_by_coordinates(self.farmers)
-        from cropspark.functions.farmer import dominant_crop
+    def stored_farmers(self) -> DataFrame:
+        """Fields and survey answers both come from the farmer rows, so those are written once."""
+        return cut_lineage(self.farmers)
 
+    @cached_property
+    def fields(self) -> DataFrame:
+        usable, _ = farmer_plans.split_by_coordinates(self.stored_farmers)
         return usable.select(
             F.col("user_id").alias("field_id"), "site_id", "latitude", "longitude", dominant_crop(F.col("crops")).alias("crop")
         )
 
     @cached_property
     def site_state(self) -> DataFrame:
-        return site_state(
-            self.daily_weather, self.optical_obs, self.radar_obs, severity_by_station(self.hourly_weather),
-            self.sites, self.clusters, peer_stats(self.canopy), self.n_clusters,
+        """One row per site, written once for all the fields that share it."""
+        return cut_lineage(
+            site_state(
+                self.daily_weather, self.optical_obs, self.radar_obs, severity_by_station(self.hourly_weather),
+                self.sites, self.clusters, peer_stats(self.canopy), self.n_clusters,
+            )
         )
 
     @cached_property
@@ -88,7 +95,7 @@ class Domain:
 
     @cached_property
     def field_survey(self) -> DataFrame:
-        return self.farmers.select(
+        return self.stored_farmers.select(
             F.col("user_id").alias("field_id"), "farm_size", *farmer_plans.SURVEY_COLUMNS, "crop_diversity_score"
         )
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cropspark.constants import FRESH_HOURS, KEEP_DAYS, LABEL_HORIZON_DAYS, OUTCOME_TYPES, YIELD_BOUNDS
 from cropspark.functions.numeric import finite_or_null
-from cropspark.operators.lookup import interval_join, latest_by
+from cropspark.operators.lookup import CALENDAR_DAYS, interval_join, join_reference, latest_by
 from cropspark.schemas import STORE_TABLES
 from cropspark.session import cut_lineage
 
@@ -79,7 +79,7 @@ def write_features(batch: DataFrame, root: str) -> None:
     spark = batch.sparkSession
     stored = read(spark, root, "field_features")
     days = batch.select(F.to_date("computed_at").alias("day")).distinct()
-    same_days = stored.join(F.broadcast(days), "day", "left_semi")
+    same_days = join_reference(stored, days, ["day"], CALENDAR_DAYS, "left_semi")
     fresh = new_rows(same_days, batch, ["field_id", "computed_at"], ["latitude", "longitude"])
     append(clean(fresh), root, "field_features")
 
