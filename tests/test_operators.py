@@ -275,3 +275,44 @@ def test_latest_by_prefers_dated_rows(spark):
     df = spark.createDataFrame(rows, "k long, id long, created_at timestamp_ntz")
     got = {r.k: r.id for r in lookup.latest_by(df, ["k"], ["created_at", "id"], ["id"]).collect()}
     assert got == {1: 12, 2: 6}
+
+
+def test_interval_join_with_a_busy_field(spark):
+    rnd = random.Random(8)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(24 * 120))
+    p = [(i, 0 if i % 3 else rnd.randrange(5), at()) for i in range(120)]
+    o = [(1000 + i, 0 if i % 3 else rnd.randrange(5), at()) for i in range(120)]
+    o.append((2000, p[0][1], p[0][2] + dt.timedelta(days=30)))
+    left = spark.createDataFrame(p, "id long, field_id long, predicted_at timestamp_ntz")
+    right = spark.createDataFrame(o, "oid long, field_id long, observed_at timestamp_ntz")
+    got = sorted((r.id, r.oid) for r in lookup.interval_join(left, right, "field_id", "predicted_at", "observed_at", 30).collect())
+    want = sorted((i, j) for i, f, a in p for j, g, b in o if f == g and a <= b <= a + dt.timedelta(days=30))
+    assert got == want and (0, 2000) in got
+
+
+def test_a_hot_site_is_bounded_by_its_calendar(spark):
+    """A site with most of the raw readings brings one row per day into its window."""
+    from cropspark.sources.mapping import daily_weather
+
+    n = 6000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 50).cast("long").alias("l_suppkey"),
+        F.date_add(F.lit("1995-01-02").cast("date"), (F.col("id") % 97).cast("int")).cast("timestamp_ntz").alias("l_shipdate"),
+        F.lit(20.0).alias("l_quantity"), F.lit(30000.0).alias("l_extendedprice"), F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax"))
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="cropspark-test-")
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    daily = daily_weather(spark, folder)
+    assert daily.filter("site_id = 1").count() == 97
+    series = {r.site_id: r.n_days for r in calendar.site_series(daily).select("site_id", "n_days").collect()}
+    assert series[1] == 97
+
+
+def test_reference_join_beyond_the_bound_is_not_broadcast(spark):
+    big = spark.range(10).select(F.col("id").alias("k"))
+    ref = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plan = lambda bound: lookup.join_reference(big, ref, ["k"], bound)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in plan(10) or "broadcast" in plan(10)
+    assert "broadcast" not in plan(lookup.MAX_BROADCAST_ROWS + 1)
+    assert lookup.join_reference(big, ref, ["k"], lookup.MAX_BROADCAST_ROWS + 1).count() == 10
