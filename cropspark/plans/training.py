@@ -70,10 +70,22 @@ def label_observations(obs: DataFrame, n_clusters: int) -> DataFrame:
 
 
 def canopy_samples(
-    daily: DataFrame, optical: DataFrame, radar: DataFrame, sites: DataFrame, n_clusters: int
+    daily: DataFrame,
+    optical: DataFrame,
+    radar: DataFrame,
+    sites: DataFrame,
+    n_clusters: int,
+    materialise: bool = True,
 ) -> DataFrame:
-    """Labelled observations with a full look-back and their canopy state, before any weather window."""
-    labelled = label_observations(usable_observations(daily, optical, sites), n_clusters)
+    """Labelled observations with a full look-back and their canopy state, before any weather window.
+
+    The usable observations feed the cohort totals, the own-value groups and the labelled rows; they are
+    written once so that the raw tables behind them are scanned once.
+    """
+    usable = usable_observations(daily, optical, sites)
+    if materialise:
+        usable = cut_lineage(usable)
+    labelled = label_observations(usable, n_clusters)
     in_reach = (F.datediff("sensing_date", "start_date") >= F.lit(WINDOW_DAYS)) & (
         F.col("sensing_date") <= F.col("end_date")
     )
@@ -106,7 +118,7 @@ def build_samples(
     and interval) before the weather windows are cut; the long daily series is read once. The canopy
     rows are written once and read by both passes unless ``materialise`` is switched off.
     """
-    canopy = canopy_samples(daily, optical, radar, sites, n_clusters)
+    canopy = canopy_samples(daily, optical, radar, sites, n_clusters, materialise)
     if materialise:
         canopy = cut_lineage(canopy)
     asofs = with_peer_z(canopy, peer_stats(canopy), n_clusters)

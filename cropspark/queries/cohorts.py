@@ -13,6 +13,7 @@ from cropspark.plans.evaluation import site_climatology
 from cropspark.queries import oracle as O
 from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import rounded
+from cropspark.session import cut_lineage
 
 
 def _asofs(d):
@@ -24,7 +25,7 @@ def _windows(d):
 
 
 def _coverage_rows(d):
-    return TP.usable_observations(d.daily_weather, d.optical_obs, d.sites)
+    return cut_lineage(TP.usable_observations(d.daily_weather, d.optical_obs, d.sites))
 
 
 def _unequal_weather(d):
