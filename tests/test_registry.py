@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cropspark import queries as registered
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,12 +22,12 @@ SAMPLE = [
 
 
 def test_every_query_but_the_fitted_ones_has_an_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == LEARNED
+    assert set(registered.queries()) - set(registered.oracle_sql()) == LEARNED
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_names_carry_inventory_ids():
-    assert all(re.match(r"(src|fn|win|flt|join|agg|prj|job|top|ml|str|set)\d\d_", n) for n in entry.queries())
+    assert all(re.match(r"(src|fn|win|flt|join|agg|prj|job|top|ml|str|set)\d\d_", n) for n in registered.queries())
 
 
 def rows(items):
