@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, exact, quality, secrets
+from cropspark.llm import common, exact, packing, quality, secrets, toxicity
 from cropspark.llm.common import table
 
 
@@ -19,6 +19,24 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = common.fold(F.col("doc_id"), 5) == 0
+    scored = toxicity.score(docs, toxicity.train(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def public_encoder():
+    """The encoder of the packing query, made in each task from the installed tokenizer file."""
+    import public_tokenizers
+
+    return packing.tokenizer_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_encoder))
+
+
 def op7_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact.classify(spark, f"{sf_dir}/documents.parquet")
     return rows.select(
@@ -46,6 +64,8 @@ def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_compression_quality": (op2_compression_quality, None),
+    "op3_noisy_channel_toxicity": (op3_noisy_channel_toxicity, None),
+    "op5_differencing_packing": (op5_differencing_packing, None),
     "op7_streaming_exact_dedup": (op7_streaming_exact_dedup, OP7_SQL),
     "op9_markov_secrets": (op9_markov_secrets, None),
 }
