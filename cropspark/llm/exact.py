@@ -1,23 +1,26 @@
 """Exact deduplication as a stateful stream, in DataFrame operations only.
 
-The table's files are a stream. Keyed state on disk (RocksDB, checkpointed to the shared folder) holds, without expiry, one
-entry for each digest of the normalised text: how many rows had it, and the stable identifier and content locator (file and
-row) of the row that stays. Partial aggregates run before the shuffle, so a text that a third of all rows share arrives as one
-entry from each task. The state outlives the run: a later run with the same state folder takes up new files only.
+Digest, stable identifier and content locator (file and row) of each row are appended to a narrow arrivals table, which is read
+as a stream. Keyed state on disk (RocksDB, checkpointed to the shared folder) holds, without expiry, one entry for each digest
+of the normalised text: how many rows had it, and identifier and locator of the row that stays. Partial aggregates run before
+the shuffle, so a text that a third of all rows share arrives as one entry from each task. The state outlives the run: with the
+same arrivals and state folders, a later run takes up new rows only.
 
-The digest decides nothing alone. Each row whose digest was hit is compared in full with the text at the entry's locator; rows
-that differ from it (a digest collision) are grouped by their whole normalised text instead.
+The digest decides nothing alone. For every digest that was hit, the whole normalised texts of its rows are fetched by locator
+and compared byte by byte; equal ones collapse in each task before they are shuffled. If different texts share a digest, the
+rows of that digest are grouped by their whole text instead.
 
 Null texts count as empty and are equal to each other. The row with the largest id stays; a null id is smaller than any other;
 among rows with the same id the one with the largest locator stays. Exactly one row of a group stays, also if rows repeat in
-full. An empty table gives an empty result. Columns besides id and text are not read, whatever their names.
+full. An empty table gives an empty result. Columns besides id and text pass unread, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropspark.llm import common
@@ -29,69 +32,89 @@ STATE_OPTIONS = {
 }
 
 
-def _normalised(text: str):
-    return common.ascii_lower(F.coalesce(F.col(text), F.lit("")))
+def sha256(body: Column) -> Column:
+    return F.sha2(body.cast("binary"), 256)
 
 
-def _keyed(rows: DataFrame, id: str, text: str) -> DataFrame:
-    """Digest, identifier and locator of each row of a file-based table."""
-    return rows.select(
-        F.sha2(_normalised(text).cast("binary"), 256).alias("digest"),
-        F.struct(F.col(id).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("entry"),
-    )
+def _located(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """Entry (identifier and locator) and normalised text of each row of a file-based table."""
+    entry = F.struct(F.col(id).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.select(entry.alias("entry"), common.ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
 
 
-def run_state(spark: SparkSession, path: str, state: str, id: str = "doc_id", text: str = "text") -> None:
-    """Take all files below `path` that the state has not seen into the keyed state at `state`."""
+def _session(spark: SparkSession) -> SparkSession:
     session = spark.newSession()
     for name, value in STATE_OPTIONS.items():
         session.conf.set(name, value)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = spark.read.parquet(path).select(id, text).schema
-    # as a pattern the path may name one file or a folder; a plain path of a stream must name a folder
-    entries = _keyed(session.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"), id, text)
-    seen = entries.groupBy("digest").agg(F.count("*").alias("n"), F.max("entry").alias("keep"))
-    query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
+    return session
+
+
+def take_up(spark: SparkSession, arrivals: str, state: str) -> None:
+    """Take the rows of the arrivals table that the state has not seen into the keyed state."""
+    session = _session(spark)
+    seen = session.readStream.schema(spark.read.parquet(arrivals).schema).parquet(arrivals)
+    entries = seen.groupBy("digest").agg(F.count("*").alias("n"), F.max("entry").alias("keep"))
+    query = entries.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """(digest, n, keep) of every entry of the keyed state."""
-    session = spark.newSession()
-    for name, value in STATE_OPTIONS.items():
-        session.conf.set(name, value)
-    rows = session.read.format("statestore").load(state)
+    """(digest, n, keep) of every entry of the keyed state, as a written table."""
+    rows = _session(spark).read.format("statestore").load(state)
     return common.written(rows.select(F.col("key.digest").alias("digest"), "value.*").toDF("digest", "n", "keep"), "exact-state")
 
 
-def classify(spark: SparkSession, path: str, id: str = "doc_id", text: str = "text", state: str | None = None) -> DataFrame:
-    """One row for each row of the table at `path`: entry (id, file, row), digest, keep (the entry that stays), n (group size)."""
-    state = state or f"{common.new_folder(spark, 'exact')}/state-{uuid.uuid4().hex}"
-    run_state(spark, path, state, id, text)
-    entries = read_state(spark, state)
-    rows = spark.read.parquet(path)
-    placed = _keyed(rows, id, text).join(entries, "digest")
-    differing = _differing(rows, entries, id, text)
-    by_text = differing.groupBy("digest", "body").agg(F.count("*").alias("own_n"), F.max("entry").alias("own_keep"))
-    moved = differing.join(by_text, ["digest", "body"]).select("digest", "entry", "own_n", "own_keep")
-    lost = differing.groupBy("digest").agg(F.count("*").alias("lost"))
-    out = placed.join(moved, ["digest", "entry"], "left").join(lost, "digest", "left")
-    return out.select(
-        "entry",
-        "digest",
-        F.coalesce("own_keep", "keep").alias("keep"),
-        F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"),
-    )
-
-
-def _differing(rows: DataFrame, entries: DataFrame, id: str, text: str) -> DataFrame:
-    """Rows of a hit digest whose whole normalised text is not the text at the entry's locator; none unless digests collide."""
-    hits = entries.where("n > 1")
-    located = rows.select(
-        F.sha2(_normalised(text).cast("binary"), 256).alias("digest"),
-        F.struct(F.col(id).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("entry"),
-        _normalised(text).alias("body"),
-    )
-    members = located.join(hits.select("digest", "keep"), "digest")
-    kept = members.where(F.col("entry") == F.col("keep")).select("digest", F.col("body").alias("kept_body"))
-    return members.join(kept, "digest").where("body != kept_body").select("digest", "entry", "body")
+def file_based(docs: DataFrame) -> DataFrame:
+    """The table itself if its rows carry a file and a row number, else a written copy of it."""
+    try:
+        if "_metadata" not in docs.columns:
+            docs.select("_metadata.file_path", "_metadata.row_index")
+            return docs
+    except AnalysisException:
+        pass
+    clear = docs.withColumnRenamed("_metadata", "__own_metadata") if "_metadata" in docs.columns else docs
+    return common.written(clear, "exact-rows")
+
+
+def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row for each row of `docs` (see `file_based`): entry (id, file, row), digest, keep (the entry that stays), n (group size)."""
+    spark = docs.sparkSession
+    rows = _located(docs, id, text)
+    folder = common.new_folder(spark, "exact")
+    arrivals = f"{folder}/arrivals"
+    rows.select(digest(F.col("body")).alias("digest"), "entry").write.mode("append").parquet(arrivals)
+    keyed = spark.read.parquet(arrivals)
+    if keyed.isEmpty():
+        return keyed.select("entry", "digest", F.col("entry").alias("keep"), F.lit(1).cast("long").alias("n"))
+    take_up(spark, arrivals, f"{folder}/state")
+    placed = keyed.join(read_state(spark, f"{folder}/state"), "digest").select("entry", "digest", "keep", "n")
+
+    hits = placed.where("n > 1")
+    entry_key = F.struct("entry.file", "entry.row")
+    fetched = common.in_marked_buckets(rows, entry_key, hits, entry_key).select(digest(F.col("body")).alias("digest"), "body", "entry")
+    unequal = fetched.select("digest", "body").distinct().groupBy("digest").count().where("count > 1").select("digest")
+    unequal = common.written(unequal, "exact-unequal")
+    if unequal.isEmpty():
+        return placed
+    apart = fetched.join(unequal, "digest", "left_semi")
+    by_text = apart.groupBy("digest", "body").agg(F.max("entry").alias("keep"), F.count("*").alias("n"))
+    regrouped = apart.join(by_text, ["digest", "body"]).select("entry", "digest", "keep", "n")
+    return placed.join(unequal, "digest", "left_anti").select("entry", "digest", "keep", "n").unionByName(regrouped)
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with all its columns.
+
+    Only rows whose hash bucket holds a dropped row go through the join; the others pass without a shuffle.
+    """
+    docs = file_based(docs)
+    dropped = classify(docs, id, text).where(F.col("entry") != F.col("keep")).select("entry.file", "entry.row")
+    dropped = common.written(dropped, "exact-dropped").toDF("__file", "__row")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    key = F.struct("__file", "__row")
+    outside = common.in_marked_buckets(rows, key, dropped, key, inside=False)
+    inside = common.in_marked_buckets(rows, key, dropped, key).join(dropped, ["__file", "__row"], "left_anti")
+    out = outside.select("__doc.*").unionByName(inside.select("__doc.*"))
+    return out.withColumnRenamed("__own_metadata", "_metadata")
