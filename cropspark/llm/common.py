@@ -100,6 +100,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+BUCKETS = 1 << 20
+
+
+def in_marked_buckets(rows: DataFrame, row_key: Column, keys: DataFrame, key: Column, inside: bool = True) -> DataFrame:
+    """Rows whose key's hash bucket holds one of the keys (or holds none of them).
+
+    A first sieve before a join by key: at most BUCKETS numbers are broadcast, whatever the tables hold. Rows inside are not
+    yet those with a key of their own, so the join itself still follows; rows outside surely have none.
+    """
+    marked = keys.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("__bucket")).distinct()
+    own = rows.withColumn("__bucket", F.pmod(F.xxhash64(row_key), F.lit(BUCKETS)))
+    return own.join(F.broadcast(marked), "__bucket", "left_semi" if inside else "left_anti").drop("__bucket")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that they need no installed copy of it."""
     context = spark.sparkContext

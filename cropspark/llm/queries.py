@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, exact, packing, quality, secrets, toxicity
+from cropspark.llm import common, decontaminate, exact, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
 from cropspark.llm.common import table
 
 
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = common.fold(F.col("doc_id"), 4) == 2
@@ -26,6 +30,10 @@ def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.digest(pages.extract(table(spark, sf_dir, "pages")))
+
+
 def public_encoder():
     """The encoder of the packing query, made in each task from the installed tokenizer file."""
     import public_tokenizers
@@ -37,8 +45,12 @@ def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_encoder))
 
 
+def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.group(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact.classify(spark, f"{sf_dir}/documents.parquet")
+    rows = exact.classify(table(spark, sf_dir, "documents"))
     return rows.select(
         F.col("entry.id").alias("doc_id"),
         F.col("keep.id").alias("keep_id"),
@@ -59,15 +71,40 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
+
+
+def op10_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of each document, with the number of times each is stated and the sentences that state it."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_matches"), F.sum("sentences").alias("n_sentences"))
+
+
+def op10_sql() -> str:
+    """The notices of one sentence, which are the ones in the tables, as SQL: pieces of lines, normalised, joined with the rules."""
+    single = {rule[0]: licence for licence, rule in licenses.RULES if len(rule) == 1}
+    values = ", ".join(f"('{form}', '{single[name]}')" for name, forms in licenses.SENTENCES.items() if name in single for form in forms)
+    return f"""
+WITH known(sentence, license) AS (VALUES {values}),
+pieces AS (
+    SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?;:])(\\s)', '\\1\\n', 'g'), '\\n')) AS piece FROM documents
+), plain AS (
+    SELECT doc_id, trim(regexp_replace(regexp_replace(lower(piece), '[^a-z0-9.-]+', ' ', 'g'), '[. -]*$', '')) AS sentence FROM pieces
+)
+SELECT doc_id, license, count(*) AS n_matches, count(*) AS n_sentences FROM plain JOIN known USING (sentence) GROUP BY ALL
+"""
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_cgk_decontamination": (op1_cgk_decontamination, None),
     "op2_compression_quality": (op2_compression_quality, None),
     "op3_noisy_channel_toxicity": (op3_noisy_channel_toxicity, None),
+    "op4_page_differencing": (op4_page_differencing, None),
     "op5_differencing_packing": (op5_differencing_packing, None),
+    "op6_count_vector_join": (op6_count_vector_join, None),
     "op7_streaming_exact_dedup": (op7_streaming_exact_dedup, OP7_SQL),
     "op9_markov_secrets": (op9_markov_secrets, None),
+    "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
 }
 
 
