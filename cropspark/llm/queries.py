@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, decontaminate, exact, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
+from cropspark.llm import common, decontaminate, exact, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
 from cropspark.llm.common import table
 
 
@@ -69,6 +69,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.fold(F.col("doc_id"), 5) == 1
+    scorer, counts = language_model.train(docs, ~held_out)
+    scored = language_model.score(docs, scorer, counts)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs)))
@@ -103,6 +113,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_differencing_packing": (op5_differencing_packing, None),
     "op6_count_vector_join": (op6_count_vector_join, None),
     "op7_streaming_exact_dedup": (op7_streaming_exact_dedup, OP7_SQL),
+    "op8_log_bilinear": (op8_log_bilinear, None),
     "op9_markov_secrets": (op9_markov_secrets, None),
     "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
 }
