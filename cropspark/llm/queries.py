@@ -105,6 +105,12 @@ SELECT doc_id, license, count(*) AS n_matches, count(*) AS n_sentences FROM plai
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_cgk_decontamination": (op1_cgk_decontamination, None),
     "op2_compression_quality": (op2_compression_quality, None),
@@ -116,6 +122,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_log_bilinear": (op8_log_bilinear, None),
     "op9_markov_secrets": (op9_markov_secrets, None),
     "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
+    "pipeline": (pipeline, None),
 }
 
 

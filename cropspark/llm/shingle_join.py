@@ -302,3 +302,24 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     named = roots.join(least, "root").select("cls", "component_id")
     out = documents.join(named, "cls", "left")
     return out.select(id, F.col("n").alias("n_shingles"), F.coalesce("component_id", id).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns; rows without words all stay.
+
+    A null id comes after all others; rows with equal ids are told apart by a row number of their own. Only rows whose hash
+    bucket holds a dropped row go through the last join.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = common.written(packed.withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
+    documents, classes, links = join(rows, width, percent, "text", "row")
+    roots = components(links).toDF("cls", "root")
+    placed = documents.where("cls is not null").join(roots, "cls", "left").select("row", F.coalesce("root", "cls").alias("root"))
+    named = placed.join(rows.select("row", "id"), "row").select("row", "root", F.struct(F.col("id").isNull(), "id", "row").alias("rank"))
+    first = named.groupBy("root").agg(F.min("rank").alias("first"))
+    dropped = common.written(named.join(first, "root").where("rank != first").select("row"), "shingle-dropped")
+    key = F.col("row")
+    outside = common.in_marked_buckets(rows, key, dropped, key, inside=False)
+    inside = common.in_marked_buckets(rows, key, dropped, key).join(dropped, "row", "left_anti")
+    return outside.select("doc.*").unionByName(inside.select("doc.*"))
