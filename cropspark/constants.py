@@ -44,6 +44,7 @@ SEVERITY_BANDS = [
 ]
 WET_RH = 90
 SPRAY_THRESHOLD = 18
+SEVERITY_DAYS = 15
 
 # --- fixed values: windows, horizons, tolerances ---
 WINDOW_DAYS = 90

@@ -16,9 +16,10 @@ from cropspark.functions.agronomy import growing_degree_days
 def fill_gaps(daily: DataFrame, variables: list[str] = WEATHER_VARS) -> DataFrame:
     """Carry values forward, back-fill a leading gap, leave a wholly absent variable NULL.
 
-    Adds ``days``: the number of calendar days until the next observed row (1 for the last).
+    Adds ``days``: the number of calendar days until the next observed row (1 for the last). Of several rows of one site and day
+    the last in order of the variables stays, and takes from the others what it lacks.
     """
-    ordered = Window.partitionBy("site_id").orderBy("date")
+    ordered = Window.partitionBy("site_id").orderBy("date", *variables)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = [
@@ -26,7 +27,7 @@ def fill_gaps(daily: DataFrame, variables: list[str] = WEATHER_VARS) -> DataFram
         for v in variables
     ]
     days = F.coalesce(F.datediff(F.lead("date").over(ordered), F.col("date")), F.lit(1)).alias("days")
-    return daily.select("site_id", "date", *filled, days)
+    return daily.select("site_id", "date", *filled, days).filter(F.col("days") > 0)
 
 
 def dense_days(filled: DataFrame) -> DataFrame:

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 500_000
-MAX_INLINE_ZONES = 256
-CALENDAR_DAYS = 36_525
 
+def join_reference(df: DataFrame, ref: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a reference table that has one row per key.
 
-def join_reference(df: DataFrame, ref: DataFrame, on: list[str], bound_rows: int, how: str = "left") -> DataFrame:
-    """Join a reference table that holds at most ``bound_rows`` rows.
-
-    Inside the limit it is broadcast, so the large side keeps its partitioning. Beyond it the join is
-    left to the planner: shuffled by key, with skewed partitions split at run time.
+    Without a hint: the planner broadcasts a side whose measured size is small enough, and otherwise shuffles by key and splits
+    skewed partitions at run time.
     """
-    side = F.broadcast(ref) if bound_rows <= MAX_BROADCAST_ROWS else ref
-    return df.join(side, on, how)
+    return df.join(ref, on, how)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -62,7 +57,8 @@ def nearest_date_join(
             F.sequence(bin_of(day(right_date) - F.lit(tolerance_days)), bin_of(day(right_date) + F.lit(tolerance_days)))
         ).alias("_rb"),
     )
-    binned = left.withColumn("_lb", bin_of(day(left_date)))
+    rest = [c for c in left.columns if c not in (key, left_date)]
+    binned = left.select(key, left_date, F.struct(*rest).alias("_l") if rest else F.lit(None).alias("_l"), bin_of(day(left_date)).alias("_lb"))
     gap = F.abs(F.datediff(F.col(f"_r.{right_date}"), F.col(left_date)))
     joined = binned.join(
         reach,
@@ -70,31 +66,16 @@ def nearest_date_join(
         "left",
     )
     closest = F.min_by("_r", F.when(F.col("_r").isNotNull(), F.struct(gap, F.col(f"_r.{right_date}"))))
-    return joined.groupBy(*left.columns, "_lb").agg(closest.alias(match)).drop("_lb")
-
-
-def zone_of(lat: Column, lon: Column, zones: list[tuple]) -> Column:
-    """First closed box (name, lat0, lat1, lon0, lon1) that holds the point; NULL outside all of them."""
-    out = F.lit(None).cast("string")
-    for name, lat0, lat1, lon0, lon1 in reversed(zones):
-        out = F.when(lat.between(lat0, lat1) & lon.between(lon0, lon1), F.lit(name)).otherwise(out)
-    return out
+    found = joined.groupBy(key, left_date, "_lb").agg(F.any_value("_l").alias("_l"), closest.alias(match))
+    return found.select(*[F.col(c) if c in (key, left_date) else F.col(f"_l.{c}").alias(c) for c in left.columns], match)
 
 
 def assign_zone(df: DataFrame, clusters: DataFrame, lat: str = "latitude", lon: str = "longitude", out: str = "cluster") -> DataFrame:
-    """Point-in-box lookup against a table of zones, the lowest ordinal winning.
+    """Point-in-box lookup against a table of zones, the lowest ordinal winning; NULL outside all of them.
 
-    A handful of zones becomes a chain of comparisons without any join. A larger catalogue is cut into
-    one-degree cells, which turns the box test into an equi join on the cell.
+    Zones are cut into one-degree cells, which turns the box test into an equi join on the cell.
     """
-    rows = clusters.orderBy("cluster_idx").limit(MAX_INLINE_ZONES + 1).collect()
-    if len(rows) <= MAX_INLINE_ZONES:
-        zones = [(r["cluster"], r["lat0"], r["lat1"], r["lon0"], r["lon1"]) for r in rows]
-        return df.withColumn(out, zone_of(F.col(lat), F.col(lon), zones))
-    return assign_zone_by_cell(df, clusters, lat, lon, out)
-
 
-def assign_zone_by_cell(df: DataFrame, clusters: DataFrame, lat: str, lon: str, out: str) -> DataFrame:
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(low)).cast("int"), F.floor(F.col(high)).cast("int")))
 

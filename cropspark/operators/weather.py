@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropspark.constants import (
     FOLLOW_DAYS,
     KILLING_DRY_DAYS,
+    SEVERITY_DAYS,
     SHORT_WINDOW_DAYS,
     WET_SPELL_DAYS,
     WET_SPELL_MM,
@@ -166,43 +169,33 @@ def weather_features(crop: Column | None = None) -> list[Column]:
     ]
 
 
-def severity_totals(hourly: DataFrame) -> DataFrame:
-    """Severity total and spray flag per site from hourly weather."""
+def severity_totals(hourly: DataFrame, as_of: dt.date) -> DataFrame:
+    """Severity total and spray flag per site over the last SEVERITY_DAYS calendar days up to ``as_of``."""
     from cropspark.functions.agronomy import daily_severity, spray_due
 
-    days = leaf_wetness(hourly)
+    first = F.lit(as_of - dt.timedelta(days=SEVERITY_DAYS - 1)).cast("timestamp_ntz")
+    after = F.lit(as_of + dt.timedelta(days=1)).cast("timestamp_ntz")
+    days = leaf_wetness(hourly.filter((F.col("ts") >= first) & (F.col("ts") < after)))
     return days.groupBy("site_id").agg(
         F.sum(daily_severity(F.col("wet_temp"), F.col("wet_hours"))).cast("long").alias("dsv_total")
     ).withColumn("spray_due", spray_due(F.col("dsv_total")))
 
 
 def leaf_wetness(hourly: DataFrame) -> DataFrame:
-    """Complete 24-hour blocks from each series' start: mean temperature of the wet hours, wet hours.
+    """Calendar days of hourly readings: mean temperature of the wet hours, wet hours.
 
-    A block without wet hours reports its plain mean and 0 hours; a block without any temperature is
-    dropped, and so is the incomplete block at the end. Partial aggregation reduces a site to one row
-    per block before the shuffle, and the series bounds come from one small aggregate per site.
+    A day without wet hours reports its plain mean and 0 hours; a day without any temperature is dropped, and so is a site's
+    last day if its readings end before the last hour. The raw rows are only aggregated, with partial sums before the shuffle;
+    the last day is judged on the day rows.
     """
     from cropspark.constants import WET_RH
 
-    bounds = hourly.groupBy("site_id").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-    hours = _hours_between("_first", "ts")
-    wet = F.col("rh") >= F.lit(WET_RH)
-    blocks = (
-        hourly.join(bounds, "site_id")
-        .withColumn("block", F.floor(hours / F.lit(24)).cast("int"))
-        .filter((F.col("block") + 1) * 24 <= _hours_between("_first", "_last") + 1)
-    )
-    wet_temp = F.when(wet, F.col("temp"))
-    return (
-        blocks.groupBy("site_id", "block")
-        .agg(
-            F.count(wet_temp).cast("int").alias("wet_hours"),
-            F.coalesce(F.avg(wet_temp), F.avg("temp")).alias("wet_temp"),
-        )
-        .filter(F.col("wet_temp").isNotNull())
+    wet_temp = F.when(F.col("rh") >= F.lit(WET_RH), F.col("temp"))
+    days = hourly.groupBy("site_id", F.to_date("ts").alias("day")).agg(
+        F.count(wet_temp).cast("int").alias("wet_hours"),
+        F.coalesce(F.avg(wet_temp), F.avg("temp")).alias("wet_temp"),
+        F.max(F.hour("ts")).alias("_end"),
     )
-
-
-def _hours_between(low: str, high: str) -> Column:
-    return F.timestamp_diff("HOUR", F.col(low), F.col(high))
+    last = F.max("day").over(Window.partitionBy("site_id"))
+    complete = days.withColumn("_last", last).filter((F.col("day") < F.col("_last")) | (F.col("_end") == F.lit(23)))
+    return complete.filter(F.col("wet_temp").isNotNull()).select("site_id", "day", "wet_hours", "wet_temp")

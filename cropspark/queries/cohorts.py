@@ -8,6 +8,7 @@ from cropspark import constants as K
 from cropspark.functions.labels import stress_class
 from cropspark.functions.numeric import finite
 from cropspark.operators import calendar, canopy, lookup, peers, weather
+from cropspark.plans import models as MO
 from cropspark.plans import training as TP
 from cropspark.plans.evaluation import site_climatology
 from cropspark.queries import oracle as O
@@ -24,6 +25,11 @@ def _windows(d):
     return weather.cut_windows(calendar.site_series(d.daily_weather), _asofs(d), "obs_date")
 
 
+def _without_radar(d):
+    """The 35 model columns of the radar ablation, from the stored samples with their twins."""
+    return MO.model_frame(d.stored_samples, d.n_clusters).select("site_id", "obs_date", *MO.variant_features(no_radar=True))
+
+
 def _coverage_rows(d):
     return cut_lineage(TP.usable_observations(d.daily_weather, d.optical_obs, d.sites))
 
@@ -36,7 +42,9 @@ def _unequal_weather(d):
 
 _MU_SIGMA = ", ".join(f"avg({c}) AS {c}_mu, stddev_samp({c}) AS {c}_sigma" for c in K.CLUSTER_RELATIVE)
 _MU_SIGMA_COLS = [f"{c}_{s}" for c in K.CLUSTER_RELATIVE for s in ("mu", "sigma")]
-_TWINS = ", ".join(O.ref_z(f"s.{c}", f"r.{c}_mu", f"r.{c}_sigma") + f" AS {c}_cz" for c in K.CLUSTER_RELATIVE)
+_TWIN_LIST = [O.ref_z(f"s.{c}", f"r.{c}_mu", f"r.{c}_sigma") + f" AS {c}_cz" for c in K.CLUSTER_RELATIVE]
+_TWINS = ", ".join(_TWIN_LIST)
+_NO_RADAR = MO.variant_features(no_radar=True)
 
 QUERIES = {
     "win05_gap_filled_calendar": (
@@ -129,15 +137,18 @@ QUERIES = {
         rounded(f"SELECT cluster, {_MU_SIGMA} FROM samples GROUP BY 1", *_MU_SIGMA_COLS),
     ),
     "agg06_win10_join09_prj04_twins": (
-        lambda d: plain(peers.with_twins(d.stored_samples, peers.cluster_stats(d.stored_samples).filter(F.col("cluster") != "EUROPE"), d.n_clusters).select(
+        lambda d: plain(peers.with_twins(d.stored_samples, peers.cluster_stats(d.stored_samples), d.n_clusters).select(
             "site_id", "obs_date", *K.MODEL_FEATURES), 5),
         rounded(f"""SELECT s.site_id, CAST(s.obs_date AS VARCHAR) AS obs_date, {', '.join('s.' + c for c in K.MODEL_FEATURES if not c.endswith('_cz'))}, {_TWINS}
-                    FROM samples s LEFT JOIN (SELECT cluster, {_MU_SIGMA} FROM samples WHERE cluster <> 'EUROPE' GROUP BY 1) r ON r.cluster = s.cluster""",
+                    FROM samples s LEFT JOIN (SELECT cluster, {_MU_SIGMA} FROM samples GROUP BY 1) r ON r.cluster = s.cluster""",
                 *[c for c in K.MODEL_FEATURES if c not in ("heat_stress_days", "dry_spell_30", "dry_spell_90", "days_since_onset")], digits=5),
     ),
     "prj05_radar_ablation": (
-        lambda d: plain(d.canopy_z.drop(*K.RADAR_FEATURES).select("site_id", "obs_date", "label", "ndvi", "ndmi", "evi", "vci", "ndvi_z_peer")),
-        rounded("SELECT site_id, CAST(obs_date AS VARCHAR) AS obs_date, label, ndvi, ndmi, evi, vci, ndvi_z_peer FROM canopy_z", "ndvi_z_peer"),
+        lambda d: plain(_without_radar(d), 5),
+        rounded(f"""SELECT s.site_id, CAST(s.obs_date AS VARCHAR) AS obs_date, {', '.join('s.' + c for c in _NO_RADAR if not c.endswith('_cz'))},
+                           {', '.join(t for t in _TWIN_LIST if t.rsplit(' AS ', 1)[1] in _NO_RADAR)}
+                    FROM samples s LEFT JOIN (SELECT cluster, {_MU_SIGMA} FROM samples GROUP BY 1) r ON r.cluster = s.cluster""",
+                *[c for c in _NO_RADAR if c not in ("heat_stress_days", "dry_spell_30", "dry_spell_90", "days_since_onset")], digits=5),
     ),
     "join10_point_in_box": (
         lambda d: plain(lookup.assign_zone(_shifted_sites(d), d.clusters, out="zone")),
@@ -146,17 +157,17 @@ QUERIES = {
                    LEFT JOIN clusters c ON p.latitude BETWEEN c.lat0 AND c.lat1 AND p.longitude BETWEEN c.lon0 AND c.lon1 GROUP BY 1, 2, 3""", "latitude", "longitude"),
     ),
     "join10_point_in_box_by_cell": (
-        lambda d: plain(lookup.assign_zone_by_cell(_shifted_sites(d), d.clusters, "latitude", "longitude", "zone")),
+        lambda d: plain(lookup.assign_zone(_shifted_sites(d), d.clusters, "latitude", "longitude", "zone")),
         rounded("""SELECT p.site_id, p.latitude, p.longitude, min_by(c.cluster, c.cluster_idx) AS zone FROM (
                      SELECT site_id, round_even(latitude, 0) AS latitude, longitude + CASE WHEN cluster = 'ASIA' THEN 1e0 ELSE 0e0 END AS longitude FROM sites) p
                    LEFT JOIN clusters c ON p.latitude BETWEEN c.lat0 AND c.lat1 AND p.longitude BETWEEN c.lon0 AND c.lon1 GROUP BY 1, 2, 3""", "latitude", "longitude"),
     ),
     "agg09_leaf_wetness": (
         lambda d: plain(weather.leaf_wetness(d.hourly_weather)),
-        rounded("SELECT site_id, block, wet_hours, wet_temp FROM wet_days", "wet_temp"),
+        rounded("SELECT site_id, CAST(day AS VARCHAR) AS day, wet_hours, wet_temp FROM wet_days", "wet_temp"),
     ),
     "agg10_fn15_severity_totals": (
-        lambda d: plain(weather.severity_totals(d.hourly_weather)),
+        lambda d: plain(weather.severity_totals(d.hourly_weather, d.last_hourly_day)),
         rounded("SELECT station AS site_id, dsv_total, CAST(dsv_total >= 18 AS INTEGER) AS spray_due FROM dsv_totals"),
     ),
     "agg08_own_baseline": (

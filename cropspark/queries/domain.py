@@ -16,6 +16,7 @@ from cropspark.plans.scoring import assess, hazard_anomaly
 from cropspark.plans.training import build_samples, canopy_samples
 from cropspark.session import cut_lineage
 from cropspark.sources import mapping as M
+from cropspark.streaming.runs import scratch
 
 
 class Domain:
@@ -36,6 +37,11 @@ class Domain:
         """Size of the zone catalogue, the bound of every cluster-keyed reference."""
         return self.clusters.count()
 
+    @cached_property
+    def last_hourly_day(self):
+        """The day up to which hourly readings have arrived."""
+        return self.hourly_weather.agg(F.max(F.to_date("ts"))).first()[0]
+
     @cached_property
     def canopy(self) -> DataFrame:
         """Labelled canopy rows, written once: the peer reference and its users both start from the files."""
@@ -84,7 +90,7 @@ class Domain:
         """One row per site, written once for all the fields that share it."""
         return cut_lineage(
             site_state(
-                self.daily_weather, self.optical_obs, self.radar_obs, severity_by_station(self.hourly_weather),
+                self.daily_weather, self.optical_obs, self.radar_obs, severity_by_station(self.hourly_weather, self.last_hourly_day),
                 self.sites, self.clusters, peer_stats(self.canopy), self.n_clusters,
             )
         )
@@ -103,6 +109,12 @@ class Domain:
     def assessed(self) -> DataFrame:
         return assess(hazard_anomaly(self.field_rows), self.field_survey)
 
+    def landed(self, payloads: DataFrame) -> str:
+        """The payloads as landed JSON files; returns their folder."""
+        path = scratch(self.spark, "landed")
+        payloads.write.json(path)
+        return path
+
     # --- the same tables in the shape in which providers deliver them ---
 
     @cached_property
@@ -117,8 +129,9 @@ class Domain:
 
     @cached_property
     def hourly_payloads(self) -> DataFrame:
+        """One payload for each station and day, so no payload grows with the series."""
         rows = F.sort_array(F.collect_list(F.struct("ts", "temp", "rh")))
-        grouped = self.hourly_weather.groupBy("site_id").agg(rows.alias("r"))
+        grouped = self.hourly_weather.groupBy("site_id", F.to_date("ts").alias("_day")).agg(rows.alias("r"))
         hourly = F.struct(
             F.col("r.ts").cast("array<string>").alias("time"),
             F.col("r.temp").alias("temperature_2m"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
@@ -11,11 +13,15 @@ from cropspark.plans import crop_health as CH
 from cropspark.plans import embeddings as EM
 from cropspark.plans import farmers as FA
 from cropspark.plans import features as FE
+from cropspark.plans import nightly
 from cropspark.plans import scoring as SC
 from cropspark.queries import oracle as O
 from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import rounded
+from cropspark.sources import store
+from cropspark.streaming.runs import scratch
 
+NIGHT = dt.datetime(2001, 7, 30, 12, 0)
 _INT = ("heat_stress_days", "dry_spell_30", "dry_spell_90", "days_since_onset")
 _DOUBLE_FEATURES = [c for c in K.FEATURES if c not in _INT]
 
@@ -65,8 +71,7 @@ def _reports(d):
     from cropspark.plans.training import site_coverage
 
     asofs = site_coverage(d.daily_weather).select("site_id", F.col("end_date").alias("asof"))
-    late = d.optical_obs.filter(F.col("ndvi") > 0.45)
-    return CH.crop_health_report(d.sites, FE.recent_history(late, asofs, 60))
+    return CH.crop_health_report(d.sites, FE.recent_history(d.optical_obs, asofs))
 
 
 def _coldstart(d):
@@ -83,17 +88,21 @@ def _coldstart(d):
 
 
 def _source_choice(d):
-    """Fields with a fresh stored row use it, the others are computed; both keep their source."""
-    from cropspark.sources import store
-
-    now = F.lit("2001-07-30 12:00:00").cast("timestamp_ntz")
-    stored = d.raw("orders").select(F.col("o_custkey").alias("field_id"), F.col("o_orderdate").alias("computed_at"))
-    fresh = store.latest_features(stored, now, ["computed_at"])
-    joined = d.fields.select("field_id", "crop").join(fresh, "field_id", "left")
-    return joined.select(
-        "field_id", "crop",
-        F.when(F.col("computed_at").isNotNull(), F.lit("precomputed")).otherwise(F.lit("live")).alias("feature_source"),
-    )
+    """Rows stored at the order times; fields whose latest one is fresh use it, the others are computed."""
+    root = scratch(d.spark, "store")
+    times = d.raw("orders").groupBy(F.col("o_custkey").alias("field_id")).agg(F.max("o_orderdate").cast("timestamp_ntz").alias("at"))
+    store.append(FE.to_store_rows(d.field_rows.join(times, "field_id"), F.col("at")), root, "field_features")
+    rows = nightly.stored_or_computed(d.fields, d.site_state, root, NIGHT)
+    return plain(rows.select("field_id", "crop", "feature_source", F.col("context.dsv_total").alias("dsv_total"), F.col("features.ndvi").alias("ndvi")))
+
+
+def _nightly(d):
+    """One run on an empty store; the summary and what is stored agree."""
+    root = scratch(d.spark, "store")
+    summary = nightly.nightly(d.fields, d.site_state, root, NIGHT)
+    stored = store.read(d.spark, root, "field_features").agg(F.count(F.lit(1)).alias("stored")).withColumn("one", F.lit(1))
+    rejects = d.spark.read.parquet(f"{root}/rejects").agg(F.count(F.lit(1)).alias("rejects")).withColumn("one", F.lit(1))
+    return summary.withColumn("one", F.lit(1)).join(stored, "one").join(rejects, "one").drop("one")
 
 
 def _embedding_inputs(d):
@@ -221,7 +230,7 @@ QUERIES = {
                                    arg_max(evi, sensing_date) AS evi, count(*) AS observations, min(ndvi) AS low, max(ndvi) AS high, avg(ndvi) AS mean,
                                    stddev_pop(ndvi) AS sd
                             FROM optical o JOIN coverage k ON k.site_id = o.site_id
-                            WHERE ndvi > 0.45 AND k.end_date - sensing_date BETWEEN 0 AND 60 GROUP BY 1)) c ON c.site_id = s.site_id""",
+                            WHERE ndvi IS NOT NULL AND ndwi IS NOT NULL AND evi IS NOT NULL AND k.end_date - sensing_date BETWEEN 0 AND 365 GROUP BY 1)) c ON c.site_id = s.site_id""",
                 "crop_health_score", "crop_health_vigour", "crop_health_moisture", "crop_health_anomaly", "observed_ndvi", "observed_ndwi",
                 "observed_evi", "baseline_ndvi_mean", "baseline_ndvi_std"),
     ),
@@ -268,8 +277,16 @@ QUERIES = {
     "join16_feature_source": (
         lambda d: _source_choice(d),
         rounded("""SELECT f.field_id, f.crop, CASE WHEN s.last BETWEEN TIMESTAMP '2001-07-30 12:00:00' - INTERVAL 48 HOUR AND TIMESTAMP '2001-07-30 12:00:00'
-                   THEN 'precomputed' ELSE 'live' END AS feature_source
-                   FROM fields f LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) s ON s.o_custkey = f.field_id"""),
+                   THEN 'precomputed' ELSE 'live' END AS feature_source, r.dsv_total, r.ndvi
+                   FROM fields f JOIN field_rows r ON r.field_id = f.field_id LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) s ON s.o_custkey = f.field_id""", "ndvi"),
+    ),
+    "job09_nightly_run": (
+        _nightly,
+        rounded("""SELECT count(*) AS fields, count(r.field_id) AS ok, count(*) FILTER (WHERE r.index_source <> 'sentinel-2') AS degraded,
+                          count(*) FILTER (WHERE r.field_id IS NULL) AS failed, 0 AS pruned,
+                          round_even(CASE WHEN count(r.field_id) > 0 THEN count(*) FILTER (WHERE r.index_source <> 'sentinel-2') / count(r.field_id) END, 3) AS degraded_rate,
+                          count(r.field_id) AS stored, count(*) FILTER (WHERE r.field_id IS NULL) AS rejects
+                   FROM fields f LEFT JOIN field_rows r ON r.field_id = f.field_id""", "degraded_rate"),
     ),
     "job07_fn35_coldstart_scoring": (
         lambda d: plain(_coldstart(d)),

@@ -378,15 +378,14 @@ FROM farmers WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 18
 
 # --- scoring -----------------------------------------------------------------------------------
 
-CTES["hour_blocks"] = """
-SELECT h.site_id, date_diff('hour', b.lo, h.ts) // 24 AS block, h.temp, h.rh
-FROM hourly h JOIN (SELECT site_id, min(ts) AS lo, max(ts) AS hi FROM hourly GROUP BY 1) b ON b.site_id = h.site_id
-WHERE (date_diff('hour', b.lo, h.ts) // 24 + 1) * 24 <= date_diff('hour', b.lo, b.hi) + 1"""
+CTES["hour_days"] = """
+SELECT site_id, CAST(ts AS DATE) AS day, hour(ts) AS hr, temp, rh, max(CAST(ts AS DATE)) OVER (PARTITION BY site_id) AS last_day,
+       max(CAST(ts AS DATE)) OVER () AS as_of FROM hourly"""
 
 CTES["wet_days"] = """
-SELECT site_id, CAST(block AS INTEGER) AS block, CAST(count(CASE WHEN rh >= 90 THEN temp END) AS INTEGER) AS wet_hours,
+SELECT site_id, day, CAST(count(CASE WHEN rh >= 90 THEN temp END) AS INTEGER) AS wet_hours, any_value(as_of) AS as_of,
        coalesce(avg(CASE WHEN rh >= 90 THEN temp END), avg(temp)) AS wet_temp
-FROM hour_blocks GROUP BY 1, 2 HAVING count(temp) > 0"""
+FROM hour_days GROUP BY site_id, day, last_day HAVING count(temp) > 0 AND (day < last_day OR max(hr) = 23)"""
 
 
 def dsv(temp: str, hours: str) -> str:
@@ -398,7 +397,7 @@ def dsv(temp: str, hours: str) -> str:
 
 
 CTES["dsv_totals"] = f"""
-SELECT site_id AS station, CAST(sum({dsv('wet_temp', 'wet_hours')}) AS BIGINT) AS dsv_total FROM wet_days GROUP BY 1"""
+SELECT site_id AS station, CAST(sum({dsv('wet_temp', 'wet_hours')}) AS BIGINT) AS dsv_total FROM wet_days WHERE day > as_of - 15 GROUP BY 1"""
 
 CTES["recent_optical"] = """
 SELECT o.*, a.ref_day FROM optical o JOIN asof_score a ON a.site_id = o.site_id

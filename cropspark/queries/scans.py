@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, RADAR_KEYS
 from cropspark.operators.lookup import latest_by
 from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import rounded
+from cropspark.schemas import STORE_TABLES
 from cropspark.sources import landed, store
 from cropspark.sources.sites import sample_sites
+from cropspark.streaming.runs import scratch
 
 NOW = "2001-07-30 12:00:00"
 
@@ -17,6 +22,10 @@ def _now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
+def _statistics(d, payloads, keys):
+    return landed.statistics_payloads(d.spark, d.landed(payloads), keys)
+
+
 def _feature_log(d):
     return d.raw("orders").select(
         F.col("o_custkey").alias("field_id"), F.col("o_orderdate").alias("computed_at"),
@@ -24,10 +33,31 @@ def _feature_log(d):
     )
 
 
+def _store_rows(rows):
+    """Feature rows of the log, one computation a month, in the store's shape; latitude carries the log's row number."""
+    rows = rows.withColumn("computed_at", F.date_trunc("month", "computed_at").cast("timestamp_ntz"))
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in STORE_TABLES["field_features"].fields}
+    made = empty | {"field_id": F.col("field_id"), "computed_at": F.col("computed_at"), "crop": F.col("crop"), "latitude": F.col("row_id").cast("double")}
+    return rows.select(*[c.alias(n) for n, c in made.items()])
+
+
 def _idempotent_append(d):
-    log = _feature_log(d)
-    stored = log.filter(F.col("crop").isin("1-URGENT", "2-HIGH"))
-    return store.new_rows(stored, log, ["field_id", "computed_at"], ["row_id"])
+    """The urgent rows are stored first, then the whole log twice; what is stored holds each key once."""
+    root = scratch(d.spark, "store")
+    log = _store_rows(_feature_log(d))
+    store.append(store.new_rows(log.limit(0), log.filter(F.col("crop").isin("1-URGENT", "2-HIGH")), ["field_id", "computed_at"], ["latitude"]), root, "field_features")
+    for _ in range(2):
+        store.write_features(log, root)
+    return store.read(d.spark, root, "field_features").select("field_id", "computed_at", F.col("latitude").cast("long").alias("row_id"), "crop")
+
+
+def _pruned(d):
+    """Rows older than the limit are dropped from a stored log; counted by what the store reports and holds."""
+    root = scratch(d.spark, "store")
+    store.append(_store_rows(_feature_log(d)), root, "field_features")
+    pruned = store.prune_features(d.spark, root, dt.datetime.fromisoformat(NOW))
+    kept = store.read(d.spark, root, "field_features")
+    return kept.agg(F.lit(pruned).cast("long").alias("pruned"), F.count(F.lit(1)).alias("kept"), F.min("computed_at").cast("string").alias("oldest_kept"))
 
 
 def _json_safe(d):
@@ -49,21 +79,21 @@ def _json_safe(d):
 
 QUERIES = {
     "src01_daily_weather_scan": (
-        lambda d: plain(landed.daily_from_payload(d.weather_payloads)),
+        lambda d: plain(landed.daily_from_payload(landed.weather_payloads(d.spark, d.landed(d.weather_payloads)))),
         rounded("SELECT site_id, CAST(date AS VARCHAR) AS date, tmax, tmin, rain, et0, rh, radiation FROM daily",
                 "tmax", "tmin", "rain", "et0", "rh", "radiation"),
     ),
     "src02_optical_scan": (
-        lambda d: plain(landed.optical_observations(landed.landed_with_data(d.optical_payloads))),
+        lambda d: plain(landed.optical_observations(landed.landed_with_data(_statistics(d, d.optical_payloads, OPTICAL_KEYS)))),
         rounded("""SELECT site_id, CAST(sensing_date AS VARCHAR) AS sensing_date, ndvi, ndwi, evi FROM optical
                    WHERE ndvi <> 0 AND ndwi IS NOT NULL AND evi IS NOT NULL""", "ndvi", "ndwi", "evi"),
     ),
     "src03_radar_scan": (
-        lambda d: plain(landed.radar_observations(d.radar_payloads)),
+        lambda d: plain(landed.radar_observations(_statistics(d, d.radar_payloads, RADAR_KEYS))),
         rounded("SELECT site_id, CAST(sensing_date AS VARCHAR) AS sensing_date, vv, vh, rvi FROM radar WHERE vv <> 0", "vv", "vh", "rvi"),
     ),
     "src04_band_scan": (
-        lambda d: plain(landed.band_observations(d.band_payloads), 9),
+        lambda d: plain(landed.band_observations(_statistics(d, d.band_payloads, BAND_KEYS)), 9),
         rounded("SELECT * REPLACE (CAST(sensing_date AS VARCHAR) AS sensing_date) FROM bands WHERE b02 <> 0",
                 "b02", "b03", "b04", "b05", "b06", "b07", "b08", "b8a", "b11", "b12", digits=9),
     ),
@@ -74,25 +104,21 @@ QUERIES = {
                    QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY sensing_date DESC) = 1""", "ndvi", "ndwi", "evi"),
     ),
     "src06_hourly_scan": (
-        lambda d: plain(landed.hourly_from_payload(d.hourly_payloads)),
+        lambda d: plain(landed.hourly_from_payload(landed.hourly_payloads(d.spark, d.landed(d.hourly_payloads)))),
         rounded("SELECT site_id, CAST(ts AS VARCHAR) AS ts, temp, rh FROM hourly", "temp", "rh"),
     ),
     "src10_idempotent_feature_append": (
         lambda d: plain(_idempotent_append(d)),
-        rounded("""SELECT o_custkey AS field_id, CAST(o_orderdate AS VARCHAR) AS computed_at, o_orderkey AS row_id, o_orderpriority AS crop
-                   FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderdate = o.o_orderdate
-                                                    AND e.o_orderpriority IN ('1-URGENT', '2-HIGH'))
-                   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1"""),
+        rounded("""SELECT o_custkey AS field_id, CAST(CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS VARCHAR) AS computed_at, o_orderkey AS row_id, o_orderpriority AS crop
+                   FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate)
+                        ORDER BY CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END, o_orderkey) = 1"""),
     ),
     "src13_retention_prune": (
-        lambda d: _feature_log(d).withColumn("old", store.expired(F.col("computed_at"), _now())).agg(
-            F.count_if("old").alias("pruned"), F.count_if(~F.col("old")).alias("kept"),
-            F.min(F.when(~F.col("old"), F.col("computed_at"))).cast("string").alias("oldest_kept"),
-        ),
-        rounded(f"""SELECT count(*) FILTER (WHERE o_orderdate < TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS pruned,
-                           count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS kept,
-                           CAST(min(o_orderdate) FILTER (WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS VARCHAR) AS oldest_kept
-                    FROM orders"""),
+        _pruned,
+        rounded(f"""SELECT count(*) FILTER (WHERE month_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS pruned,
+                           count(*) FILTER (WHERE month_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS kept,
+                           CAST(min(month_at) FILTER (WHERE month_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS VARCHAR) AS oldest_kept
+                    FROM (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_at FROM orders)"""),
     ),
     "src18_site_sampling": (
         lambda d: plain(sample_sites(d.raw("supplier").select(F.col("s_suppkey").alias("ordinal")), d.clusters).drop("site_name")),

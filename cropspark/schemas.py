@@ -22,7 +22,7 @@ WEATHER_PAYLOAD = _struct(
     daily=_struct(time=T.ArrayType(T.StringType()), **{v: T.ArrayType(_D) for v in PAYLOAD_VARS}),
 )
 HOURLY_PAYLOAD = _struct(
-    site_id=T.LongType(),
+    site_id=T.StringType(),
     hourly=_struct(
         time=T.ArrayType(T.StringType()),
         temperature_2m=T.ArrayType(_D),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -28,21 +31,43 @@ def local_session(cpus: int = 8, app: str = "cropspark") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by the cluster; a scratch folder only where none is named."""
+    """The folder all executors see, named by the cluster.
+
+    Where none is named, a local session gets a scratch folder that is removed when the process ends; a cluster session is
+    refused, since each executor would write into its own disk and reads would miss rows.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cropspark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_scratch()
+
+
+@functools.cache
+def _local_scratch() -> str:
+    folder = tempfile.mkdtemp(prefix="cropspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """One folder for this application's intermediate tables, removed when the application ends."""
+    path = f"{shared_folder(spark)}/cropspark-{spark.sparkContext.applicationId}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows below the shared folder and read them back.
 
     Later steps start from the files, so a lost executor costs a re-read and not a recomputation, and
     the planner sees real sizes. One pass, where a checkpoint would compute the rows twice.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cropspark-cuts/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/cuts/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

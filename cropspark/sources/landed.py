@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, PAYLOAD_VARS, RADAR_KEYS, WEATHER_VARS
 from cropspark.functions.numeric import finite_or_null
+from cropspark.operators.lookup import latest_by
 from cropspark.schemas import HOURLY_PAYLOAD, WEATHER_PAYLOAD, statistics_payload
 
 
@@ -89,3 +90,9 @@ def landed_with_data(payloads: DataFrame) -> DataFrame:
 def sites_to_reingest(sites: DataFrame, facts: DataFrame) -> DataFrame:
     """Sites without a single landed row: candidates for another pull."""
     return sites.join(facts.select("site_id"), "site_id", "left_anti")
+
+
+def latest_pull(rows: DataFrame, keys: list[str], pulled: str = "pulled_at") -> DataFrame:
+    """One row for each key, from its latest pull: a second, overlapping pull replaces the days it brings again and no others."""
+    keep = [c for c in rows.columns if c not in (*keys, pulled)]
+    return latest_by(rows, keys, [pulled, *[c for c in keep]], keep)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cropspark.constants import SITE_SEED
 from cropspark.functions.numeric import half_even
-from cropspark.operators.lookup import MAX_INLINE_ZONES
 
 
 def radical_inverse(n: Column, base: int) -> Column:
@@ -24,18 +23,16 @@ def place_in_box(ordinal: Column, low: Column, high: Column, base: int, seed: in
 def sample_sites(ordinals: DataFrame, clusters: DataFrame, per_cluster_key: str | None = None) -> DataFrame:
     """Sites of every zone: each ordinal is placed in the box of each zone (or of its own zone).
 
-    With ``per_cluster_key`` the ordinals already name their zone and an equi join is enough. Otherwise
-    the result is the product by definition: a short zone list is inlined as an array, a long one joined.
+    With ``per_cluster_key`` the ordinals already name their zone. Otherwise the result is the product by definition: each
+    ordinal is repeated for every place in the catalogue and joined on it.
     """
     if per_cluster_key is not None:
         rows = ordinals.join(clusters, per_cluster_key)
     else:
-        zones = [r.asDict() for r in clusters.orderBy("cluster_idx").limit(MAX_INLINE_ZONES + 1).collect()]
-        if len(zones) > MAX_INLINE_ZONES:
-            rows = ordinals.select("ordinal").join(clusters)
-        else:
-            boxes = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in z.items()]) for z in zones])
-            rows = ordinals.select("ordinal", F.inline(boxes))
+        low, high = clusters.agg(F.min("cluster_idx"), F.max("cluster_idx")).first()
+        places = F.array().cast("array<int>") if low is None else F.sequence(F.lit(low), F.lit(high))
+        repeated = ordinals.select("ordinal", F.explode(places).alias("cluster_idx"))
+        rows = repeated.join(clusters, "cluster_idx").select("ordinal", *clusters.columns)
     return rows.select(
         F.format_string("%s-%03d", F.col("cluster"), F.col("ordinal")).alias("site_name"),
         *[c for c in rows.columns if c not in ("lat0", "lat1", "lon0", "lon1")],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from cropspark.constants import FRESH_HOURS, KEEP_DAYS, LABEL_HORIZON_DAYS, OUTCOME_TYPES, YIELD_BOUNDS
 from cropspark.functions.numeric import finite_or_null
-from cropspark.operators.lookup import CALENDAR_DAYS, interval_join, join_reference, latest_by
+from cropspark.operators.lookup import interval_join, join_reference, latest_by
 from cropspark.schemas import STORE_TABLES
 from cropspark.session import cut_lineage
 
@@ -42,11 +43,34 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(_partitioned(table)).parquet(_path(root, table))
 
 
+def _declared(spark: SparkSession, root: str, table: str) -> bool:
+    """Whether the session's catalogue declares the table over this very store."""
+    if not spark.catalog.tableExists(table):
+        return False
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter(F.col("col_name") == "Location").collect()
+    return any(r["data_type"].split(":", 1)[-1].lstrip("/") == _path(root, table).split(":", 1)[-1].lstrip("/") for r in rows)
+
+
 def append(rows: DataFrame, root: str, table: str) -> None:
-    """Append rows; the partition day comes from the table's time column."""
+    """Append rows; the partition day comes from the table's time column.
+
+    A declared table is written through the catalogue, which takes up new days, so readers by name see them.
+    """
+    spark = rows.sparkSession
     names = STORE_TABLES[table].fieldNames()
     ready = rows.select(*names).withColumn("day", F.to_date(TIME_COLUMN[table]))
-    ready.write.mode("append").partitionBy("day").parquet(_path(root, table))
+    if _declared(spark, root, table):
+        ready.write.insertInto(table)
+    else:
+        ready.write.mode("append").partitionBy("day").parquet(_path(root, table))
+
+
+def create_empty(spark: SparkSession, root: str, table: str) -> None:
+    """Make the store readable before its first row; does nothing where it exists."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_path(root, table))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        system.mkdirs(path)
 
 
 def json_safe(value: Column, dtype: T.DataType) -> Column:
@@ -79,7 +103,7 @@ def write_features(batch: DataFrame, root: str) -> None:
     spark = batch.sparkSession
     stored = read(spark, root, "field_features")
     days = batch.select(F.to_date("computed_at").alias("day")).distinct()
-    same_days = join_reference(stored, days, ["day"], CALENDAR_DAYS, "left_semi")
+    same_days = join_reference(stored, days, ["day"], "left_semi")
     fresh = new_rows(same_days, batch, ["field_id", "computed_at"], ["latitude", "longitude"])
     append(clean(fresh), root, "field_features")
 
@@ -88,7 +112,7 @@ def write_predictions(rows: DataFrame, root: str) -> DataFrame | None:
     """Append and hand the ids back for linking; a failing audit table must not fail the scoring."""
     try:
         append(clean(rows), root, "predictions")
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:  # a failed write comes back as either
         log.warning("predictions not persisted: %s", e)
         return None
     return rows.select("id", "field_id", "predicted_at")
@@ -143,15 +167,24 @@ def prune_features(spark: SparkSession, root: str, now: dt.datetime, keep_days:
             stored.filter((F.col("day") == F.lit(limit.date())) & (F.col("computed_at") >= F.lit(limit)))
         )
         if kept.isEmpty():
-            _remove(spark, f"{path}/day={limit.date()}")
+            _drop_day(spark, root, "field_features", limit.date())
         else:
             kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
     for day in days:
         if day < limit.date():
-            _remove(spark, f"{path}/day={day}")
+            _drop_day(spark, root, "field_features", day)
+    if _declared(spark, root, "field_features"):
+        spark.catalog.refreshTable("field_features")
     return sum(days.values())
 
 
+def _drop_day(spark: SparkSession, root: str, table: str, day: dt.date) -> None:
+    """The day leaves the catalogue first, so readers by name never meet half a day; the files of an external table follow."""
+    if _declared(spark, root, table):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (day = DATE '{day}')")
+    _remove(spark, f"{_path(root, table)}/day={day}")
+
+
 def _remove(spark: SparkSession, directory: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(directory)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cropspark.session import shared_folder
+from cropspark.session import run_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; sinks and stream checkpoints live there."""
-    return f"{shared_folder(spark).rstrip('/')}/cropspark-streams/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType | None = None) -> DataFrame:

@@ -116,9 +116,26 @@ def learned_frame(spark):
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
 
 
+def test_boosting_goes_on_while_it_improves(spark):
+    names = ["gdd_90", "rain_30", "rain_90", "tmax_mean_30", "rh_mean_30", "radiation_90"]
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    frame = learned_frame(spark).withColumn("forward_z", total).cache()
+    model = MO.fit_regressor(frame, names, max_iter=60)
+    assert MO.n_trees(model) > 20
+    assert model.transform(frame).stat.corr("forecast_z", "forward_z") > 0.8
+
+
+def test_patience():
+    falling = [1 / (i + 1) for i in range(30)]
+    assert MO.rounds_kept(falling) is None
+    assert MO.rounds_kept(falling + [0.5] * 10) == 40
+    assert MO.rounds_kept([0.5] * 9 + [0.4] + [0.5] * 12) == 20
+    assert MO.rounds_kept([]) is None
+
+
 def test_learned_arms_end_to_end(spark, tmp_path):
     frame = MO.model_frame(learned_frame(spark), 3).cache()
-    scores, oof = MO.evaluate_arms(frame, 3, max_iter=8, protocols=("spatial",))
+    scores, oof = MO.evaluate_arms(frame, 3, max_iter=8, protocols=("spatial",), arms=("regressor", "linear"))
     got = {(r.fold, r.arm): r for r in scores.collect()}
     assert {a for _, a in got} == {"regressor", "linear", "majority", "persistence", "climatology"} and len(got) == 15
     assert all(got[f, "regressor"].spearman > 0.5 and got[f, "linear"].ece is not None for f in "abc")

@@ -144,9 +144,8 @@ def test_zones(spark):
     points = spark.createDataFrame([(11.5, 8.2), (10.8, 7.9), (48.85, 2.35), (4.93, 6.34), (4.3, 5.6)], "latitude double, longitude double")
     zones = spark.createDataFrame([(n, i, *box) for i, (n, *box) in enumerate(ZONES)], "cluster string, cluster_idx int, lat0 double, lat1 double, lon0 double, lon1 double")
     want = ["Kaduna_Grain_Belt", "Kaduna_Grain_Belt", None, "Niger_Delta", "Niger_Delta"]
-    assert [r.cluster for r in lookup.assign_zone(points, zones).collect()] == want
-    by_cell = {(r.latitude, r.longitude): r.zone for r in lookup.assign_zone_by_cell(points, zones, "latitude", "longitude", "zone").collect()}
-    assert [by_cell[11.5, 8.2], by_cell[48.85, 2.35], by_cell[4.3, 5.6]] == ["Kaduna_Grain_Belt", None, "Niger_Delta"]
+    got = {(r.latitude, r.longitude): r.cluster for r in lookup.assign_zone(points, zones).collect()}
+    assert [got[p.latitude, p.longitude] for p in points.collect()] == want
 
 
 def test_cohort_without_own_value(spark):
@@ -309,10 +308,48 @@ def test_a_hot_site_is_bounded_by_its_calendar(spark):
     assert series[1] == 97
 
 
-def test_reference_join_beyond_the_bound_is_not_broadcast(spark):
+def test_reference_join_leaves_the_strategy_to_the_planner(spark):
     big = spark.range(10).select(F.col("id").alias("k"))
     ref = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-    plan = lambda bound: lookup.join_reference(big, ref, ["k"], bound)._jdf.queryExecution().logical().toString()
-    assert "ResolvedHint" in plan(10) or "broadcast" in plan(10)
-    assert "broadcast" not in plan(lookup.MAX_BROADCAST_ROWS + 1)
-    assert lookup.join_reference(big, ref, ["k"], lookup.MAX_BROADCAST_ROWS + 1).count() == 10
+    joined = lookup.join_reference(big, ref, ["k"])
+    assert "hint" not in joined._jdf.queryExecution().logical().toString().lower()
+    assert joined.count() == 10
+
+
+def test_two_rows_of_one_day(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    schema = "site_id long, date date, tmax double, tmin double, rain double, et0 double, rh double, radiation double"
+    rows = [(1, day(1), 20.0, 10.0, 0.0, 3.0, 50.0, 15.0), (1, day(1), 21.0, 10.0, 0.0, 3.0, 50.0, None), (1, day(4), 22.0, 10.0, 0.0, 3.0, 50.0, 15.0)]
+    filled = calendar.fill_gaps(spark.createDataFrame(rows, schema))
+    assert [(r.date, r.tmax, r.radiation, r.days) for r in filled.orderBy("date").collect()] == [(day(1), 21.0, 15.0, 3), (day(4), 22.0, 15.0, 1)]
+    dense = sorted(r.date for r in calendar.dense_days(filled).collect())
+    assert dense == [day(n) for n in range(1, 5)]
+
+
+def test_a_second_pull_replaces_its_days_only(spark):
+    from cropspark.sources.landed import latest_pull
+
+    rows = spark.createDataFrame([(1, "a", 1, 5.0), (1, "b", 1, 6.0), (1, "b", 2, 7.0), (1, "b", 2, 7.0), (2, "a", 1, 1.0)], "site_id long, date string, pulled_at int, rain double")
+    got = sorted(tuple(r) for r in latest_pull(rows, ["site_id", "date"]).collect())
+    assert got == [(1, "a", 5.0), (1, "b", 7.0), (2, "a", 1.0)]
+
+
+def test_severity_counts_the_last_fifteen_days(spark):
+    from cropspark.operators import weather
+
+    start = dt.datetime(2024, 5, 1)
+    rows = [("s", start + dt.timedelta(hours=h), 20.0, 95.0) for h in range(60 * 24)] + [("short", start + dt.timedelta(days=59, hours=h), 20.0, 95.0) for h in range(20)]
+    hourly = spark.createDataFrame(rows, "site_id string, ts timestamp_ntz, temp double, rh double")
+    days = weather.leaf_wetness(hourly)
+    assert days.filter("site_id = 's'").count() == 60 and days.filter("site_id = 'short'").count() == 0
+    from cropspark.functions.agronomy import daily_severity
+
+    one = spark.range(1).select(daily_severity(F.lit(20.0), F.lit(24)).alias("v")).first().v
+    totals = {r.site_id: r.dsv_total for r in weather.severity_totals(hourly, (start + dt.timedelta(days=59)).date()).collect()}
+    assert totals == {"s": 15 * one}
+
+
+def test_rank_ranges_are_cut_within_each_group(spark):
+    rows = [("wide", float(i), float(i)) for i in range(200)] + [("narrow", 1e-6 * i, float(-i)) for i in range(200)]
+    got = {r.g: r.spearman for r in ranking.rank_correlation(spark.createDataFrame(rows, "g string, a double, b double"), ["g"], "a", "b", 2).collect()}
+    assert got == {"wide": 1.0, "narrow": -1.0}

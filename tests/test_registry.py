@@ -11,13 +11,12 @@ from cropspark import queries as registered
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-LEARNED = {
-    "ml01_ml06_regressor_folds", "ml02_calibrated_classifier", "ml03_linear_control", "ml07_top04_permutation_importance",
-    "ml08_ml09_publish_and_forecast", "ml12_radar_ablation_folds",
-}
+LEARNED = {"ml08_ml09_publish_and_forecast"}
 SAMPLE = [
     "fn18_agg11_hazard", "src02_optical_scan", "join04_label_join", "win05_gap_filled_calendar", "join05_nearest_radar", "top03_triage_queue",
     "job05_src07_farmer_features", "job02_prj01_field_features", "str01_daily_wetness_stream", "prj07_fn31_fn32_result_rows",
+    "src10_idempotent_feature_append", "src13_retention_prune", "join16_feature_source", "job09_nightly_run", "agg09_leaf_wetness", "agg10_fn15_severity_totals",
+    "prj05_radar_ablation", "join10_point_in_box", "src18_site_sampling", "ml06_set01_baseline_evaluation", "src06_hourly_scan",
 ]
 
 

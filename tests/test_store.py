@@ -90,8 +90,27 @@ def test_outcome_validation(spark, tmp_path):
 
 def test_failed_audit_write_does_not_raise(spark, tmp_path):
     (tmp_path / "predictions").write_text("not a folder")
-    rows = spark.range(1).select(F.col("id"), F.col("id").alias("field_id"))
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in store.STORE_TABLES["predictions"].fields}
+    made = empty | {"id": F.col("id"), "field_id": F.col("id"), "predicted_at": F.lit(NOW).cast("timestamp_ntz")}
+    rows = spark.range(1).select(*[c.alias(n) for n, c in made.items()])
     assert store.write_predictions(rows, str(tmp_path)) is None
+    assert store.write_predictions(spark.range(1).select("id"), str(tmp_path)) is None
+
+
+def test_declared_tables_are_read_by_name(spark, tmp_path):
+    root = str(tmp_path)
+    store.ensure_schema(spark, root)
+    try:
+        limit = NOW - dt.timedelta(days=90)
+        store.append(feature_rows(spark, [(1, limit - dt.timedelta(days=2), 0.1), (2, NOW, 0.2)]), root, "field_features")
+        store.write_features(feature_rows(spark, [(2, NOW, 0.2), (3, NOW, 0.3)]), root)
+        assert sorted(r.field_id for r in spark.table("field_features").collect()) == [1, 2, 3]
+        assert store.prune_features(spark, root, NOW) == 1
+        assert sorted(r.field_id for r in spark.table("field_features").collect()) == [2, 3]
+        assert store.read(spark, root, "field_features").count() == 2
+    finally:
+        for t in store.STORE_TABLES:
+            spark.sql(f"DROP TABLE {t}")
 
 
 def test_json_safe_nested(spark):
