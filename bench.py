@@ -29,6 +29,7 @@ HEADLINE = [
     "win05_gap_filled_calendar",
     "ml06_set01_baseline_evaluation",
     "ml10_fn33_fn34_encoder_inputs",
+    "ml08_ml09_publish_and_forecast",
 ]
 
 
