@@ -28,6 +28,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN_VALUE = 6
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# Ordinary words of the training texts: shorter than any run that is scored, so no unlabelled secret is learnt as ordinary.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,18}(?![A-Za-z0-9+/_=-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD = 0.35  # mean log-likelihood ratio of a character
 SAMPLE_ROWS = 2_000
@@ -105,7 +107,7 @@ def train(docs: DataFrame, text: str = "text", id: str = "doc_id", sample_rows:
                     random_strings += RUN.findall(body[start:end])
                 for start, end, _ in sorted(spans, reverse=True):
                     body = body[:start] + " " + body[end:]
-                words = re.findall(r"[A-Za-z][A-Za-z0-9_-]{3,}", body)
+                words = WORD.findall(body)
                 ordinary += words[:: max(1, len(words) // 200)][:200]
             yield pd.DataFrame({"random": [random_strings], "ordinary": [ordinary]})
 
