@@ -41,11 +41,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table: later steps survive lost executors without recomputing, and see real sizes."""
-    path = f"{new_folder(df.sparkSession, name)}/rows"
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by new_folder, once nothing reads its tables any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The rows as a written table: later steps survive lost executors without recomputing, and see real sizes.
+
+    Tables of one operator call share its folder, so that they can be removed together. The shuffle files behind the rows are
+    let go at once: Spark deletes them when the driver collects its garbage, which a large heap may put off for the whole job.
+    """
+    path = f"{folder or new_folder(df.sparkSession, name)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,17 +20,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(u, v): the smallest number v that each u is connected with; a number without edges, or the smallest itself, has no row.
 
     edges has whole numbers u and v in either order. A number with many edges is met by map-side minima and a join that can be
     split, and each round is a written table. Rounds end when a round changes nothing.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = common.written(edges, "edges")
+    edges = common.written(edges, "edges", folder)
     state = _state(edges)
     while True:
-        edges = common.written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        edges = common.written(_small_star(_large_star(edges).distinct()).distinct(), "edges", folder)
         now = _state(edges)
         if now == state:
             return edges

@@ -62,10 +62,10 @@ def take_up(spark: SparkSession, arrivals: str, state: str) -> None:
     query.awaitTermination()
 
 
-def read_state(spark: SparkSession, state: str) -> DataFrame:
+def read_state(spark: SparkSession, state: str, folder: str | None = None) -> DataFrame:
     """(digest, n, keep) of every entry of the keyed state, as a written table."""
     rows = _session(spark).read.format("statestore").load(state)
-    return common.written(rows.select(F.col("key.digest").alias("digest"), "value.*").toDF("digest", "n", "keep"), "exact-state")
+    return common.written(rows.select(F.col("key.digest").alias("digest"), "value.*").toDF("digest", "n", "keep"), "exact-state", folder)
 
 
 def file_based(docs: DataFrame) -> DataFrame:
@@ -80,24 +80,26 @@ def file_based(docs: DataFrame) -> DataFrame:
     return common.written(clear, "exact-rows")
 
 
-def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def classify(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, folder: str | None = None
+) -> DataFrame:
     """One row for each row of `docs` (see `file_based`): entry (id, file, row), digest, keep (the entry that stays), n (group size)."""
     spark = docs.sparkSession
     rows = _located(docs, id, text)
-    folder = common.new_folder(spark, "exact")
+    folder = folder or common.new_folder(spark, "exact")
     arrivals = f"{folder}/arrivals"
     rows.select(digest(F.col("body")).alias("digest"), "entry").write.mode("append").parquet(arrivals)
     keyed = spark.read.parquet(arrivals)
     if keyed.isEmpty():
         return keyed.select("entry", "digest", F.col("entry").alias("keep"), F.lit(1).cast("long").alias("n"))
     take_up(spark, arrivals, f"{folder}/state")
-    placed = keyed.join(read_state(spark, f"{folder}/state"), "digest").select("entry", "digest", "keep", "n")
+    placed = keyed.join(read_state(spark, f"{folder}/state", folder), "digest").select("entry", "digest", "keep", "n")
 
     hits = placed.where("n > 1")
     entry_key = F.struct("entry.file", "entry.row")
     fetched = common.in_marked_buckets(rows, entry_key, hits, entry_key).select(digest(F.col("body")).alias("digest"), "body", "entry")
     unequal = fetched.select("digest", "body").distinct().groupBy("digest").count().where("count > 1").select("digest")
-    unequal = common.written(unequal, "exact-unequal")
+    unequal = common.written(unequal, "exact-unequal", folder)
     if unequal.isEmpty():
         return placed
     apart = fetched.join(unequal, "digest", "left_semi")
@@ -112,8 +114,10 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Only rows whose hash bucket holds a dropped row go through the join; the others pass without a shuffle.
     """
     docs = file_based(docs)
-    dropped = classify(docs, id, text).where(F.col("entry") != F.col("keep")).select("entry.file", "entry.row")
+    folder = common.new_folder(docs.sparkSession, "exact-keep")
+    dropped = classify(docs, id, text, folder=folder).where(F.col("entry") != F.col("keep")).select("entry.file", "entry.row")
     dropped = common.written(dropped, "exact-dropped").toDF("__file", "__row")
+    common.remove(docs.sparkSession, folder)
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     key = F.struct("__file", "__row")

@@ -9,8 +9,8 @@ the bound are verified on their whole sets. Nothing is capped: a cell of any siz
 connected already.
 
 Work follows different sets, not rows: equal sets are one class from the start (map-side partial aggregates), each member of a
-cell is first verified against one representative, and only members that this leaves apart are compared with each other, in
-blocks of a fixed number of members.
+cell is first verified against one representative and then one of those left apart, and only members that this leaves apart are
+compared with each other, in blocks of a fixed number of members and each pair in one cell.
 
 Words are what lies between ASCII white space after lower-casing A-Z. A text with fewer words than a shingle has the whole
 sequence as its one shingle; null, empty and blank texts have no shingle and link with nothing. Equal rows and equal ids are kept
@@ -32,9 +32,11 @@ from cropspark.llm.components import components
 GROUPS = 64  # coordinates of a point
 CELL_GROUPS = 256  # groups of one part in the upper level
 CLASS_RATIO = 2.0  # sizes in one class differ by less than this factor
+FIRST = 8  # cells of a class that a member carries along, so that a pair is made in one cell only
 BLOCK = 1_024  # members of a cell that one task compares
 LEAF = 16
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+ROWS = 500  # documents whose sets a task holds at a time
 
 _RNG = np.random.default_rng(6)
 _BYTE = _RNG.integers(0, 1 << 64, size=(64, 256), dtype=np.uint64)
@@ -109,11 +111,11 @@ class Cells:
         """Most shingles in which a set of this size differs from a linked one that is no smaller."""
         return size * (100 - self.percent) // self.percent
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
+    def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
         """Cell keys of a set: one for each part, in its own size class and, near the upper end, in the next one."""
         size = len(hashes)
         if self.differ(size) == 0:
-            return np.zeros(0, np.uint64)  # links of such sizes are equal sets
+            return []  # links of such sizes are equal sets
         own = int(np.searchsorted(self.bounds, size, "right")) - 1
         classes = [own] + ([own + 1] if size * 100 // self.percent >= self.bounds[own + 1] else [])
         out = []
@@ -126,13 +128,29 @@ class Cells:
             present, starts = np.unique(part[order], return_index=True)
             sums[present] = np.add.reduceat(_mix(group[order] + np.uint64(1)), starts)
             out.append(_mix(_mix(sums) + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c << 40)))
-        return np.concatenate(out)
+        return out
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def fine_point(hashes: np.ndarray) -> bytes:
+    """Counts of up to 1,024 groups, about as many as the set has members, a byte each; empty if a count needs more."""
+    bits = min(10, max(6, len(hashes).bit_length()))
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int | None:
+    """Summed minima of two fine points, the finer one folded to the groups of the other; None without a bound."""
+    if not a or not b:
+        return None
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (a, b))
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+
+
 def digest(hashes: np.ndarray) -> bytes:
     """128 bits of a set, from two independent sums of its mixed hashes and its size."""
     with np.errstate(over="ignore"):
@@ -141,50 +159,66 @@ def digest(hashes: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") + len(hashes).to_bytes(5, "little")
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
 def _marks(docs: DataFrame, text: str, id: str, width: int, percent: int) -> DataFrame:
     cells = Cells(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch["body"].tolist(), width)
+            keys = [[k.view(np.int64) for k in cells.keys(s)] for s in sets]
+            none = np.zeros(0, dtype=np.int64)
             yield pd.DataFrame({
-                "key": batch["key"],
+                "key": batch["key"].array,
                 "digest": [digest(s) for s in sets],
                 "n": [len(s) for s in sets],
-                "cells": pd.Series([cells.keys(s).view(np.int64) for s in sets], dtype=object),
-                "point": pd.Series([point(s) for s in sets], dtype=object),
+                "cells": pd.Series([np.concatenate([*k, none]) for k in keys], dtype=object),
+                "first": pd.Series([np.concatenate([*(c[:FIRST] for c in k), none]) for k in keys], dtype=object),
+                "point": [point(s).tobytes() for s in sets],
+                "fine": [fine_point(s) for s in sets],
             })
 
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("body"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, digest binary, n bigint, cells array<bigint>, point array<int>")
+    return rows.mapInPandas(run, f"key {kind}, digest binary, n bigint, cells array<bigint>, first array<bigint>, point binary, fine binary")
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch["body"].tolist(), width)
             yield pd.DataFrame({"digest": [digest(s) for s in sets], "hashes": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
 
     return docs.select(F.col(text).alias("body")).mapInPandas(run, "digest binary, hashes array<bigint>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, width: int, percent: int, folder: str) -> DataFrame:
     """The pairs (u, v) of class numbers whose whole sets link.
 
-    Pairs are first held against the summed coordinate minima; texts are fetched only for the classes that are left.
+    Pairs are first held against the summed minima of their fine points; texts are fetched only for the classes that are left.
     """
-    size = classes.select("cls", "n", "point")
-    a, b = size.toDF("u", "nu", "pu"), size.toDF("v", "nv", "pv")
-    overlap = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(a, "u").join(b, "v").withColumn("most", F.least(overlap.cast("long"), "nu", "nv"))
-    near = near.where(F.lit(100) * F.col("most") >= F.lit(percent) * (F.col("nu") + F.col("nv") - F.col("most"))).select("u", "v", "nu", "nv")
-    near = common.written(near, "near-pairs")
+    size = classes.select("cls", "n", "fine")
+    a, b = size.toDF("u", "nu", "fu"), size.toDF("v", "nv", "fv")
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least = np.minimum(batch["nu"], batch["nv"]).to_numpy()
+            most = [most_shared(x, y) for x, y in zip(batch["fu"], batch["fv"], strict=True)]
+            most = np.array([n if m is None else min(n, m) for n, m in zip(least, most, strict=True)], dtype=np.int64)
+            yield batch.loc[100 * most >= percent * (batch["nu"] + batch["nv"] - most), ["u", "v", "nu", "nv"]]
+
+    near = pairs.join(a, "u").join(b, "v").mapInPandas(bound, "u bigint, v bigint, nu bigint, nv bigint")
+    near = common.written(near, "near-pairs", folder)
     needed = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
-    needed = common.written(classes.join(needed, "cls").select("cls", "digest", "doc"), "near-classes")
+    needed = common.written(classes.join(needed, "cls").select("cls", "digest", "doc"), "near-classes", folder)
     fetched = common.in_marked_buckets(docs, F.struct(F.col(id).alias("k")), needed, F.struct(F.col("doc").alias("k")))
     sets = _sets(fetched, text, width).join(needed.select("cls", "digest"), "digest").select("cls", "hashes").dropDuplicates(["cls"])
-    sets = common.written(sets, "near-sets")
+    sets = common.written(sets, "near-sets", folder)
     both = near.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
     shared = F.size(F.array_intersect("hu", "hv"))
     return both.where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
@@ -215,93 +249,132 @@ def tree_pairs(n: np.ndarray, points: np.ndarray, component: np.ndarray, left: n
     return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
 
+def group_pairs(rows: pd.DataFrame, percent: int) -> np.ndarray:
+    """Pairs of classes, the smaller first, that the groups (cell, i, j) of these sorted rows leave to verify.
+
+    A group of up to two leaves is taken pair by pair, all such groups in one go; a larger one goes through the tree.
+    """
+    cell, i, j, own = (rows[c].to_numpy() for c in ("cell", "i", "j", "own"))
+    cls, n, component = (rows[c].to_numpy() for c in ("cls", "n", "component"))
+    points = np.frombuffer(b"".join(rows["point"]), dtype=np.int32).reshape(-1, GROUPS)
+    first = list(rows["first"])
+    starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    sizes = np.diff(np.append(starts, len(cell)))
+    made = []
+    for size in np.unique(sizes[sizes <= 2 * LEAF]).tolist():
+        a, b = np.triu_indices(size, 1)
+        begin = starts[sizes == size][:, None]
+        made.append(np.column_stack([(begin + a).ravel(), (begin + b).ravel()]))
+    small = np.concatenate(made) if made else np.zeros((0, 2), dtype=np.int64)
+    a, b = small.T
+    # in a group of two different blocks a pair takes one member of each
+    small = small[(component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))]
+    kept = []
+    for at in range(0, len(small), 65_536):
+        a, b = small[at : at + 65_536].T
+        most = np.minimum(np.minimum(points[a], points[b]).sum(1), np.minimum(n[a], n[b]))
+        kept.append(small[at : at + 65_536][100 * most >= percent * (n[a] + n[b] - most)])
+    for start, size in zip(starts[sizes > 2 * LEAF], sizes[sizes > 2 * LEAF], strict=True):
+        inside = np.arange(start, start + size)
+        left, right = (inside, inside) if i[start] == j[start] else (inside[own[inside] == i[start]], inside[own[inside] == j[start]])
+        kept.append(tree_pairs(n, points, component, left, right, percent))
+    pairs = np.concatenate(kept) if kept else small[:0]
+    pairs = pairs[here(cell, first, pairs)]
+    return np.unique(np.sort(np.column_stack([cls[pairs[:, 0]], cls[pairs[:, 1]]]), axis=1), axis=0)
+
+
+def here(cell: np.ndarray, first: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Whether a pair is to be made in this cell: it is the least of the carried cells that both have, or they have none in common."""
+    keys = np.zeros((len(first), 2 * FIRST), dtype=np.int64)
+    for i, f in enumerate(first):
+        keys[i, : len(f)] = f
+        keys[i, len(f) :] = -1 - np.arange(2 * FIRST - len(f)) - i * 2 * FIRST  # no other member's
+    out = np.empty(len(pairs), dtype=bool)
+    for at in range(0, len(pairs), 4096):
+        a, b = keys[pairs[at : at + 4096, 0]], keys[pairs[at : at + 4096, 1]]
+        both = (a[:, :, None] == b[:, None, :]).any(2)
+        least = np.where(both, a, np.iinfo(np.int64).max).min(1)
+        out[at : at + 4096] = ~both.any(1) | (least == cell[pairs[at : at + 4096, 0]])
+    return out
+
+
+def _second_stars(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a cell's first member outside its least component with the members of other components."""
+    members = cells.join(found.toDF("cls", "root"), "cls", "left").select("cell", "cls", F.coalesce("root", "cls").alias("component"))
+    low = members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = members.join(low, "cell")
+    heads = rows.where("component != low").groupBy("cell").agg(F.min(F.struct("cls", "component")).alias("head"))
+    return rows.join(heads, "cell").where("component != head.component").select(F.least("head.cls", "cls").alias("u"), F.greatest("head.cls", "cls").alias("v")).distinct()
+
+
 def _apart(cells: DataFrame, found: DataFrame, classes: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Pairs (u, v) of the same cell that are not connected yet and that the tree leaves over."""
     members = cells.join(found.toDF("cls", "root"), "cls", "left").select("cell", "cls", F.coalesce("root", "cls").alias("component"))
     mixed = members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     mixed = mixed.where("low != high").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "cell").join(classes.select("cls", "n", "point"), "cls")
+    rows = members.join(mixed, "cell").join(classes.select("cls", "n", "point", "first"), "cls")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n", "point")
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n", "point", "first")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups():
-            held, key = [], None
-            for batch in batches:
-                keys = batch[["cell", "i", "j"]].to_numpy()
-                cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                    if b == a:
-                        continue
-                    now = tuple(keys[a])
-                    if now != key and held:
-                        yield key, pd.concat(held)
-                        held = []
-                    key = now
-                    held.append(batch.iloc[a:b])
-            if held:
-                yield key, pd.concat(held)
-
-        seen: set[tuple[int, int]] = set()
-        rows: list[tuple[int, int]] = []
-        for (_, i, j), group in groups():
-            cls, own = group["cls"].to_numpy(), group["own"].to_numpy()
-            points, n, component = np.stack(group["point"].to_numpy()), group["n"].to_numpy(), group["component"].to_numpy()
-            all_ = np.arange(len(cls))
-            left, right = (all_, all_) if i == j else (all_[own == i], all_[own == j])
-            for a, b in tree_pairs(n, points, component, left, right, percent):
-                pair = (int(min(cls[a], cls[b])), int(max(cls[a], cls[b])))
-                if pair[0] != pair[1] and pair not in seen:
-                    seen.add(pair)
-                    rows.append(pair)
-            if len(seen) > 200_000:
-                seen.clear()
-            if len(rows) >= 10_000:
-                yield pd.DataFrame(rows, columns=["u", "v"])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["u", "v"])
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = batch[["cell", "i", "j"]].iloc[-1]
+            open_ = ((batch["cell"] == last["cell"]) & (batch["i"] == last["i"]) & (batch["j"] == last["j"])).to_numpy()
+            held = batch[open_]  # a group that may go on in the next batch; it has at most two blocks
+            if not open_.all():
+                yield pd.DataFrame(group_pairs(batch[~open_], percent), columns=["u", "v"])
+        if held is not None:
+            yield pd.DataFrame(group_pairs(held, percent), columns=["u", "v"])
 
     dealt = rows.repartition(partitions, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "cls")
     return dealt.mapInPandas(compare, "u bigint, v bigint").distinct()
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links) of the similarity join.
+def join(
+    docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id", folder: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, links) of the similarity join; their tables lie in `folder`, a new one unless given.
 
     documents: id, n (set size), cls (class of equal sets, null without words). classes: cls, n, size (rows). links: u, v
     (verified links between different classes, enough of them to connect every linked pair).
     """
     spark = docs.sparkSession
     common.ship(spark)
+    folder = folder or common.new_folder(spark, "shingle-join")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = common.written(_marks(docs, text, id, width, percent), "shingle-marks")
+    marks = common.written(_marks(docs, text, id, width, percent), "shingle-marks", folder)
     alike = marks.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("doc"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("point").alias("point")
+        F.min("key").alias("doc"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("cells").alias("cells"),
+        F.first("first").alias("first"), F.first("point").alias("point"), F.first("fine").alias("fine"),
     )
-    classes = common.written(alike.withColumn("cls", F.monotonically_increasing_id()), "shingle-classes")
+    classes = common.written(alike.withColumn("cls", F.monotonically_increasing_id()), "shingle-classes", folder)
     cells = classes.select("cls", F.explode("cells").alias("cell"))
     heads = cells.groupBy("cell").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1").select("cell", "head")
-    members = common.written(cells.join(heads, "cell").select("cell", "cls", "head"), "shingle-cells")
+    members = common.written(cells.join(heads, "cell").select("cell", "cls", "head"), "shingle-cells", folder)
 
-    verify = lambda pairs: common.written(_verified(pairs, classes, docs, text, id, width, percent), "links")
+    verify = lambda pairs: common.written(_verified(pairs, classes, docs, text, id, width, percent, folder), "links", folder)
     stars = members.where("cls != head").select(F.col("head").alias("u"), F.col("cls").alias("v")).distinct()
     links = verify(stars)
-    found = components(links)
-    links = links.unionByName(verify(_apart(members.select("cell", "cls"), found, classes, percent, partitions)))
+    links = links.unionByName(verify(_second_stars(members.select("cell", "cls"), components(links, folder))))
+    links = links.unionByName(verify(_apart(members.select("cell", "cls"), components(links, folder), classes, percent, partitions)))
     documents = marks.join(classes.select("digest", "cls"), "digest", "left").select(F.col("key").alias(id), "n", "cls")
     return documents, classes.select("cls", "n", "size", F.col("doc").alias(id)), links
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row for each document: id, n_shingles, component_id (the smallest id that links reach, its own included)."""
-    documents, classes, links = join(docs, width, percent, text, id)
-    roots = classes.join(components(links).toDF("cls", "root"), "cls", "left").select("cls", id, F.coalesce("root", "cls").alias("root"))
+    folder = common.new_folder(docs.sparkSession, "shingle-group")
+    documents, classes, links = join(docs, width, percent, text, id, folder)
+    roots = classes.join(components(links, folder).toDF("cls", "root"), "cls", "left").select("cls", id, F.coalesce("root", "cls").alias("root"))
     least = roots.groupBy("root").agg(F.min(id).alias("component_id"))
     named = roots.join(least, "root").select("cls", "component_id")
     out = documents.join(named, "cls", "left")
-    return out.select(id, F.col("n").alias("n_shingles"), F.coalesce("component_id", id).alias("component_id"))
+    out = common.written(out.select(id, F.col("n").alias("n_shingles"), F.coalesce("component_id", id).alias("component_id")), "shingle-groups")
+    common.remove(docs.sparkSession, folder)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -313,12 +386,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = common.written(packed.withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
-    documents, classes, links = join(rows, width, percent, "text", "row")
-    roots = components(links).toDF("cls", "root")
+    folder = common.new_folder(docs.sparkSession, "shingle-keep")
+    documents, classes, links = join(rows, width, percent, "text", "row", folder)
+    roots = components(links, folder).toDF("cls", "root")
     placed = documents.where("cls is not null").join(roots, "cls", "left").select("row", F.coalesce("root", "cls").alias("root"))
     named = placed.join(rows.select("row", "id"), "row").select("row", "root", F.struct(F.col("id").isNull(), "id", "row").alias("rank"))
     first = named.groupBy("root").agg(F.min("rank").alias("first"))
     dropped = common.written(named.join(first, "root").where("rank != first").select("row"), "shingle-dropped")
+    common.remove(docs.sparkSession, folder)
     key = F.col("row")
     outside = common.in_marked_buckets(rows, key, dropped, key, inside=False)
     inside = common.in_marked_buckets(rows, key, dropped, key).join(dropped, "row", "left_anti")
