@@ -6,10 +6,9 @@ words. Pages are ordered by host and URL path over ranges, so a host with a thir
 page is paired with the neighbour on its host whose path has the longer common beginning, their lines are aligned by longest
 common subsequence, and shared lines are deleted.
 
-A line inside an article or main element that no mark excludes is the author's text even if another page repeats it (a quoted
-passage, a mirrored article), so differencing deletes it only where no such element is there; a page without one whose shared
-lines are more than half of its text is a mirror of its neighbour and keeps them. The first and last page of a task's range are
-paired inside the range.
+Inside an article or main element lines of long prose stay, and a short one goes only if the page on the other side, where there
+is one, has it too. A page whose shared lines are more than half of its text is a mirror of its neighbour and keeps them. The
+first and last page of a task's range are paired inside the range.
 
 Null html is an empty page: empty text. A null or odd URL has an empty host and pairs with its like. Repeated rows give repeated
 results. Very long pages are read whole; the alignment first drops equal ends and lines that only one side has. Other columns
@@ -21,7 +20,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -48,6 +47,8 @@ CHROME_WORDS = set(
     "header masthead footer sidebar side aside widget cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe "
     "signup login comment comments commentlist disqus reply replies discussion responses share sharing social related recommended teaser pagination pager toolbar search".split()
 )
+PROSE = 100  # characters of a line that counts as long prose if it has the end of a sentence
+SENTENCE = re.compile(r"[.!?\u2026](?=\W|\Z)|[\u3002\uff01\uff1f]")
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -165,18 +166,27 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> list[str]:
-    """Lines of the main text, given the lines of the page's neighbour (None: it has none)."""
+def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, further: Iterable[list[tuple[str, bool]]] = ()) -> list[str]:
+    """Lines of the main text, given the lines of the page's neighbour (None: it has none) and of further pages of its host."""
     has_core = any(core for _, core in own)
     lines = [text for text, core in own if core or not has_core]
-    if has_core or other is None:
+    pages = [[text for text, _ in page] for page in (other, *further) if page is not None and page != own]
+    if not lines or not pages:
         return lines
-    shared = shared_lines(lines, [text for text, _ in other])
+    shared = shared_lines(lines, pages[0])
+    held = [set(page) for page in pages[1:]] if shared else []
+    on = {i: sum(lines[i] in page for page in held) for i in shared}
     if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
         return lines
+    if has_core:
+        shared = {i for i in shared if on[i] >= min(1, len(held)) and not _is_prose(lines[i])}
     return [text for i, text in enumerate(lines) if i not in shared]
 
 
+def _is_prose(line: str) -> bool:
+    return len(line) >= PROSE and SENTENCE.search(line) is not None
+
+
 def url_key(url: str | None) -> tuple[str, str]:
     """Host and path with query of a URL; empty where it cannot be read."""
     try:
@@ -218,7 +228,8 @@ def extract(pages: DataFrame, html_column: str = "html", url: str = "url", id: s
         def settled(current, before, after):
             row, own = current
             near = [(_common(row.path, r.path), -i, lines) for i, (r, lines) in enumerate(x for x in (before, after) if x) if r.host == row.host]
-            return row.key, row.url, main_text(own, max(near)[2] if near else None)
+            near = [lines for *_, lines in sorted(near, key=lambda x: x[:2], reverse=True)]
+            return row.key, row.url, main_text(own, near[0] if near else None, near[1:])
 
         for after in parsed():
             if current:
