@@ -4,11 +4,15 @@ Each page becomes a list of text lines, one for each block, in page order. Lines
 notices, adverts, forms, comments, scripts, styles and hidden parts are marked as chrome by element and by class, id and role
 words. Pages are ordered by host and URL path over ranges, so a host with a third of all pages spreads over many tasks; each
 page is paired with the neighbour on its host whose path has the longer common beginning, their lines are aligned by longest
-common subsequence, and shared lines are deleted.
+common subsequence, and shared lines are deleted. The up to WINDOW pages on either side on the same host say what a shared line
+is: boilerplate lies on several pages, a mirrored or quoted text on one. Copies with equal lines are no neighbours.
 
-Inside an article or main element lines of long prose stay, and a short one goes only if the page on the other side, where there
-is one, has it too. A page whose shared lines are more than half of its text is a mirror of its neighbour and keeps them. The
-first and last page of a task's range are paired inside the range.
+* Shared lines of at most half of the text are deleted. In an article or main element, lines of long prose stay, and a short one
+  goes only if a further page, where there is one, has it too.
+* Shared lines of more than half of the text are deleted where two further pages (or the only one) have them too; the rest is a
+  mirror. Without a further page a page with an article is a mirror; one without keeps its lines if nothing else would be left.
+
+Each range also gets the WINDOW pages before and after it, so that the result does not depend on where ranges are cut.
 
 Null html is an empty page: empty text. A null or odd URL has an empty host and pairs with its like. Repeated rows give repeated
 results. Very long pages are read whole; the alignment first drops equal ends and lines that only one side has. Other columns
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -47,6 +52,7 @@ CHROME_WORDS = set(
     "header masthead footer sidebar side aside widget cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe "
     "signup login comment comments commentlist disqus reply replies discussion responses share sharing social related recommended teaser pagination pager toolbar search".split()
 )
+WINDOW = 3
 PROSE = 100  # characters of a line that counts as long prose if it has the end of a sentence
 SENTENCE = re.compile(r"[.!?\u2026](?=\W|\Z)|[\u3002\uff01\uff1f]")
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -177,7 +183,10 @@ def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None,
     held = [set(page) for page in pages[1:]] if shared else []
     on = {i: sum(lines[i] in page for page in held) for i in shared}
     if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
-        return lines
+        if held:
+            shared = {i for i in shared if on[i] >= min(2, len(held))}
+        elif has_core or len(shared) == len(lines):
+            return lines
     if has_core:
         shared = {i for i in shared if on[i] >= min(1, len(held)) and not _is_prose(lines[i])}
     return [text for i, text in enumerate(lines) if i not in shared]
@@ -205,49 +214,105 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _cuts(keys: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
+    """Last places of all ranges but one, from a sample of a bounded number of places."""
+    share = min(1.0, 100 * ranges / max(1, keys.count()))
+    sample = sorted((r["host"], r["path"], r["tie"]) for r in keys.sample(share, seed=4).limit(400 * ranges).collect())
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+
+
+def _outside(keys: DataFrame, cuts: list[tuple[str, str, int]]) -> dict[tuple[str, str, int], set[int]]:
+    """Places of the WINDOW pages before and after each range that are on the host of its first and last page, with the ranges."""
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last = [], deque(maxlen=WINDOW)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if len(first) < WINDOW:
+                    first.append(tuple(row))
+                last.append(tuple(row))
+        rows = first + [r for r in last if r not in first]
+        yield pd.DataFrame(rows, columns=["host", "path", "tie", "range"])
+
+    schema = "host string, path string, tie bigint, range int"
+    numbered = keys.mapInPandas(_number(cuts), schema).repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("host", "path", "tie")
+    found = sorted(((r["host"], r["path"], r["tie"]), r["range"]) for r in numbered.mapInPandas(ends, schema).collect())
+    out: dict[tuple[str, str, int], set[int]] = {}
+    for i in range(1, len(found)):
+        (before, left), (after, right) = found[i - 1], found[i]
+        if left != right and before[0] == after[0]:
+            for place, _ in found[max(0, i - WINDOW) : i]:
+                out.setdefault(place, set()).add(right)
+            for place, _ in found[i : i + WINDOW]:
+                out.setdefault(place, set()).add(left)
+    return out
+
+
+def _number(cuts: list[tuple[str, str, int]]):
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = zip(batch["host"], batch["path"], batch["tie"], strict=True)
+            yield batch.assign(range=[bisect_right(cuts, place) for place in places])
+
+    return number
+
+
 def extract(pages: DataFrame, html_column: str = "html", url: str = "url", id: str = "page_id") -> DataFrame:
     """One row for each page: id, url, and its lines of main text."""
     spark = pages.sparkSession
     common.ship(spark)
+    rows = pages.select(F.col(id).alias("key"), F.col(url).alias("url"), F.col(html_column).alias("body"), F.xxhash64(F.col(id)).alias("tie"))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hosts = [url_key(u) for u in batch["url"]]
-            yield batch.assign(host=[h for h, _ in hosts], path=[p for _, p in hosts])
+            yield batch.drop(columns="url").assign(host=[h for h, _ in hosts], path=[p for _, p in hosts])[["host", "path", "tie"]]
 
-    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parsed():
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    yield row, lines_of(row.body)
+    places = rows.select("url", "tie").mapInPandas(keys, "host string, path string, tie bigint")
+    cuts = _cuts(places, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    outside = common.broadcast(spark, _outside(places, cuts))
 
-        before = None
-        current = None
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hosts = [url_key(u) for u in batch["url"]]
+            own = [(h, p, t) for (h, p), t in zip(hosts, batch["tie"], strict=True)]
+            batch = batch.assign(host=[h for h, _ in hosts], path=[p for _, p in hosts], range=[bisect_right(cuts, x) for x in own], guest=False)
+            yield batch
+            guests = [(i, r) for i, x in enumerate(own) for r in outside.value.get(x, ())]
+            if guests:
+                yield batch.iloc[[i for i, _ in guests]].assign(range=[r for _, r in guests], guest=True)
+
+    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before: deque = deque(maxlen=WINDOW)
+        after: deque = deque()
         rows: list[tuple] = []
 
-        def settled(current, before, after):
-            row, own = current
-            near = [(_common(row.path, r.path), -i, lines) for i, (r, lines) in enumerate(x for x in (before, after) if x) if r.host == row.host]
-            near = [lines for *_, lines in sorted(near, key=lambda x: x[:2], reverse=True)]
-            return row.key, row.url, main_text(own, near[0] if near else None, near[1:])
-
-        for after in parsed():
-            if current:
-                rows.append(settled(current, before, after))
-            before, current = current, after
-            if len(rows) >= 500:
-                yield _frame(rows)
-                rows = []
-        if current:
-            rows.append(settled(current, before, None))
+        def settle():
+            """The result of the first page of `after`, whose neighbours are known."""
+            row, own = after[0]
+            if not row.guest:
+                sides = ((list(before)[::-1], 0), (list(after)[1 : 1 + WINDOW], 1))
+                near = [(-_common(row.path, r.path), far, side, lines) for pages, side in sides for far, (r, lines) in enumerate(pages) if r.host == row.host]
+                lines = [x[3] for x in sorted(near, key=lambda x: x[:3])]
+                rows.append((row.key, row.url, main_text(own, lines[0] if lines else None, lines[1:])))
+            before.append(after.popleft())
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                after.append((row._replace(body=None), lines_of(row.body)))
+                if len(after) > WINDOW:
+                    settle()
+                if len(rows) >= 500:
+                    yield _frame(rows)
+                    rows = []
+        while after:
+            settle()
         if rows:
             yield _frame(rows)
 
-    rows = pages.select(F.col(id).alias("key"), F.col(url).alias("url"), F.col(html_column).alias("body"))
-    kind = rows.schema["key"].dataType.simpleString()
-    keyed = rows.mapInPandas(keys, f"key {kind}, url string, body string, host string, path string")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(partitions, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    numbered = rows.mapInPandas(dealt, f"key {kind}, url string, body string, tie bigint, host string, path string, range int, guest boolean")
+    ordered = numbered.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("host", "path", "tie", "body")
     out = ordered.mapInPandas(difference, f"key {kind}, url string, lines array<string>")
     return out.select(F.col("key").alias(id), F.col("url").alias(url), "lines")
 
