@@ -4,9 +4,13 @@ Tokens are words between ASCII white space after lower-casing A-Z, and one end p
 texts, by map-side partial aggregates over 64-bit word hashes. The model predicts symbols: the words of at least a 64th of all
 tokens each (so at most 64), the end, and classes of all other words, found by clustering word endings by their neighbours. A
 symbol's probability given the symbols before it is log-bilinear: position-wise scaled context vectors are added up and
-multiplied with every symbol's vector, in batched matrix products, and normalised over all symbols. The vectors are trained in
-numpy by noise-contrastive estimation on a bounded sample of training texts. A word of a class has the class's probability times
-its smoothed share of the class.
+multiplied with every symbol's vector, in batched matrix products, and normalised over all symbols. A word of a class has the
+class's probability times its smoothed share of the class.
+
+All training texts are gathered: the noise distribution comes from the word counts, the neighbours of the endings from partial
+sums of each task, and the vectors are trained in numpy by noise-contrastive estimation over all partitions. A bounded sample of
+texts only gives the start; each task carries it on over its own texts, and the tasks' vectors are averaged, each symbol's by the
+number of times a task has seen it.
 
 Counts of words that make up at least 1 / HEAVY of all tokens (so at most HEAVY of them) go to the tasks as two arrays; all other
 tokens are looked up by a join on their hash, so no count is left out and no frequent word is a hot key of that join.
@@ -38,6 +42,10 @@ SAMPLE_TEXTS = 1_500
 NOISE = 12
 EPOCHS = 4
 BATCH = 512
+PASS_BATCH = 1024
+PASS_TOKENS = 1 << 16  # tokens of a task that are shuffled together
+PASS_RATE = 0.1
+FEATURES = 128
 CACHE = 300_000
 END, PAD = 0, 1  # symbols; words of their own follow, then classes
 
@@ -102,20 +110,27 @@ class LogBilinear:
         return out / np.log(10)
 
 
-def cluster_endings(texts: list[list[tuple[int, int]]], top: dict[int, int]) -> np.ndarray:
-    """Class of each ending, from the words within three places of it in the sample; endings not seen are dealt by number."""
-    feature_of = np.zeros(ENDINGS)
-    for t in texts:
-        np.add.at(feature_of, [e for _, e in t], 1)
-    features = {int(e): i for i, e in enumerate(np.argsort(-feature_of, kind="stable")[:128])}
-    near = np.zeros((ENDINGS, 128))
-    for t in texts:
-        ends = np.array([e for _, e in t], dtype=np.int64)
-        column = np.array([features.get(int(e), -1) for e in ends], dtype=np.int64)
-        for k in (1, 2, 3):
-            for own, other in ((ends[k:], column[:-k]), (ends[:-k], column[k:])):
-                seen = other >= 0
-                np.add.at(near, (own[seen], other[seen]), 1)
+def neighbour_counts(texts: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    """How often each feature stands within three places of each ending; texts are arrays of endings."""
+    column = np.full(ENDINGS + 1, -1, dtype=np.int64)
+    column[features] = np.arange(len(features))
+    gap = np.full(3, ENDINGS)  # between texts
+    own = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+    other = column[own]
+    near = np.zeros(ENDINGS * FEATURES, dtype=np.int64)
+    for k in (1, 2, 3):
+        for a, b in ((own[k:], other[:-k]), (own[:-k], other[k:])):
+            seen = (b >= 0) & (a < ENDINGS)
+            near += np.bincount(a[seen] * FEATURES + b[seen], minlength=len(near))
+    return near.reshape(ENDINGS, FEATURES)
+
+
+def frequent_endings(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts, kind="stable")[:FEATURES]
+
+
+def cluster_endings(near: np.ndarray) -> np.ndarray:
+    """Class of each ending, from the words within three places of it; endings without any are dealt by number."""
     total = near.sum(1)
     share = (near + near.sum(0) / max(near.sum(), 1) * 5) / (total + 5)[:, None]
     profile = np.log(share + 1e-6)
@@ -139,58 +154,156 @@ def cluster_endings(texts: list[list[tuple[int, int]]], top: dict[int, int]) ->
     return classes
 
 
-def fit(texts: list[str], top: np.ndarray) -> LogBilinear:
-    """Train on a bounded list of texts; `top` are the hashes of the words that are symbols of their own."""
-    known = {int(h): 2 + i for i, h in enumerate(top)}
-    sequences = [[(word_hash(w), ending(w)) for w in words(t)] for t in texts]
-    classes = cluster_endings([s for s in sequences if s], known)
-    first = 2 + len(known)
-    size = first + CLASSES
-    rows = [np.array([known.get(h, first + int(classes[e])) for h, e in s] + [END], dtype=np.int64) for s in sequences]
-    rng = np.random.default_rng(9)
-    scale = 0.3 / np.sqrt(DIMENSIONS)
-    vectors = rng.normal(0, scale, (size, DIMENSIONS))
-    output = rng.normal(0, scale, (size, DIMENSIONS))
-    position = np.ones((CONTEXT, DIMENSIONS)) / CONTEXT
-    counts = np.bincount(np.concatenate(rows), minlength=size) if rows else np.zeros(size)
-    noise = (counts + 0.1) / (counts + 0.1).sum()
-    noise[PAD] = 0
-    noise /= noise.sum()
-    bias = np.log(np.maximum(noise, 1e-12))
-    padded = [np.concatenate([np.full(CONTEXT, PAD), r]) for r in rows]
-    contexts = np.concatenate([np.lib.stride_tricks.sliding_window_view(p[:-1], CONTEXT)[:, ::-1] for p in padded]) if rows else np.zeros((0, CONTEXT), np.int64)
-    targets = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    cumulative = np.cumsum(noise)
-    grown = [np.full_like(x, 1e-3) for x in (vectors, output, position, bias)]
-    log_noise = np.log(np.maximum(noise * NOISE, 1e-30))
-    for epoch in range(EPOCHS):
-        rate = 0.15 / (1 + epoch)
-        order = rng.permutation(len(targets))
-        for a in range(0, len(order), BATCH):
-            own = order[a : a + BATCH]
-            seen = vectors[contexts[own]]  # batch, place, dimension
+class Weights:
+    """What is trained, with the sums of squared steps that set the rate of each number."""
+
+    def __init__(self, size: int, bias: np.ndarray):
+        rng = np.random.default_rng(9)
+        scale = 0.3 / np.sqrt(DIMENSIONS)
+        self.parts = [rng.normal(0, scale, (size, DIMENSIONS)), rng.normal(0, scale, (size, DIMENSIONS)), np.ones((CONTEXT, DIMENSIONS)) / CONTEXT, bias]
+        self.grown = [np.full_like(x, 1e-3) for x in self.parts]
+
+    def learn(self, rows: list[np.ndarray], noise: np.ndarray, rate: float, batch: int, rng: np.random.Generator) -> None:
+        """One pass of noise-contrastive estimation over texts of symbols, in random order."""
+        if not rows:
+            return
+        vectors, output, position, bias = self.parts
+        size = len(bias)
+        padded = np.concatenate([np.concatenate([np.full(CONTEXT, PAD), r]) for r in rows])
+        first = np.cumsum([0, *(len(r) + CONTEXT for r in rows[:-1])])
+        places = np.concatenate([np.arange(a + CONTEXT, a + CONTEXT + len(r)) for a, r in zip(first, rows, strict=True)])
+        cumulative, log_noise = np.cumsum(noise), np.log(np.maximum(noise * NOISE, 1e-30))
+        order = rng.permutation(places)
+        lanes = np.arange(DIMENSIONS)
+        add = lambda at, values: np.bincount((at[:, None] * DIMENSIONS + lanes).ravel(), values.ravel(), size * DIMENSIONS).reshape(size, DIMENSIONS)
+        for a in range(0, len(order), batch):
+            own = order[a : a + batch]
+            context = padded[own[:, None] - np.arange(1, CONTEXT + 1)]
+            seen = vectors[context]  # batch, place, dimension
             hidden = (seen * position).sum(1)
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), size - 1)  # shared by the batch
-            true = targets[own]
+            true = padded[own]
             score = (hidden * output[true]).sum(1) + bias[true] - log_noise[true]
             false = hidden @ output[drawn].T + bias[drawn] - log_noise[drawn]
             pull = (1 - common.sigmoid(score)) / len(own)
             push = -common.sigmoid(false) / len(own)
             g_hidden = pull[:, None] * output[true] + push @ output[drawn]
-            g_output, g_bias = np.zeros_like(output), np.zeros_like(bias)
-            np.add.at(g_output, true, pull[:, None] * hidden)
+            g_output = add(true, pull[:, None] * hidden)
+            g_bias = np.bincount(true, pull, size)
             np.add.at(g_output, drawn, push.T @ hidden)
-            np.add.at(g_bias, true, pull)
             np.add.at(g_bias, drawn, push.sum(0))
-            g_vectors = np.zeros_like(vectors)
-            np.add.at(g_vectors, contexts[own], g_hidden[:, None, :] * position)
-            g_position = (seen * g_hidden[:, None, :]).sum(0)
-            for x, g, past in zip((vectors, output, position, bias), (g_vectors, g_output, g_position, g_bias), grown, strict=True):
+            g_vectors = add(context.ravel(), (g_hidden[:, None, :] * position).reshape(-1, DIMENSIONS))
+            g_position = np.einsum("bkd,bd->kd", seen, g_hidden)
+            for x, g, past in zip(self.parts, (g_vectors, g_output, g_position, g_bias), self.grown, strict=True):
                 past += g * g
                 x += rate * g / np.sqrt(past)
-    bias[PAD] = -50.0
-    context = np.stack([vectors * position[k] for k in range(CONTEXT)]).astype(np.float32)
-    return LogBilinear(top, classes, context, output.astype(np.float32), bias.astype(np.float32))
+
+    def model(self, top: np.ndarray, classes: np.ndarray) -> LogBilinear:
+        vectors, output, position, bias = self.parts
+        bias = bias.copy()
+        bias[PAD] = -50.0
+        context = np.stack([vectors * position[k] for k in range(CONTEXT)]).astype(np.float32)
+        return LogBilinear(top, classes, context, output.astype(np.float32), bias.astype(np.float32))
+
+
+def noise_of(counts: np.ndarray) -> np.ndarray:
+    noise = (counts + 0.1) / (counts + 0.1).sum()
+    noise[PAD] = 0
+    return noise / noise.sum()
+
+
+def start(texts: list[str], top: np.ndarray, classes: np.ndarray, noise: np.ndarray | None = None) -> tuple[Weights, np.ndarray]:
+    """Weights trained on a bounded list of texts, and the noise (None: that of these texts)."""
+    known = {int(h): 2 + i for i, h in enumerate(top)}
+    first = 2 + len(known)
+    rows = [np.array([known.get(word_hash(w), first + int(classes[ending(w)])) for w in words(t)] + [END], dtype=np.int64) for t in texts]
+    if noise is None:
+        noise = noise_of(np.bincount(np.concatenate(rows), minlength=first + CLASSES) if rows else np.zeros(first + CLASSES))
+    weights = Weights(first + CLASSES, np.log(np.maximum(noise, 1e-12)))
+    rng = np.random.default_rng(9)
+    for epoch in range(EPOCHS):
+        weights.learn(rows, noise, 0.15 / (1 + epoch), BATCH, rng)
+    return weights, noise
+
+
+def fit(texts: list[str], top: np.ndarray) -> LogBilinear:
+    """Train on a bounded list of texts alone; `top` are the hashes of the words that are symbols of their own."""
+    ends = [np.array([ending(w) for w in words(t)], dtype=np.int64) for t in texts]
+    counts = np.bincount(np.concatenate(ends), minlength=ENDINGS) if ends else np.zeros(ENDINGS)
+    classes = cluster_endings(neighbour_counts(ends, frequent_endings(counts)))
+    return start(texts, top, classes)[0].model(top, classes)
+
+
+def _numbers(batches: Iterator[pd.DataFrame], number) -> Iterator[list[np.ndarray]]:
+    """The texts' words as numbers, some texts at a time."""
+    known: dict[bytes, int] = {}
+    for batch in batches:
+        for a in range(0, len(batch), 200):
+            split = [words(t) for t in batch["body"].iloc[a : a + 200]]
+            if len(known) > CACHE:
+                known.clear()
+            for s in split:
+                for w in s:
+                    if w not in known:
+                        known[w] = number(w)
+            yield [np.fromiter(map(known.__getitem__, s), dtype=np.int64, count=len(s)) for s in split]
+
+
+def all_neighbours(texts: DataFrame, features: np.ndarray) -> np.ndarray:
+    """neighbour_counts over all texts; the driver gets at most ENDINGS x FEATURES sums."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = np.zeros((ENDINGS, FEATURES), dtype=np.int64)
+        for ends in _numbers(batches, ending):
+            near += neighbour_counts(ends, features)
+        own, other = np.nonzero(near)
+        yield pd.DataFrame({"own": own, "other": other, "c": near[own, other]})
+
+    sums = texts.mapInPandas(run, "own int, other int, c bigint").groupBy("own", "other").agg(F.sum("c").alias("c")).toPandas()
+    near = np.zeros((ENDINGS, FEATURES))
+    near[sums["own"], sums["other"]] = sums["c"]
+    return near
+
+
+def carry_on(texts: DataFrame, weights: Weights, top: np.ndarray, classes: np.ndarray, noise: np.ndarray) -> None:
+    """Train over all texts: a pass in each task from these weights on, which become the averages."""
+    shared = common.broadcast(texts.sparkSession, (weights, {int(h): 2 + i for i, h in enumerate(top)}, classes, noise))
+    shapes = [x.shape for x in weights.parts]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, known, classes, noise = shared.value
+        own = Weights(len(noise), first.parts[3])
+        own.parts, own.grown = ([x.copy() for x in xs] for xs in (first.parts, first.grown))
+        rng = np.random.default_rng(9)
+        seen = np.zeros(len(noise))
+        rows: list[np.ndarray] = []
+        size = 0
+        number = lambda w: known.get(word_hash(w), 2 + len(known) + int(classes[ending(w)]))
+
+        def learn():
+            own.learn(rows, noise, PASS_RATE, PASS_BATCH, rng)
+            seen[:] += np.bincount(np.concatenate(rows), minlength=len(seen))
+
+        for part in _numbers(batches, number):
+            rows += [np.append(r, END) for r in part]
+            size += sum(len(r) + 1 for r in part)
+            if size >= PASS_TOKENS:
+                learn()
+                rows, size = [], 0
+        if rows:
+            learn()
+        if seen.any():
+            each = np.repeat(seen + 1, DIMENSIONS)
+            weight = np.concatenate([each, each, np.full(own.parts[2].size, seen.sum()), seen + 1])
+            value = np.concatenate([x.ravel() for x in own.parts])
+            yield pd.DataFrame({"place": np.arange(len(value)), "total": value * weight, "weight": weight})
+
+    sums = texts.mapInPandas(run, "place int, total double, weight double").groupBy("place").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).toPandas()
+    shared.unpersist()
+    if len(sums):
+        sums = sums.sort_values("place")
+        cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
+        weights.parts = [x.reshape(shape) for x, shape in zip(np.split((sums["total"] / sums["weight"]).to_numpy(), cuts), shapes, strict=True)]
 
 
 class Scorer:
@@ -249,8 +362,8 @@ class Scorer:
 def train(docs: DataFrame, keep: Column, text: str = "text", id: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> tuple[Scorer, DataFrame]:
     """The scorer and the counts table, from the rows for which `keep` holds.
 
-    All of them are counted; the vectors are fitted on at most `sample_texts` whole texts, chosen by a hash of the id. What the
-    driver holds of the counts is bounded: at most TOP and HEAVY words, and sums by ending.
+    All of them are counted and trained on; the start of the vectors is fitted on at most `sample_texts` whole texts, chosen by a
+    hash of the id. What the driver holds is bounded: at most TOP and HEAVY words, sums by ending and feature, and the vectors.
     """
     chosen = docs.where(keep).select(F.col(id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     counts = count_words(chosen, "body")
@@ -262,12 +375,18 @@ def train(docs: DataFrame, keep: Column, text: str = "text", id: str = "doc_id",
     top = heavy[heavy["c"] * TOP >= tokens].sort_values(["c", "hash"], ascending=[False, True])
     picked = chosen.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample_texts)
     sample = chosen.join(F.broadcast(picked), chosen["key"].eqNullSafe(picked["key"]), "left_semi").select("body").limit(sample_texts)
-    model = fit(sorted(r["body"] for r in sample.collect()), top["hash"].to_numpy())
-    by_ending = counts.where(~F.col("hash").isin([int(h) for h in top["hash"]])) if len(top) else counts
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_ending.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        class_tokens[model.classes[r["ending"]]] += r["c"]
-        class_words[model.classes[r["ending"]]] += r["n"]
+    by_ending = np.zeros((3, ENDINGS))  # tokens of all words; tokens and words of those without a symbol of their own
+    own = F.col("hash").isin([int(h) for h in top["hash"]]) if len(top) else F.lit(False)
+    for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.sum(F.when(~own, F.col("c"))).alias("classed"), F.count(F.when(~own, 1)).alias("n")).collect():
+        by_ending[:, r["ending"]] = r["c"], r["classed"] or 0, r["n"]
+    texts = chosen.select("body")
+    common.ship(docs.sparkSession)
+    classes = cluster_endings(all_neighbours(texts, frequent_endings(by_ending[0])))
+    class_tokens, class_words = (np.bincount(classes, x, CLASSES) for x in by_ending[1:])
+    noise = noise_of(np.concatenate([[ends, 0], top["c"].to_numpy(), class_tokens]))
+    weights, _ = start(sorted(r["body"] for r in sample.collect()), top["hash"].to_numpy(), classes, noise)
+    carry_on(texts, weights, top["hash"].to_numpy(), classes, noise)
+    model = weights.model(top["hash"].to_numpy(), classes)
     scorer = Scorer(model, int(tokens), int(distinct), ends, heavy["hash"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), class_tokens, class_words)
     return scorer, counts
 

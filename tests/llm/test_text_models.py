@@ -97,6 +97,20 @@ def test_rare_words_are_looked_up_by_join(spark, docs_of, monkeypatch):
     assert language_model.score(docs_of([]), scorer, counts).count() == 0
 
 
+def test_vectors_and_classes_come_from_all_texts(spark, docs_of):
+    half = [(i, "red apple " * 400) for i in range(150)]
+    other = [(1000 + i, "blauer himmel " * 400) for i in range(150)]
+    docs = docs_of(half + other).repartition(4)
+    for sample in (1, 300):
+        scorer, counts = language_model.train(docs, F.lit(True), sample_texts=sample)
+        assert {int(h) for h in scorer.model.top} == {language_model.word_hash(w) for w in (b"red", b"apple", b"blauer", b"himmel")}
+        gains = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in language_model.score(docs, scorer, counts).collect()}
+        assert min(gains.values()) > 0.3
+    near = language_model.all_neighbours(docs.select(F.col("text").alias("body")), np.arange(128))
+    ends = [np.array([language_model.ending(w) for w in language_model.words(r.text)]) for r in docs.collect()]
+    assert (near == language_model.neighbour_counts(ends, np.arange(128))).all()
+
+
 def test_symbol_probabilities_sum_to_one():
     model = language_model.fit(["the cat sat on the mat by the door"] * 30, np.array([language_model.word_hash(b"the")]))
     context = [2, 5, 9]
