@@ -90,6 +90,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return sorted((r["text"], int(r["y"])) for r in rows)
 
 
+def class_counts(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[int, int]:
+    """Number of labelled texts of class 0 and 1, by the conditions of labelled_sample and without its bound."""
+    chosen = labels.where(keep & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).distinct()
+    found = docs.where(F.col("text").isNotNull()).select("doc_id").join(chosen, "doc_id").groupBy("y").count().collect()
+    counts = {int(r["y"]): int(r["count"]) for r in found}
+    return counts.get(0, 0), counts.get(1, 0)
+
+
+def to_true_odds(weights: np.ndarray, sampled: tuple[int, int], counts: tuple[int, int] | None) -> np.ndarray:
+    """The weights with the intercept moved from the odds of the sampled rows to those of all labelled rows."""
+    if counts and min(*sampled, *counts) > 0:
+        weights = weights.copy()
+        weights[0] += np.log(counts[1] / counts[0]) - np.log(sampled[1] / sampled[0])
+    return weights
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
     """Newton steps of a ridge logistic regression; the first weight is the intercept. Without rows of both classes: the prior."""
     x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 1 + (x.shape[1] if x.ndim == 2 else 0)))

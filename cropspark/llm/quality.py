@@ -81,8 +81,8 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(blocks)[-DICTIONARY_BYTES:]
 
 
-def fit(sample: list[tuple[str, int]]) -> CompressionClassifier:
-    """Two of three labelled texts build the dictionaries, the third calibrates."""
+def fit(sample: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> CompressionClassifier:
+    """Two of three labelled texts build the dictionaries, the third calibrates; `counts` are the classes' sizes before sampling."""
     texts = {y: [t for t, label in sample if label == y] for y in (0, 1)}
     build = {y: [t for i, t in enumerate(rows) if i % 3] for y, rows in texts.items()}
     rest = {y: [t for i, t in enumerate(rows) if i % 3 == 0] for y, rows in texts.items()}
@@ -90,14 +90,13 @@ def fit(sample: list[tuple[str, int]]) -> CompressionClassifier:
     calibration = [(t, y) for y in (0, 1) for t in rest[y]]
     x = np.array([model.features(t) for t, _ in calibration]).reshape(-1, 5)
     y = np.array([y for _, y in calibration], dtype=float)
-    # the sample is balanced by its bound, not by the corpus; each class keeps its own weight as sampled
-    model.weights = common.fit_logistic(x, y, ridge=1e-2)
+    model.weights = common.to_true_odds(common.fit_logistic(x, y, ridge=1e-2), (len(rest[0]), len(rest[1])), counts)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS) -> CompressionClassifier:
-    """Fit on at most `per_class` labelled rows of each class for which `keep` holds."""
-    return fit(common.labelled_sample(docs, labels, "quality", keep, per_class))
+    """Fit on at most `per_class` labelled rows of each class for which `keep` holds, at the odds of all of them."""
+    return fit(common.labelled_sample(docs, labels, "quality", keep, per_class), common.class_counts(docs, labels, "quality", keep))
 
 
 def score(docs: DataFrame, model: CompressionClassifier, text: str = "text", id: str = "doc_id") -> DataFrame:

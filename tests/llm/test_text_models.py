@@ -54,6 +54,15 @@ def test_scores_are_defined_for_edge_rows_and_empty_tables(docs_of):
     assert quality.fit([("good", 1)] * 3).score(["x"])[0] > 0.5
 
 
+@pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_keep_the_odds_of_all_labels_when_the_bound_bites(spark, docs_of, operator, label):
+    rows = [(i, "plain words that say nothing of either class") for i in range(400)]  # one text in ten is of class 1
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], f"doc_id bigint, {label} int")
+    for bound in (30, 1000):
+        model = operator.train(docs_of(rows), labels, F.lit(True), per_class=bound)
+        assert abs(model.score([rows[0][1]])[0] - 0.1) < 0.03
+
+
 def test_the_channel_restores_disguised_words():
     clean = [("the people in this town are kind and they read a lot of books every day", 0)] * 20
     toxic = [("you idiot and moron what a stupid pathetic loser trash worthless scum", 1)] * 20
