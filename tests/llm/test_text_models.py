@@ -73,6 +73,14 @@ def test_the_channel_restores_disguised_words():
     assert model.score(["books and s t u p i d people"])[0] > 0.5 > model.score(["books and kind people"])[0]
 
 
+def test_the_channel_restores_trailing_all_leet_and_mixed_forms():
+    clean = [("the people in this town are kind and they read a lot of books every day", 0)] * 20
+    model = toxicity.fit(clean + [("you idiot and moron what a stupid pathetic loser trash worthless scum", 1)] * 20)
+    for disguised in ("1d107", "idi07", "idio7", "idio+", "1.d.1.0.7", "i d 1 o t", "i  d\ni o  t"):
+        assert toxicity.restore(disguised, model.letters) == "idiot", disguised
+        assert model.score([f"books and {disguised} people"])[0] > model.score(["books and kind people"])[0]
+
+
 def test_language_model_sums_match_brute_force(spark):
     rows = queries.op8_log_bilinear(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
