@@ -92,7 +92,6 @@ RULES = [
     ("Unlicense", ["unlicense-grant"]),
 ]
 
-MAX_PIECES = 12  # lines or clauses that one known sentence may go over
 _IDENTIFIER = {sentence: name for name, forms in SENTENCES.items() for sentence in forms}
 _FIRST_WORDS = {s.split()[0] for s in _IDENTIFIER}
 _LONGEST_FIRST = sorted(RULES, key=lambda r: -len(r[1]))
@@ -111,16 +110,16 @@ def known_sentences(text: str) -> list[tuple[int, int, int, int, str]]:
     """(first piece, last piece, start, end, identifier) of the known sentences of a text.
 
     A piece ends at a line end or a sentence sign before white space; following pieces are joined while they continue a known
-    sentence, so a sentence may be wrapped over lines. The longest known sentence wins.
+    sentence, so a sentence may be wrapped over lines. Pieces without a word do not count. The longest known sentence wins.
     """
-    pieces = list(_PIECE.finditer(text))
+    pieces = [p for p in _PIECE.finditer(text) if _WORD.search(p.group())]
     out, i = [], 0
     while i < len(pieces):
         first = _WORD.search(pieces[i].group())
         last, identifier = i, None
         if first and first.group().lower() in _FIRST_WORDS:
             joined = ""
-            for j in range(i, min(i + MAX_PIECES, len(pieces))):
+            for j in range(i, len(pieces)):
                 joined = f"{joined} {normalise(pieces[j].group())}".strip()
                 if joined in _IDENTIFIER:
                     last, identifier = j, _IDENTIFIER[joined]

@@ -158,6 +158,11 @@ def test_license_rules(text, want):
     assert [m[0] for m in licenses.match(text)] == want
 
 
+def test_a_license_wrapped_to_one_word_a_line():
+    assert [m[0] for m in licenses.match("\n".join(MIT.split()))] == ["MIT"]
+    assert [m[0] for m in licenses.match(" *\n * ".join(MIT.split()))] == ["MIT"]
+
+
 def test_license_scan_edges(docs_of):
     docs = docs_of([(1, None), (2, "x. " * 50_000 + "Released under the MIT License."), (3, ""), (4, "Released under the MIT License."), (4, "Released under the MIT License."), (None, "Licensed under CC0 1.0")])
     rows = licenses.scan(docs.withColumn("license", F.lit(1)).withColumn("start", F.lit(1))).collect()
