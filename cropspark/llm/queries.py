@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, decontaminate, exact, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
+from cropspark.llm import common, decontaminate, exact, infill, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
 from cropspark.llm.common import table
 
 
@@ -97,7 +97,7 @@ def op10_sql() -> str:
     return f"""
 WITH known(sentence, license) AS (VALUES {values}),
 pieces AS (
-    SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?;:])(\\s)', '\\1\\n', 'g'), '\\n')) AS piece FROM documents
+    SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?;:])(\\s)', '\\1' || chr(10), 'g'), '\\n')) AS piece FROM documents
 ), plain AS (
     SELECT doc_id, trim(regexp_replace(regexp_replace(lower(piece), '[^a-z0-9.-]+', ' ', 'g'), '[. -]*$', '')) AS sentence FROM pieces
 )
@@ -105,6 +105,31 @@ SELECT doc_id, license, count(*) AS n_matches, count(*) AS n_sentences FROM plai
 """
 
 
+def op12_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+    SELECT doc_id, body, regexp_extract_all(body, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM t
+), c AS (
+    SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM u
+), p AS (
+    SELECT doc_id, body, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(body) AS restored_sha256
+FROM p
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,6 +147,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_log_bilinear": (op8_log_bilinear, None),
     "op9_markov_secrets": (op9_markov_secrets, None),
     "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
+    "op12_sparse_infill": (op12_sparse_infill, OP12_SQL),
     "pipeline": (pipeline, None),
 }
 
