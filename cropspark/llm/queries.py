@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, decontaminate, exact, infill, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
+from cropspark.llm import common, decontaminate, divergence, exact, infill, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
 from cropspark.llm.common import table
 
 
@@ -130,6 +130,43 @@ FROM p
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH t AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+), occ AS (SELECT r, lang, source, unnest(terms) AS term FROM t),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM t),
+gn AS (SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g LEFT JOIN v USING (lang)),
+p AS (
+    SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (gn.n + 2 * gn.v) AS p
+    FROM gn JOIN kept k USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term
+), q AS (
+    SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)) AS q
+    FROM c JOIN (SELECT lang, v, sum(n) AS total FROM gn GROUP BY lang, v) USING (lang) GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+    SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -148,6 +185,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_markov_secrets": (op9_markov_secrets, None),
     "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
     "op12_sparse_infill": (op12_sparse_infill, OP12_SQL),
+    "op13_source_divergence": (op13_source_divergence, OP13_SQL),
     "pipeline": (pipeline, None),
 }
 
