@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropspark.llm import common, decontaminate, divergence, exact, infill, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
+from cropspark.llm import chunk_bpe, common, decontaminate, divergence, exact, infill, language_model, licenses, packing, pages, quality, secret_scan, shingle_join, toxicity
 from cropspark.llm.common import table
 
 
@@ -105,6 +105,17 @@ SELECT doc_id, license, count(*) AS n_matches, count(*) AS n_sentences FROM plai
 """
 
 
+def public_codec() -> chunk_bpe.Codec:
+    """The codec of the encoding query, made in each task from the installed tokenizer file."""
+    import public_tokenizers
+
+    return chunk_bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op11_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.digest(chunk_bpe.decode(chunk_bpe.encode(table(spark, sf_dir, "documents"), public_codec), public_codec))
+
+
 def op12_sparse_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
 
@@ -184,6 +195,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_log_bilinear": (op8_log_bilinear, None),
     "op9_markov_secrets": (op9_markov_secrets, None),
     "op10_license_sentence_rules": (op10_license_sentence_rules, op10_sql()),
+    "op11_chunk_reuse_bpe": (op11_chunk_reuse_bpe, None),
     "op12_sparse_infill": (op12_sparse_infill, OP12_SQL),
     "op13_source_divergence": (op13_source_divergence, OP13_SQL),
     "pipeline": (pipeline, None),
