@@ -62,7 +62,7 @@ def test_matches_oracle(spark, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_other_sessions_need_a_shared_folder(spark, monkeypatch):
