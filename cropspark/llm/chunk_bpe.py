@@ -2,8 +2,9 @@
 
 A rolling hash over the last bytes cuts a text where its low values fall, so equal passages get equal cuts whatever stands around
 them. Chunks of more than one document are told by a bitmap of their digests, whose size is fixed; a chunk marked by accident is only
-encoded apart. Each marked chunk is encoded once, and its ids travel to the texts that hold it; texts without one are encoded where they are
-read. Between the marked chunks of a text, the stretches are encoded as they stand.
+encoded apart. Each marked chunk is encoded once, and its ids travel to the texts that hold it, together with the stretches between them, which
+are encoded as they stand; the bytes of a chunk need not travel, since its ids spell them. Texts without a marked chunk are encoded where they
+are read.
 
 A cut may fall inside a token. Each join is repaired: from the last sure boundary before it to the first one behind it the text is
 encoded again. A boundary is sure where a single space stands between a printable ASCII byte and an ASCII letter: the pattern
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,7 +34,7 @@ from cropspark.llm import common
 WINDOW = 16  # bytes of the rolling hash
 MEAN_BITS = 8  # one byte in 2^8 is a cut
 LEAST, MOST = 64, 2048  # bytes of a chunk, but for the last of a text
-MAP_BITS = 25  # the bitmap of shared digests: 4 MB
+MAP_BITS = 27  # the bitmap of shared digests: 16 MB
 SLOT_BITS = 15  # bits of one slot of it, as it is gathered
 BUSY = 1000  # documents from which a chunk's ids are laid out SALTS times
 SALTS = 32
@@ -110,6 +112,7 @@ class Codec:
         for piece, n in [*ranks.items(), *self.special.items()]:
             self.pieces[n] = piece
         self.widths = np.fromiter(map(len, self.pieces), dtype=np.int64)
+        self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32  # as ids travel
         found = sorted(self.special, key=len, reverse=True)
         self._special = re.compile(b"|".join(map(re.escape, found))) if found else None
 
@@ -177,26 +180,46 @@ def joined(codec: Codec, parts: list[tuple[bytes, np.ndarray]]) -> list[np.ndarr
     return out
 
 
-def encode_text(codec: Codec, raw: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
-    """Ids of a text; `known` has the ids of some of its chunks by digest."""
-    out: list[np.ndarray] = []
+#: A part of a text: a special token's id, the digest of a marked chunk, or a stretch of bytes.
+Part = tuple[str, int | bytes]
+
+
+def parts_of(codec: Codec, raw: bytes, marked: Callable[[bytes], bool] | None = None) -> list[Part]:
+    """The parts of a text in order; without ``marked`` only special tokens part its stretches."""
+    out: list[Part] = []
     for start, end, special in codec.segments(raw):
         if special is not None:
-            out.append(np.array([special], dtype=np.int32))
+            out.append(("special", special))
             continue
-        whole, parts = raw[start:end], []
+        whole = raw[start:end]
         last = pending = 0
-        for cut in cuts(whole) if known else ():
-            ids = known.get(_digest(whole[last:cut]))
-            if ids is not None:
+        for cut in cuts(whole) if marked else ():
+            digest = _digest(whole[last:cut])
+            if marked(digest):
                 if pending < last:
-                    parts.append((whole[pending:last], codec.plain(whole[pending:last])))
-                parts.append((whole[last:cut], ids))
+                    out.append(("stretch", whole[pending:last]))
+                out.append(("chunk", digest))
                 pending = cut
             last = cut
         if pending < len(whole):
-            parts.append((whole[pending:], codec.plain(whole[pending:])))
-        out += joined(codec, parts)
+            out.append(("stretch", whole[pending:]))
+    return out
+
+
+def encode_parts(codec: Codec, parts: list[Part], known: dict[bytes, np.ndarray]) -> np.ndarray:
+    """Ids of a text from its parts; ``known`` has the ids of its chunks by digest."""
+    out: list[np.ndarray] = []
+    run: list[tuple[bytes, np.ndarray]] = []
+    for kind, value in parts:
+        if kind == "special":
+            out += [*joined(codec, run), np.array([value], dtype=np.int32)]
+            run = []
+        elif kind == "chunk":
+            ids = known[value]
+            run.append((codec.text(ids.tolist()), ids))
+        else:
+            run.append((value, codec.plain(value)))
+    out += joined(codec, run)
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
 
 
@@ -241,40 +264,49 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
     shared, busy = (common.broadcast(spark, b) for b in shared_chunks(rows, codec))
     folder = common.new_folder(spark, "chunk-bpe")
 
+    def is_shared(digest: bytes) -> bool:
+        return _marked(shared.value, _bit(digest))
+
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a shared chunk, encoded at once."""
+        """Texts without a marked chunk, encoded at once."""
         own = codec()
         for batch in batches:
             found, ids = [], []
             for i, v in enumerate(batch.column(1)):
                 raw = v.as_py()
-                if not any(_marked(shared.value, _bit(_digest(raw[a:b]))) for a, b in own.chunks(raw)):
+                if not any(is_shared(_digest(raw[a:b])) for a, b in own.chunks(raw)):
                     found.append(i)
-                    ids.append(encode_text(own, raw, {}))
+                    ids.append(encode_parts(own, parts_of(own, raw), {}))
                 if len(found) == 256:
                     yield _batch(batch.column(0).take(pa.array(found)), ids)
                     found, ids = [], []
             yield _batch(batch.column(0).take(pa.array(found, pa.int64())), ids)
 
     def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other texts, once a batch however many rows have them, with their shared chunks."""
+        """The other texts in parts, once a batch however many rows have them; a chunk's bytes go with the task's first text that has it."""
         own = codec()
         row = TaskContext.get().partitionId() * ROWS_A_TASK
+        told: set[bytes] = set()
         for batch in batches:
             where: dict[bytes, list[int]] = {}
             for i, v in enumerate(batch.column(1)):
                 where.setdefault(v.as_py(), []).append(i)
             for raw, found in where.items():
-                chunks: dict[bytes, tuple[int, int, int]] = {}
-                for a, b in own.chunks(raw):
-                    digest = _digest(raw[a:b])
-                    if _marked(shared.value, bit := _bit(digest)):
-                        chunks[digest] = (a, b - a, row % SALTS if _marked(busy.value, bit) else 0)
-                if not chunks:
+                parts = parts_of(own, raw, is_shared)
+                held = {value for kind, value in parts if kind == "chunk"}
+                if not held:
                     continue
-                keys = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(0).take(pa.array(found)))
-                held = [{"digest": d, "start": a, "size": n, "salt": s} for d, (a, n, s) in chunks.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([row]), keys, pa.array([raw], pa.binary()), pa.array([held], _CHUNKS)], ["row", "keys", "body", "chunks"])
+                bodies = {d: raw[a:b] for a, b in own.chunks(raw) if (d := _digest(raw[a:b])) in held and d not in told}
+                told.update(bodies)
+                salt = row % SALTS
+                columns = [
+                    pa.array([row]),
+                    pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(0).take(pa.array(found))),
+                    pa.array([pickle.dumps(parts)], pa.binary()),
+                    pa.array([[{"digest": d, "salt": salt if _marked(busy.value, _bit(d)) else 0} for d in held]], _CHUNKS),
+                    pa.array([[{"digest": d, "body": b} for d, b in bodies.items()]], _BODIES),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "keys", "parts", "chunks", "bodies"])
                 row += 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +314,7 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
         for batch in batches:
             digests, salts, ids = [], [], []
             for digest, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = own.plain(body).tobytes()
+                found = own.plain(body).astype(own.kind).tobytes()
                 for salt in range(SALTS if _marked(busy.value, _bit(digest)) else 1):
                     digests.append(digest)
                     salts.append(salt)
@@ -290,34 +322,48 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(salts, pa.int64()), pa.array(ids, pa.binary())], ["digest", "salt", "ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each row first the chunks' ids, then the text; one text is held at a time."""
+        """Of each row first its chunks' ids, then its parts; one text is held at a time."""
         own = codec()
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                if not batch.column(1)[i].as_py():
-                    known[batch.column(3)[i].as_py()] = np.frombuffer(batch.column(4)[i].as_py(), dtype=np.int32)
+            digests, contents = batch.column(3).to_pylist(), batch.column(4)
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                content = contents[i].as_py()
+                if not whole:
+                    known[digests[i]] = np.frombuffer(content, dtype=own.kind).astype(np.int32)
                     continue
-                ids = encode_text(own, batch.column(4)[i].as_py(), known)
+                ids = encode_parts(own, pickle.loads(content), known)
                 known = {}
                 keys = batch.column(2)[i].values
                 for at in range(0, len(keys), step := max(1, 1_000_000 // max(1, len(ids)))):
                     yield _batch(keys[at : at + step], [ids] * len(keys[at : at + step]))
 
-    found = common.written(rows.mapInArrow(sharing, f"row bigint, keys array<{kind}>, body binary, chunks {_CHUNKS_SQL}"), "sharing", folder)
-    chunk = found.select("row", "body", F.explode("chunks").alias("c"))
-    bodies = chunk.select("c.digest", F.expr("substring(body, c.start + 1, c.size)").alias("body")).distinct()
-    once = common.written(bodies.mapInArrow(encoded, "digest binary, salt bigint, ids binary"), "encoded", folder)
-    known = chunk.select("row", "c.digest", "c.salt").join(once, ["digest", "salt"]).select("row", F.lit(False).alias("whole"), F.lit(None).cast(f"array<{kind}>").alias("keys"), "digest", F.col("ids").alias("content"))
-    whole = found.select("row", F.lit(True).alias("whole"), "keys", F.lit(None).cast("binary").alias("digest"), F.col("body").alias("content"))
+    schema = f"row bigint, keys array<{kind}>, parts binary, chunks array<struct<digest: binary, salt: bigint>>, bodies array<struct<digest: binary, body: binary>>"
+    found = _written(rows.mapInArrow(sharing, schema), f"{folder}/sharing")
+    bodies = found.select(F.inline("bodies")).distinct()
+    once = _written(bodies.mapInArrow(encoded, "digest binary, salt bigint, ids binary"), f"{folder}/encoded")
+    nothing = F.lit(None)
+    known = found.select("row", F.inline("chunks")).join(once, ["digest", "salt"]).select(
+        "row", F.lit(False).alias("whole"), nothing.cast(f"array<{kind}>").alias("keys"), "digest", F.col("ids").alias("content")
+    )
+    whole = found.select("row", F.lit(True).alias("whole"), "keys", nothing.cast("binary").alias("digest"), F.col("parts").alias("content"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.unionByName(whole).repartition(partitions, "row").sortWithinPartitions("row", "whole")
     schema = f"key {kind}, ids array<int>"
     return rows.mapInArrow(lone, schema).unionByName(dealt.mapInArrow(assembled, schema)).withColumnRenamed("key", id)
 
 
-_CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("size", pa.int64()), ("salt", pa.int64())]))
-_CHUNKS_SQL = "array<struct<digest: binary, start: bigint, size: bigint, salt: bigint>>"
+_CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("salt", pa.int64())]))
+_BODIES = pa.list_(pa.struct([("digest", pa.binary()), ("body", pa.binary())]))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table of their own; the shuffle files behind them are let go."""
+    df.write.option("compression", "zstd").parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _batch(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:

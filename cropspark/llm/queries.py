@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,8 +106,9 @@ SELECT doc_id, license, count(*) AS n_matches, count(*) AS n_sentences FROM plai
 """
 
 
+@functools.cache
 def public_codec() -> chunk_bpe.Codec:
-    """The codec of the encoding query, made in each task from the installed tokenizer file."""
+    """The codec of the encoding query, made in each worker from the installed tokenizer file."""
     import public_tokenizers
 
     return chunk_bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
