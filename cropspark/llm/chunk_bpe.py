@@ -38,6 +38,7 @@ MAP_BITS = 27  # the bitmap of shared digests: 16 MB
 SLOT_BITS = 15  # bits of one slot of it, as it is gathered
 BUSY = 1000  # documents from which a chunk's ids are laid out SALTS times
 SALTS = 32
+BATCH_BYTES = 4 << 20  # of texts or ids handed on at a time, about
 ROWS_A_TASK = 1 << 40
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -108,7 +109,7 @@ class Codec:
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
         ranks = {bytes(byte_of[c] for c in word): n for word, n in content["model"]["vocab"].items() if word.encode() not in self.special}
         self._encoding = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = [b""] * (1 + max([*ranks.values(), *self.special.values()]))
+        self.pieces = np.full(1 + max([*ranks.values(), *self.special.values()]), b"", dtype=object)
         for piece, n in [*ranks.items(), *self.special.items()]:
             self.pieces[n] = piece
         self.widths = np.fromiter(map(len, self.pieces), dtype=np.int64)
@@ -118,7 +119,7 @@ class Codec:
 
     def plain(self, raw: bytes) -> np.ndarray:
         """Ids of a stretch without special tokens."""
-        return np.array(self._encoding.encode_ordinary(raw.decode()), dtype=np.int32)
+        return self._encoding.encode_to_numpy(raw.decode()).astype(np.int32)
 
     def segments(self, raw: bytes) -> Iterator[tuple[int, int, int | None]]:
         """(start, end, id of the special token or None) of the parts of a text."""
@@ -139,8 +140,8 @@ class Codec:
                     yield last, start + cut
                     last = start + cut
 
-    def text(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def text(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.pieces[ids].tolist())
 
 
 def joined(codec: Codec, parts: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
@@ -216,7 +217,7 @@ def encode_parts(codec: Codec, parts: list[Part], known: dict[bytes, np.ndarray]
             run = []
         elif kind == "chunk":
             ids = known[value]
-            run.append((codec.text(ids.tolist()), ids))
+            run.append((codec.text(ids), ids))
         else:
             run.append((value, codec.plain(value)))
     out += joined(codec, run)
@@ -287,6 +288,15 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
         own = codec()
         row = TaskContext.get().partitionId() * ROWS_A_TASK
         told: set[bytes] = set()
+        made: list[tuple] = []
+        size = 0
+
+        def flushed(kind: pa.DataType) -> pa.RecordBatch:
+            rows, keys, parts, chunks, bodies = zip(*made, strict=True)
+            columns = [pa.array(rows), pa.array(keys, pa.list_(kind)), pa.array(parts, pa.binary()), pa.array(chunks, _CHUNKS), pa.array(bodies, _BODIES)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, ["row", "keys", "parts", "chunks", "bodies"])
+
         for batch in batches:
             where: dict[bytes, list[int]] = {}
             for i, v in enumerate(batch.column(1)):
@@ -299,15 +309,17 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
                 bodies = {d: raw[a:b] for a, b in own.chunks(raw) if (d := _digest(raw[a:b])) in held and d not in told}
                 told.update(bodies)
                 salt = row % SALTS
-                columns = [
-                    pa.array([row]),
-                    pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(0).take(pa.array(found))),
-                    pa.array([pickle.dumps(parts)], pa.binary()),
-                    pa.array([[{"digest": d, "salt": salt if _marked(busy.value, _bit(d)) else 0} for d in held]], _CHUNKS),
-                    pa.array([[{"digest": d, "body": b} for d, b in bodies.items()]], _BODIES),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "keys", "parts", "chunks", "bodies"])
+                chunks = [{"digest": d, "salt": salt if _marked(busy.value, _bit(d)) else 0} for d in held]
+                keys = batch.column(0).take(pa.array(found)).to_pylist()
+                made.append((row, keys, pickle.dumps(parts), chunks, [{"digest": d, "body": b} for d, b in bodies.items()]))
                 row += 1
+                size += len(raw) + 8 * len(keys)
+                if size >= BATCH_BYTES:
+                    yield flushed(batch.column(0).type)
+                    size = 0
+            if made:
+                yield flushed(batch.column(0).type)
+                size = 0
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
@@ -325,7 +337,10 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
         """Of each row first its chunks' ids, then its parts; one text is held at a time."""
         own = codec()
         known: dict[bytes, np.ndarray] = {}
+        held: list[tuple[object, np.ndarray]] = []
+        size = 0
         for batch in batches:
+            kind = batch.column(2).type.value_type
             digests, contents = batch.column(3).to_pylist(), batch.column(4)
             for i, whole in enumerate(batch.column(1).to_pylist()):
                 content = contents[i].as_py()
@@ -334,9 +349,15 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
                     continue
                 ids = encode_parts(own, pickle.loads(content), known)
                 known = {}
-                keys = batch.column(2)[i].values
-                for at in range(0, len(keys), step := max(1, 1_000_000 // max(1, len(ids)))):
-                    yield _batch(keys[at : at + step], [ids] * len(keys[at : at + step]))
+                for key in batch.column(2)[i].as_py():
+                    held.append((key, ids))
+                    size += 4 * len(ids)
+                    if size >= BATCH_BYTES:
+                        yield _batch(pa.array([k for k, _ in held], kind), [v for _, v in held])
+                        held, size = [], 0
+            if held:
+                yield _batch(pa.array([k for k, _ in held], kind), [v for _, v in held])
+                held, size = [], 0
 
     schema = f"row bigint, keys array<{kind}>, parts binary, chunks array<struct<digest: binary, salt: bigint>>, bodies array<struct<digest: binary, body: binary>>"
     found = _written(rows.mapInArrow(sharing, schema), f"{folder}/sharing")
@@ -382,7 +403,7 @@ def decode(encoded: DataFrame, codec: Callable[[], Codec], id: str = "doc_id") -
             column = batch.column(1)
             for at in range(0, batch.num_rows, 256):
                 part = column[at : at + 256]
-                texts = [None if not v.is_valid else own.text(v.values.to_pylist()).decode("utf-8", "replace") for v in part]
+                texts = [own.text(v.values.to_numpy()).decode("utf-8", "replace") if v.is_valid else None for v in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], part, pa.array(texts, pa.string())], ["key", "ids", "text"])
 
     rows = encoded.select(F.col(id).alias("key"), "ids")
