@@ -92,8 +92,10 @@ def _digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") & ((1 << MAP_BITS) - 1)
+def _bits(digest: bytes) -> tuple[int, int]:
+    """The two bits of a digest; both are set for a marked one, so few others look marked."""
+    low = (1 << MAP_BITS) - 1
+    return int.from_bytes(digest[:4], "big") & low, int.from_bytes(digest[4:8], "big") & low
 
 
 class Codec:
@@ -236,8 +238,8 @@ def _bitmap(marked: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _marked(bitmap: np.ndarray, bit: int) -> bool:
-    return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
+def _marked(bitmap: np.ndarray, bits: tuple[int, int]) -> bool:
+    return all(int(bitmap[b >> 3]) >> (b & 7) & 1 for b in bits)
 
 
 def shared_chunks(rows: DataFrame, codec: Callable[[], Codec]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,8 +252,8 @@ def shared_chunks(rows: DataFrame, codec: Callable[[], Codec]) -> tuple[np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
     counted = rows.mapInArrow(run, "digest binary").groupBy("digest").count().where(F.col("count") > 1)
-    low = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
-    counted = counted.select((F.pmod(low, F.lit(1 << MAP_BITS)) + 1).alias("bit"), (F.col("count") > BUSY).alias("busy"))
+    bits = [F.pmod(F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("bigint"), F.lit(1 << MAP_BITS)) + 1 for at in (1, 5)]
+    counted = counted.select(F.explode(F.array(*bits)).alias("bit"), (F.col("count") > BUSY).alias("busy"))
     counted = common.written(counted.groupBy("bit").agg(F.max("busy").alias("busy")), "shared-bits")
     return _bitmap(counted, "bit"), _bitmap(counted.where("busy"), "bit")
 
@@ -266,7 +268,7 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
     folder = common.new_folder(spark, "chunk-bpe")
 
     def is_shared(digest: bytes) -> bool:
-        return _marked(shared.value, _bit(digest))
+        return _marked(shared.value, _bits(digest))
 
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without a marked chunk, encoded at once."""
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
                 bodies = {d: raw[a:b] for a, b in own.chunks(raw) if (d := _digest(raw[a:b])) in held and d not in told}
                 told.update(bodies)
                 salt = row % SALTS
-                chunks = [{"digest": d, "salt": salt if _marked(busy.value, _bit(d)) else 0} for d in held]
+                chunks = [{"digest": d, "salt": salt if _marked(busy.value, _bits(d)) else 0} for d in held]
                 keys = batch.column(0).take(pa.array(found)).to_pylist()
                 made.append((row, keys, pickle.dumps(parts), chunks, [{"digest": d, "body": b} for d, b in bodies.items()]))
                 row += 1
@@ -327,7 +329,7 @@ def encode(docs: DataFrame, codec: Callable[[], Codec], text: str = "text", id:
             digests, salts, ids = [], [], []
             for digest, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = own.plain(body).astype(own.kind).tobytes()
-                for salt in range(SALTS if _marked(busy.value, _bit(digest)) else 1):
+                for salt in range(SALTS if _marked(busy.value, _bits(digest)) else 1):
                     digests.append(digest)
                     salts.append(salt)
                     ids.append(found)
