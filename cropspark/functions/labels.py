@@ -24,7 +24,7 @@ def month_start(date: Column) -> Column:
 def month_keys(date: Column, n: int = N_MONTHS) -> Column:
     """First days of the n months ending with the month of the date, oldest first."""
     last = month_start(date)
-    return F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda back: F.add_months(last, -back))
+    return F.array(*[F.add_months(last, -back) for back in reversed(range(n))])
 
 
 def month_index(date: Column) -> Column:

@@ -67,10 +67,7 @@ def assess_vulnerability(signals: dict[str, Column]) -> Column:
     }
     weighted = reduce(lambda a, b: a + b, [F.lit(w) * values[n] for n, w in K.COPING_WEIGHTS.items()])
     capacity = weighted / F.lit(sum(K.COPING_WEIGHTS.values()))
-    gaps = F.filter(
-        F.array(*[F.when(values[n] < F.lit(K.COPING_GAP_CUT), F.lit(n)) for n in K.COPING_WEIGHTS]),
-        lambda g: g.isNotNull(),
-    )
+    gaps = F.array_compact(F.array(*[F.when(values[n] < F.lit(K.COPING_GAP_CUT), F.lit(n)) for n in K.COPING_WEIGHTS]))
     return F.struct(
         half_even(F.lit(1.0) - capacity, 3).alias("score"),
         half_even(capacity, 3).alias("coping_capacity"),
@@ -190,7 +187,8 @@ def drivers(
             ),
         ),
     )
-    all_of = F.concat(F.filter(sentences, lambda s: s.isNotNull()), F.transform(F.slice(gaps, 1, 2), describe_gap))
+    first_gaps = F.array(*[describe_gap(F.get(gaps, F.lit(i))) for i in (0, 1)])
+    all_of = F.array_compact(F.concat(sentences, first_gaps))
     return F.when(F.size(all_of) > 0, all_of).otherwise(F.array(F.lit(K.NO_DRIVERS)))
 
 

@@ -13,24 +13,11 @@ from cropspark.constants import (
     SEVERITY_DAYS,
     SHORT_WINDOW_DAYS,
     WET_SPELL_DAYS,
-    WET_SPELL_MM,
     WINDOW_DAYS,
 )
-from cropspark.functions.agronomy import crop_coefficient, heat_stress_days, is_hot, phenology_stage, water_balance
+from cropspark.functions.agronomy import crop_coefficient, heat_stress_days, phenology_stage, water_balance
 from cropspark.functions.numeric import half_even
-
-
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def pick(values: str, start: Column, n: int) -> Column:
-    """n elements from a 0-based start. Reads by position; ``slice`` would unpack the whole long array."""
-    return F.transform(F.sequence(start, start + F.lit(n - 1)), lambda i: F.get(values, i))
-
-
-def span_total(values: str, start: Column, n: int) -> Column:
-    return F.aggregate(F.sequence(start, start + F.lit(n - 1)), F.lit(0.0), lambda acc, i: acc + F.get(values, i))
+from cropspark.operators.calendar import bound
 
 
 def longest_dry_run(marks: Column) -> Column:
@@ -38,33 +25,51 @@ def longest_dry_run(marks: Column) -> Column:
     return F.array_max(F.transform(F.split(marks, "w"), F.length)).cast("int")
 
 
-def season_onset(rain: Column, marks: Column, n: int = WINDOW_DAYS) -> Column:
-    """First day of a wet spell that no killing dry run follows inside the window; NULL for none."""
-    killing = "d" * KILLING_DRY_DAYS
+def _text(marks: str, start: Column, n) -> Column:
+    """n letters of a byte-per-day text from a 0-based day."""
+    return F.substring(F.col(marks), start + F.lit(1), n if isinstance(n, Column) else F.lit(n)).cast("string")
+
+
+def _season_onset(end: Column) -> Column:
+    """First day of the window before ``end`` that starts the season, from its first day; NULL for none.
+
+    Where the days that follow a spell lie inside the window, its mark decides. Later spells are only followed up to the
+    window's end: there the first spell counts of those behind the window's last killing run.
+    """
+    first, late = end - F.lit(WINDOW_DAYS), end - F.lit(WET_SPELL_DAYS + FOLLOW_DAYS - 1)
+    early = F.instr(_text("season_marks", first, WINDOW_DAYS - WET_SPELL_DAYS - FOLLOW_DAYS + 1), "s")
+    seen = FOLLOW_DAYS - 1
+    killed = F.instr(F.reverse(_text("dry_marks", end - F.lit(seen), seen)), "d" * KILLING_DRY_DAYS)
+    begin = F.when(killed > 0, F.greatest(late, end - killed - F.lit(KILLING_DRY_DAYS + WET_SPELL_DAYS - 2))).otherwise(late)
 
-    def starts_season(i: Column) -> Column:
-        spell = F.get(rain, i)
-        for k in range(1, WET_SPELL_DAYS):
-            spell = spell + F.get(rain, i + F.lit(k))
-        after = F.substring(marks, i + F.lit(WET_SPELL_DAYS + 1), F.lit(FOLLOW_DAYS))
-        return (spell >= F.lit(WET_SPELL_MM)) & (F.instr(after, killing) == 0)
+    def tail(start: Column) -> Column:
+        rest = F.instr(F.translate(_text("season_marks", start, end - F.lit(WET_SPELL_DAYS) - start), "k", "s"), "s")
+        return F.when(rest > 0, start - first + rest - F.lit(1))
 
-    return F.get(F.filter(F.sequence(F.lit(0), F.lit(n - WET_SPELL_DAYS - 1)), starts_season), F.lit(0))
+    return F.when(early > 0, early - F.lit(1)).otherwise(bound(begin, tail))
 
 
 def _climatology(asof: Column, exclude_own_year: bool, years: int | None) -> Column:
     """Mean 30-day rain before the same month and day of the other (or all) years; NULL when unknown."""
     start, n = F.col("start_date"), F.col("n_days")
     low = F.lit(0) if years is None else F.greatest(F.lit(0), n - F.lit(years * 365))
-    month_day = F.date_format(asof, "-MM-dd")
     all_years = F.sequence(F.year(start), F.year(F.date_add(start, n - F.lit(1))))
     picked = F.filter(all_years, lambda y: y != F.year(asof)) if exclude_own_year else all_years
-    at = F.transform(
-        picked, lambda y: F.datediff(F.concat(F.lpad(y.cast("string"), 4, "0"), month_day).try_cast("date"), start)
-    )
-    usable = F.filter(at, lambda i: (i >= low + F.lit(SHORT_WINDOW_DAYS)) & (i < n))
-    sums = F.transform(usable, lambda i: span_total("rain", i - F.lit(SHORT_WINDOW_DAYS), SHORT_WINDOW_DAYS))
-    return F.when(F.size(sums) > 0, total(sums) / F.size(sums))
+
+    def day_number(y: Column) -> Column:
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        exists = leap | (F.month(asof) != F.lit(2)) | (F.day(asof) != F.lit(29))
+        return F.when(exists, F.datediff(F.make_date(y, F.month(asof), F.day(asof)), start))
+
+    usable = F.filter(F.transform(picked, day_number), lambda i: (i >= low + F.lit(SHORT_WINDOW_DAYS)) & (i < n))
+
+    def mean(days: Column) -> Column:
+        summed = F.aggregate(
+            days, F.lit(0.0), lambda acc, i: acc + F.get("rain_to", i) - F.get("rain_to", i - F.lit(SHORT_WINDOW_DAYS))
+        )
+        return F.when(F.size(days) > 0, summed / F.size(days))
+
+    return bound(usable, mean)
 
 
 def cut_windows(
@@ -75,71 +80,83 @@ def cut_windows(
     exclude_own_year: bool = True,
     climatology_years: int | None = None,
 ) -> DataFrame:
-    """The 90-day look-back of every as-of row, cut from its site's series.
+    """What the 90-day look-back of every as-of row needs of its site's series.
 
     Training looks at the 90 days before the as-of day; scoring ends with that day. As-of rows without
     a full look-back drop out. The as-of rows of a site (at most one per day) travel to its series as
-    one array, so the long arrays are joined once per site instead of once per as-of row.
+    one array, so the series is joined once per site; an as-of row takes from it the runs at its window's
+    bounds, whose running totals give every sum, and the lengths of dry runs.
     """
     carried = [c for c in asofs.columns if c != "site_id"]
     grouped = asofs.groupBy("site_id").agg(F.collect_list(F.struct(*carried)).alias("asofs"))
     both = series.join(grouped, "site_id")
     shift = 1 if include_asof_day else 0
 
-    def index_of(a: Column) -> Column:
-        return F.datediff(a[date], F.col("start_date"))
+    def with_end(a: Column) -> Column:
+        return F.struct(a.alias("own"), (F.datediff(a[date], F.col("start_date")) + F.lit(shift)).alias("end"))
 
     usable = F.filter(
-        "asofs", lambda a: (index_of(a) + F.lit(shift) >= F.lit(WINDOW_DAYS)) & (index_of(a) < F.col("n_days"))
+        F.transform("asofs", with_end),
+        lambda w: (w["end"] >= F.lit(WINDOW_DAYS)) & (w["end"] - F.lit(shift) < F.col("n_days")),
     )
 
-    def windows(a: Column) -> Column:
-        end = index_of(a) + F.lit(shift)
-        long, short = end - F.lit(WINDOW_DAYS), end - F.lit(SHORT_WINDOW_DAYS)
+    def with_onset(w: Column) -> Column:
+        return F.struct(w["own"].alias("own"), w["end"].alias("end"), _season_onset(w["end"]).alias("onset"))
+
+    def run_before(day: Column) -> Column:
+        return F.get("runs", F.get("run_of", day - F.lit(1)))
+
+    def windows(w: Column) -> Column:
+        own, end, long = w["own"], w["end"], w["end"] - F.lit(WINDOW_DAYS)
         return F.struct(
-            *[a[c].alias(c) for c in carried],
-            pick("heat", long, WINDOW_DAYS).alias("heat_90"),
-            pick("rain", long, WINDOW_DAYS).alias("rain_90"),
-            span_total("et0", long, WINDOW_DAYS).alias("et0_sum_90"),
-            span_total("et0", short, SHORT_WINDOW_DAYS).alias("et0_sum_30"),
-            span_total("radiation", long, WINDOW_DAYS).alias("radiation_sum_90"),
-            span_total("tmax", short, SHORT_WINDOW_DAYS).alias("tmax_sum_30"),
-            span_total("tmin", short, SHORT_WINDOW_DAYS).alias("tmin_sum_30"),
-            span_total("rh", short, SHORT_WINDOW_DAYS).alias("rh_sum_30"),
-            F.aggregate(
-                F.sequence(short, end - F.lit(1)),
-                F.lit(0),
-                lambda n, i: n + is_hot(F.get("tmax", i)).cast("int"),
-            ).alias("hot_days_30"),
-            F.substring("dry_marks", end - F.lit(WINDOW_DAYS - 1), F.lit(WINDOW_DAYS)).alias("marks_90"),
-            _climatology(a[date], exclude_own_year, climatology_years).alias("clim_rain"),
+            *[own[c].alias(c) for c in carried],
+            end.alias("end"),
+            w["onset"].alias("onset"),
+            run_before(end).alias("at_end"),
+            run_before(end - F.lit(SHORT_WINDOW_DAYS)).alias("at_short"),
+            run_before(long).alias("at_long"),
+            run_before(long + w["onset"]).alias("at_onset"),
+            longest_dry_run(_text("dry_marks", end - F.lit(SHORT_WINDOW_DAYS), SHORT_WINDOW_DAYS)).alias("dry_run_30"),
+            longest_dry_run(_text("dry_marks", long, WINDOW_DAYS)).alias("dry_run_90"),
+            _climatology(own[date], exclude_own_year, climatology_years).alias("clim_rain"),
         )
 
-    return both.select("site_id", F.inline(F.transform(usable, windows)))
+    return both.select("site_id", F.inline(F.transform(F.transform(usable, with_onset), windows)))
 
 
 def window_totals(windows: DataFrame) -> DataFrame:
-    """Reduce the cut windows to crop-independent totals."""
-    long, short = WINDOW_DAYS, SHORT_WINDOW_DAYS
-    keep = [c for c in windows.columns if c not in {"heat_90", "rain_90", "marks_90", "clim_rain"}]
-    with_onset = windows.withColumn("onset", season_onset(F.col("rain_90"), F.col("marks_90")))
-    rain_short = total(F.slice("rain_90", long - short + 1, short))
-    since = F.when(
-        F.col("onset").isNotNull(),
-        total(F.slice("heat_90", F.col("onset") + F.lit(1), F.lit(long) - F.col("onset"))),
-    ).otherwise(F.lit(0.0))
-    reduced = with_onset.select(
-        *keep,
-        total(F.col("heat_90")).alias("heat_sum_90"),
-        since.alias("heat_since_onset"),
-        F.coalesce(F.lit(long) - F.col("onset"), F.lit(0)).alias("days_since_onset"),
-        rain_short.alias("rain_sum_30"),
-        total(F.col("rain_90")).alias("rain_sum_90"),
-        longest_dry_run(F.substring("marks_90", long - short + 1, short)).alias("dry_run_30"),
-        longest_dry_run(F.col("marks_90")).alias("dry_run_90"),
-        "clim_rain",
+    """Crop-independent totals of the cut windows, as differences of running totals."""
+    days = {"at_end": 0, "at_short": SHORT_WINDOW_DAYS, "at_long": WINDOW_DAYS}
+    cut = ["end", "onset", "at_end", "at_short", "at_long", "at_onset", "dry_run_30", "dry_run_90", "clim_rain"]
+
+    def upto(value: str, at: str, day: Column) -> Column:
+        """The value's total over the days before ``day``, whose last lies in the run."""
+        run = F.col(at)
+        return F.coalesce(run[f"{value}_before"] + (day - run["start"]) * run[value], F.lit(0.0))
+
+    def span(value: str, since: str) -> Column:
+        return upto(value, "at_end", F.col("end")) - upto(value, since, F.col("end") - F.lit(days[since]))
+
+    onset_day = F.col("end") - F.lit(WINDOW_DAYS) + F.col("onset")
+    since = upto("heat", "at_end", F.col("end")) - upto("heat", "at_onset", onset_day)
+    return windows.select(
+        *[c for c in windows.columns if c not in cut],
+        span("et0", "at_long").alias("et0_sum_90"),
+        span("et0", "at_short").alias("et0_sum_30"),
+        span("radiation", "at_long").alias("radiation_sum_90"),
+        span("tmax", "at_short").alias("tmax_sum_30"),
+        span("tmin", "at_short").alias("tmin_sum_30"),
+        span("rh", "at_short").alias("rh_sum_30"),
+        span("hot", "at_short").cast("int").alias("hot_days_30"),
+        span("heat", "at_long").alias("heat_sum_90"),
+        F.when(F.col("onset").isNotNull(), since).otherwise(F.lit(0.0)).alias("heat_since_onset"),
+        F.coalesce(F.lit(WINDOW_DAYS) - F.col("onset"), F.lit(0)).alias("days_since_onset"),
+        span("rain", "at_short").alias("rain_sum_30"),
+        span("rain", "at_long").alias("rain_sum_90"),
+        "dry_run_30",
+        "dry_run_90",
+        F.coalesce("clim_rain", span("rain", "at_short")).alias("clim_rain_30"),
     )
-    return reduced.withColumn("clim_rain_30", F.coalesce("clim_rain", "rain_sum_30")).drop("clim_rain")
 
 
 def weather_features(crop: Column | None = None) -> list[Column]:

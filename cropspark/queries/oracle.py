@@ -544,7 +544,7 @@ def decimal_rounding(sql: str) -> str:
     return "".join(out) + sql[i:]
 
 
-_HEAVY = {"dense", "optical", "radar", "usable", "canopy", "train_days", "score_days", "samples", "farmers", "daily", "canopy_z"}
+_HEAVY = {*(f"boost_{r}" for r in range(4)), *(f"boost_{r}_{n}_best" for r in range(3) for n in range(2)), "dense", "optical", "radar", "usable", "canopy", "train_days", "score_days", "samples", "farmers", "daily", "canopy_z"}
 
 
 def rounded(body: str, *columns: str, digits: int = 6) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cropspark import constants as K
 from cropspark.functions import risk as R
-from cropspark.operators import metrics
+from cropspark.operators import metrics, peers
 from cropspark.operators.ranking import cumulative_counts, quantile_cuts
 from cropspark.plans import evaluation as EV
 from cropspark.queries.flatten import plain
@@ -154,7 +157,46 @@ def _cluster_quantiles(d):
     return quantile_cuts(counts, ["cluster"], "ndvi", points, d.n_clusters)
 
 
+def _fold_names(d):
+    samples = _samples(d)
+    names = lambda folds: sorted(r[0] for r in folds.select("fold").distinct().collect())
+    return names(EV.spatial_folds(samples)), names(EV.temporal_folds(samples))
+
+
+def _fold_references(d, samples, keys, columns):
+    """References of all folds of both protocols from their training rows."""
+    spatial, temporal = _fold_names(d)
+    cuts = [dt.date.fromisoformat(c) for c in temporal]
+    parts = [peers.spatial_references(samples, spatial, keys, columns).withColumn("protocol", F.lit("spatial"))]
+    if cuts:
+        parts.append(peers.temporal_references(samples, cuts, keys, columns).withColumn("protocol", F.lit("temporal")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _fold_reference_sql(table, columns, month):
+    """The same references, each fold computed anew from its own training rows."""
+    stats = ", ".join(f"avg(s.{c}) AS {c}_mu, stddev_samp(s.{c}) AS {c}_sigma" for c in columns)
+    m, on, key = (", CAST(month(obs_date) AS INTEGER) AS month", " AND month(s.obs_date) = k.month", ", k.month") if month else ("", "", "")
+    return f"""SELECT 'spatial' AS protocol, f.fold, k.cluster{key}, {stats} FROM folds_spatial f
+               CROSS JOIN (SELECT DISTINCT cluster{m} FROM {table}) k
+               LEFT JOIN {table} s ON (CASE WHEN k.cluster = f.fold THEN s.cluster <> f.fold ELSE s.cluster = k.cluster END){on} GROUP BY ALL
+               UNION ALL SELECT 'temporal', CAST(f.cut AS VARCHAR), s.cluster{m.replace('obs_date', 's.obs_date')}, {stats}
+               FROM folds_temporal f JOIN {table} s ON s.obs_date < f.cut GROUP BY ALL"""
+
+
+def _stat_columns(columns):
+    return [f"{c}_{m}" for c in columns for m in ("mu", "sigma")]
+
+
 QUERIES = {
+    "agg04_peer_reference_within_fold": (
+        lambda d: plain(_fold_references(d, d.canopy, [F.month("obs_date").alias("month")], K.PEER_RELATIVE), 9),
+        rounded(_fold_reference_sql("canopy", K.PEER_RELATIVE, True), *_stat_columns(K.PEER_RELATIVE), digits=9),
+    ),
+    "agg05_cluster_reference_within_fold": (
+        lambda d: plain(_fold_references(d, d.stored_samples, [], K.CLUSTER_RELATIVE)),
+        rounded(_fold_reference_sql("samples", K.CLUSTER_RELATIVE, False), *_stat_columns(K.CLUSTER_RELATIVE)),
+    ),
     "ml04_agg14_flt12_spatial_folds": (
         lambda d: plain(EV.spatial_folds(_samples(d)).drop("cluster", "protocol")),
         rounded("SELECT fold, n0, n1, n2 FROM folds_spatial"),

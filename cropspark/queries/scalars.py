@@ -8,6 +8,7 @@ from cropspark import constants as K
 from cropspark.functions import agronomy as A
 from cropspark.functions import farmer as FR
 from cropspark.functions import numeric as N
+from cropspark.functions import registry
 from cropspark.functions import risk as R
 from cropspark.functions import spectral as S
 from cropspark.functions.labels import linear_to_db
@@ -204,3 +205,88 @@ QUERIES = {
                    FROM farmers""", "area_ha", "yield_t_ha", "price"),
     ),
 }
+
+
+# --- the same rules called from SQL text: every query below must match the SQL of its Column form -------------------------
+
+
+def _in_sql(text: str, **views):
+    """A query of spark.sql over temporary views, with the rules registered as SQL functions."""
+
+    def build(d):
+        registry.register(d.spark)
+        for name, make in views.items():
+            make(d).createOrReplaceTempView(f"rules_{name}")
+        return plain(d.spark.sql(text))
+
+    return build
+
+
+def _raw(table):
+    return lambda d: d.raw(table)
+
+
+_KEY_TEXT = ", ".join(_KEYS)
+_STAGE_TEXT = "get(array(" + ", ".join(f"'{s}'" for s in [*STAGES, "Unknown"]) + "), CAST(l_linenumber - 1 AS INT))"
+
+_SQL_FORMS = {
+    "fn01_fn04_spectral_indices": _in_sql(
+        f"""SELECT {_KEY_TEXT}, ndvi(l_discount, l_tax) AS ndvi, ndmi(l_tax, l_discount) AS ndmi, ndre(l_quantity / 50, l_discount) AS ndre,
+            evi(l_discount, l_tax, l_quantity / 50) AS evi, savi(l_discount, l_tax) AS savi, rvi(l_tax, l_discount) AS rvi,
+            vh_vv_ratio(l_tax, l_discount) AS ratio FROM rules_lineitem""",
+        lineitem=_raw("lineitem"),
+    ),
+    "fn05_fn06_fn08_fn36_standardise_and_round": _in_sql(
+        f"""SELECT {_KEY_TEXT}, anomaly_z(x, mu, sd) AS z, reference_z(x, nullif(mu, 0D), nullif(sd, 2D)) AS ref_z,
+            logistic(l_discount - l_tax, 0.01D, 12D) AS squashed, clamp01((x - 20) / 20) AS unit, vci(x, mu, mu + sd * 10) AS vci,
+            half_even_2(x / 8) AS rounded, linear_to_db(l_discount) AS db
+            FROM (SELECT *, l_quantity AS x, l_discount * 500 AS mu, CAST(floor(l_tax * 100 / 3) AS DOUBLE) AS sd FROM rules_lineitem)""",
+        lineitem=_raw("lineitem"),
+    ),
+    "fn10_fn16_degree_days": _in_sql(
+        """SELECT site_id, date, growing_degree_days(tmin, tmax) AS gdd, is_hot(tmax) AS hot,
+           fall_armyworm_generations(growing_degree_days(tmin, tmax) * 90) AS generations FROM rules_daily""",
+        daily=lambda d: d.daily_weather,
+    ),
+    "fn11_fn12_join15_stage_and_coefficient": _in_sql(
+        f"SELECT o_orderkey, stage, crop_coefficient(stage) AS kc FROM (SELECT o_orderkey, phenology_stage(o_totalprice / 240, {CROP_SQL}) AS stage FROM rules_orders)",
+        orders=_raw("orders"),
+    ),
+    "fn13_fn14_water_balance": _in_sql(
+        f"""SELECT {_KEY_TEXT}, named_struct('requirement_mm', w.requirement_mm, 'rainfall_mm', half_even_1(rain + 1.5D), 'deficit_mm', half_even_1(greatest(0D, need - rain - 1.5D)),
+            'satisfaction', half_even_3(CASE WHEN need <= 1e-6 THEN 1D ELSE least(1D, (rain + 1.5D) / need) END)) AS w, heat_stress_days(CAST(floor(l_discount * 100) AS INT), stage) AS heat_days
+            FROM (SELECT *, water_balance(rain, et0, stage) AS w, crop_coefficient(stage) * et0 AS need FROM (
+              SELECT *, l_quantity * 4 + floor(l_tax * 100) AS rain, CAST(floor(l_extendedprice / 500) AS DOUBLE) AS et0, {_STAGE_TEXT} AS stage FROM rules_lineitem))""",
+        lineitem=_raw("lineitem"),
+    ),
+    "fn15_daily_severity": _in_sql(
+        "SELECT event_id, daily_severity(half_even_1(value % 35), CAST(hour(ts) + pmod(user_id, 4) AS INT)) AS dsv FROM rules_events", events=_raw("events")
+    ),
+    "fn17_fn22_fn23_hazard_probabilities": _in_sql(
+        f"""SELECT {_KEY_TEXT}, hazard, p, expected_severity(p['medium'], p['high']) AS severity FROM (
+            SELECT *, hazard_probabilities(hazard) AS p FROM (SELECT *, vegetation_hazard((l_discount - l_tax) * 40) AS hazard FROM rules_lineitem))""",
+        lineitem=_raw("lineitem"),
+    ),
+    "fn18_agg11_hazard": _in_sql(
+        f"SELECT {_KEY_TEXT}, assess_hazard(ws, dry, CAST(dsv AS BIGINT), CAST(heat AS INT), vegetation_hazard(z)) AS h FROM rules_hazards", hazards=_hazard_inputs
+    ),
+    "fn19_fn20_fn21_risk": _in_sql(
+        f"""SELECT {_KEY_TEXT}, value_at_risk, r.risk_score, r.expected_loss, r.severity, severity_class(r.severity) AS cls, priority_label(severity_class(r.severity)) AS label FROM (
+            SELECT *, assess_risk(h.combined, value_at_risk, ws) AS r FROM (
+              SELECT *, assess_hazard(ws, dry, CAST(dsv AS BIGINT), CAST(heat AS INT), vegetation_hazard(z)) AS h, assess_exposure(area, yield, 12.5D) AS value_at_risk
+              FROM rules_hazards)) WHERE ws IS NOT NULL""",
+        hazards=_hazard_inputs,
+    ),
+    "agg12_fn29_fn30_vulnerability": _in_sql(
+        f"""SELECT field_id, v, array_compact(array({', '.join(f'describe_gap(get(v.gaps, {i}))' for i in range(len(K.COPING_WEIGHTS)))})) AS wording FROM (
+           SELECT field_id, assess_vulnerability(has_extension_access, received_credit, used_fertilizer, crop_diversity_score, asset_score, market_access_score) AS v FROM rules_survey)""",
+        survey=lambda d: d.field_survey,
+    ),
+    "fn26_fn27_fn28_farm_inputs": _in_sql(
+        """SELECT user_id, dominant_crop(crops) AS crop, dominant_crop_text(array_join(crops, ', ')) AS crop_text, farm_size_ha(farm_size) AS area_ha,
+           expected_yield(yield_value, market_access_score / 100) AS yield_t_ha, price_per_t(dominant_crop(crops)) AS price FROM rules_farmers""",
+        farmers=lambda d: d.farmers,
+    ),
+}
+
+QUERIES |= {f"{name}_from_sql": (build, QUERIES[name][1]) for name, build in _SQL_FORMS.items()}

@@ -8,7 +8,7 @@ from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import dsv, rounded
 from cropspark.streaming import outcomes as SO
 from cropspark.streaming import wetness as SW
-from cropspark.streaming.runs import file_stream, run_to_files
+from cropspark.streaming.runs import file_stream, rocksdb_state, run_to_files
 
 
 def _readings(d):
@@ -32,9 +32,10 @@ _DAILY_SQL = f"""SELECT site_id, day, wet_hours, wet_temp, {dsv('wet_temp', 'wet
 
 def _since_spray(d):
     source = _daily(d)
-    days = d.spark.readStream.schema(d.spark.read.parquet(source).schema).parquet(source)
-    out = run_to_files(SW.severity_since_spray(days), "spray")
-    return d.spark.read.parquet(out)
+    days = d.spark.readStream.schema(d.spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    with rocksdb_state(d.spark):
+        out = run_to_files(SW.severity_since_spray(days), "spray")
+    return SW.latest_revision(d.spark.read.parquet(out))
 
 
 def _outcome_stream(d):

@@ -15,7 +15,7 @@ from cropspark.plans import models as MO
 from cropspark.plans.features import run_summary
 from cropspark.sources import snapshot
 from cropspark.streaming import wetness as SW
-from cropspark.streaming.runs import run_to_files
+from cropspark.streaming.runs import rocksdb_state, run_to_files
 
 
 def months_of_weather(spark):
@@ -181,9 +181,54 @@ def test_streamed_days_and_running_total(spark, tmp_path):
     got = spark.read.parquet(daily).orderBy("day").collect()
     assert [(r.wet_hours, r.severity) for r in got] == [(16, 2)] * 4
     days = spark.readStream.schema(spark.read.parquet(daily).schema).parquet(daily)
-    total = run_to_files(SW.severity_since_spray(days), "u", str(tmp_path / "total"))
-    assert [r.total for r in spark.read.parquet(total).orderBy("day").collect()] == [2, 4, 2, 4]
+    with rocksdb_state(spark):
+        total = run_to_files(SW.severity_since_spray(days), "u", str(tmp_path / "total"))
+    assert [r.total for r in SW.latest_revision(spark.read.parquet(total)).orderBy("day").collect()] == [2, 4, 2, 4]
     (source / "b.json").write_text(json.dumps({"site_id": "s", "ts": "2024-01-02T05:00:00Z", "temp": 20.0, "rh": 99.0, "sprayed": False}))
     run_to_files(SW.daily_wetness(stream), "t", str(tmp_path / "daily"))
     again = spark.read.parquet(daily).filter("day = '2024-01-02'").collect()
     assert [r.wet_hours for r in again] == [16]
+
+
+def test_days_in_any_order_and_late_sprays_are_summed_again(spark, tmp_path):
+    import random
+
+    draw = random.Random(5)
+    start = dt.date(2024, 5, 1)
+    days = [("a", start + dt.timedelta(days=i), draw.randrange(5), i in (4, 11)) for i in range(20)]
+    days += [("b", start + dt.timedelta(days=i), draw.randrange(5), False) for i in range(0, 20, 3)]
+    schema = "site_id string, day date, severity int, sprayed boolean"
+    draw.shuffle(days)
+    late = [("a", start + dt.timedelta(days=15), 0, True), ("b", start + dt.timedelta(days=6), 4, False)]  # a spray told late, a day told twice
+    source = tmp_path / "in"
+    for n, part in enumerate([days[:9], days[9:18], days[18:], late]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(source / f"batch={n}"))
+        stream = spark.readStream.schema(schema).parquet(str(source / "batch=*"))
+        with rocksdb_state(spark):
+            out = run_to_files(SW.severity_since_spray(stream), "u", str(tmp_path / "total"))
+    told = {}
+    for site, day, severity, sprayed in days + late:
+        old = told.get((site, day), (0, False))
+        told[site, day] = (max(old[0], severity), old[1] or sprayed)
+    want, total = {}, {}
+    for (site, day), (severity, sprayed) in sorted(told.items()):
+        total[site] = (0 if sprayed else total.get(site, 0)) + severity
+        want[site, day] = (severity, total[site], total[site] >= K.SPRAY_THRESHOLD)
+    got = {(r.site_id, r.day): (r.severity, r.total, r.spray_due) for r in SW.latest_revision(spark.read.parquet(out)).collect()}
+    assert got == want
+
+
+def test_closed_days_leave_the_state(spark, tmp_path):
+    schema = "site_id string, day date, severity int, sprayed boolean"
+    start = dt.date(2024, 5, 1)
+    source = tmp_path / "in"
+    for n, offsets in enumerate([(0, 1), (2, 10), (11, 1)]):  # the last batch has a day that was closed with the second
+        part = [("a", start + dt.timedelta(days=i), 2, False) for i in offsets]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(source / f"batch={n}"))
+        stream = spark.readStream.schema(schema).parquet(str(source / "batch=*"))
+        with rocksdb_state(spark):
+            out = run_to_files(SW.severity_since_spray(stream, "2 days"), "u", str(tmp_path / "total"))
+    rows = SW.latest_revision(spark.read.parquet(out)).orderBy("day").collect()
+    assert [(r.day - start).days for r in rows] == [0, 1, 2, 10, 11] and [r.total for r in rows] == [2, 4, 6, 8, 10]
+    held = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "total" / "state"))
+    assert sorted(r.user_map_key.day - (start - dt.date(1970, 1, 1)).days for r in held.collect()) == [10, 11]
