@@ -25,7 +25,7 @@ def nightly(fields: DataFrame, state: DataFrame, root: str, now: dt.datetime) ->
     rows = cut_lineage(field_features(fields, state))
     failed = cut_lineage(failed_fields(fields, state))
     store.create_empty(spark, root, "field_features")
-    store.write_features(to_store_rows(rows, F.lit(now).cast("timestamp_ntz")), root)
+    store.write_features(to_store_rows(rows, F.lit(now).cast("timestamp_ntz")), root, f"nightly-{now:%Y%m%dT%H%M%S%f}")
     failed.withColumn("run_at", F.lit(now).cast("timestamp_ntz")).write.mode("append").parquet(f"{root}/rejects")
     return run_summary(rows, failed, store.prune_features(spark, root, now))
 

@@ -10,10 +10,10 @@ from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, RADAR_KEYS
 from cropspark.operators.lookup import latest_by
 from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import rounded
-from cropspark.schemas import STORE_TABLES
+from cropspark.schemas import STORE_TABLES, WEATHER_PAYLOAD
 from cropspark.sources import landed, store
 from cropspark.sources.sites import sample_sites
-from cropspark.streaming.runs import scratch
+from cropspark.streaming.runs import run_to_files, scratch
 
 NOW = "2001-07-30 12:00:00"
 
@@ -60,6 +60,52 @@ def _pruned(d):
     return kept.agg(F.lit(pruned).cast("long").alias("pruned"), F.count(F.lit(1)).alias("kept"), F.min("computed_at").cast("string").alias("oldest_kept"))
 
 
+def _retried_append(d):
+    """A batch told twice, one whose run died before its commit, and one whose run died after it: each counts once or not at all."""
+    root = scratch(d.spark, "store")
+    log = _store_rows(_feature_log(d))
+    urgent, rest = F.col("crop").isin("1-URGENT", "2-HIGH"), ~F.col("crop").isin("1-URGENT", "2-HIGH")
+    for _ in range(2):
+        store.append(log.filter(urgent), root, "field_features", "night-1")
+    day = F.to_date("computed_at").alias("day")
+    log.select("*", day).write.partitionBy("day").parquet(f"{root}/field_features/{store.STAGING}/night-2-dead")
+    files = store._Files(d.spark, f"{root}/field_features")
+    log.filter(rest).select("*", day).write.partitionBy("day").parquet(files.at(f"{store.STAGING}/night-3-late"))
+    store._commit(files, "night-3", f"{store.STAGING}/night-3-late", 0)
+    stored = store.read(d.spark, root, "field_features")
+    return stored.groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.sum("latitude").cast("long").alias("rows_sum"), F.max("computed_at").alias("last"))
+
+
+def _retried_predictions(d):
+    """Predictions written twice under one name; the second run adds nothing and still hands back its ids."""
+    root = scratch(d.spark, "store")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in STORE_TABLES["predictions"].fields}
+    made = empty | {c: F.col(c) for c in ("id", "field_id", "predicted_at", "model_version", "risk_score", "severity")}
+    rows = d.predictions.select(*[c.cast(STORE_TABLES["predictions"][n].dataType).alias(n) for n, c in made.items()])
+    ids = [store.write_predictions(rows, root, "run-1") for _ in range(2)][-1]
+    stored = store.read(d.spark, root, "predictions").join(ids.select("id"), "id", "left_semi")
+    return stored.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("risk"), F.max("predicted_at").alias("last"))
+
+
+def _quarantine(d):
+    """Weather payloads of which some arrive cut off, with a wrong site, without a site or without days, met by a file stream."""
+    text, site = F.to_json(F.struct("site_id", "daily")), F.col("site_id") % 7
+    broken = (
+        F.when(site == 0, F.substring(text, 1, 200))
+        .when(site == 1, F.replace(text, F.concat(F.lit('"site_id":'), F.col("site_id")), F.lit('"site_id":"unknown"')))
+        .when(site == 2, F.replace(text, F.concat(F.lit('"site_id":'), F.col("site_id"), F.lit(",")), F.lit("")))
+        .when(site == 3, F.concat(F.lit('{"site_id":'), F.col("site_id"), F.lit("}")))
+        .otherwise(text)
+    )
+    landing = scratch(d.spark, "landed")
+    d.weather_payloads.select(broken.alias("value")).write.text(landing)
+    out = run_to_files(landed.sifted(d.spark, landing, WEATHER_PAYLOAD, "daily"), "sifted")
+    rows = d.spark.read.parquet(out)
+    days = landed.daily_from_payload(landed.accepted(rows)).agg(F.count(F.lit(1)).alias("days")).withColumn("one", F.lit(1))
+    counts = rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("payloads")).withColumn("one", F.lit(1))
+    return counts.join(days, "one").select("reason", "payloads", F.when(F.col("reason") == "accepted", F.col("days")).alias("days"))
+
+
 def _json_safe(d):
     """Shares with a zero denominator produce NaN and infinities, which must come out as NULL."""
     pct = F.round(F.col("l_discount") * 100)
@@ -107,6 +153,21 @@ QUERIES = {
         lambda d: plain(landed.hourly_from_payload(landed.hourly_payloads(d.spark, d.landed(d.hourly_payloads)))),
         rounded("SELECT site_id, CAST(ts AS VARCHAR) AS ts, temp, rh FROM hourly", "temp", "rh"),
     ),
+    "src01_src06_payload_quarantine": (
+        lambda d: plain(_quarantine(d)),
+        rounded("""SELECT reason, count(*) AS payloads, CASE WHEN reason = 'accepted' THEN CAST(sum(n) AS BIGINT) END AS days FROM (
+                     SELECT CASE site_id % 7 WHEN 0 THEN 'no json' WHEN 1 THEN 'half parsed' WHEN 2 THEN 'no site' WHEN 3 THEN 'no series' ELSE 'accepted' END AS reason, n
+                     FROM (SELECT site_id, count(*) AS n FROM daily GROUP BY 1)) GROUP BY 1"""),
+    ),
+    "src10_retried_feature_append": (
+        lambda d: plain(_retried_append(d)),
+        rounded("""SELECT o_orderpriority AS crop, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS rows_sum,
+                          CAST(CAST(max(date_trunc('month', o_orderdate)) AS TIMESTAMP) AS VARCHAR) AS last FROM orders GROUP BY 1"""),
+    ),
+    "src11_retried_prediction_write": (
+        lambda d: plain(_retried_predictions(d)),
+        rounded("SELECT severity, count(*) AS n, sum(risk_score) AS risk, CAST(max(predicted_at) AS VARCHAR) AS last FROM predictions GROUP BY 1", "risk"),
+    ),
     "src10_idempotent_feature_append": (
         lambda d: plain(_idempotent_append(d)),
         rounded("""SELECT o_custkey AS field_id, CAST(CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS VARCHAR) AS computed_at, o_orderkey AS row_id, o_orderpriority AS crop

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cropspark.constants import BAND_KEYS, OPTICAL_KEYS, PAYLOAD_VARS, RADAR_KEYS, WEATHER_VARS
 from cropspark.functions.numeric import finite_or_null
@@ -15,6 +16,39 @@ def weather_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WEATHER_PAYLOAD).json(path)
 
 
+CORRUPT = "_corrupt"
+
+
+def sifted(spark: SparkSession, path: str, schema: T.StructType, series: str) -> DataFrame:
+    """A stream of landed payload files, each payload with its file and, where it is refused, the reason.
+
+    Payloads are read one per line and permissively: what does not parse keeps its text. Refused are payloads that are no JSON, those
+    of which only a part fits the schema, those without a site, and those without a time in ``series``. Each file is met once.
+    """
+    wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.readStream.schema(wanted).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    parsed = F.lit(False)
+    for f in schema.fields:
+        parsed = parsed | F.col(f.name).isNotNull()
+    broken = F.col(CORRUPT).isNotNull()
+    reason = (
+        F.when(broken & ~parsed, "no json")
+        .when(broken, "half parsed")
+        .when(F.col("site_id").isNull(), "no site")
+        .when(F.coalesce(F.size(f"{series}.time"), F.lit(0)) <= 0, "no series")
+    )
+    return rows.select(*schema.fieldNames(), F.col("_metadata.file_name").alias("file"), F.col(CORRUPT).alias("raw"), reason.alias("reason"))
+
+
+def accepted(sifted_rows: DataFrame) -> DataFrame:
+    return sifted_rows.filter(F.col("reason").isNull()).drop("file", "raw", "reason")
+
+
+def refused(sifted_rows: DataFrame) -> DataFrame:
+    """The side table: file, reason, and the text where there was no payload to keep."""
+    return sifted_rows.filter(F.col("reason").isNotNull()).select("file", "reason", "site_id", "raw")
+
+
 def _series(path: str) -> Column:
     """A missing key reads as an empty series; zipping pads it with NULL."""
     return F.coalesce(F.col(path), F.array().cast("array<double>"))

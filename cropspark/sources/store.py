@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
+import uuid
+from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ def ensure_schema(spark: SparkSession, root: str) -> None:
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All committed rows of a table."""
+    recover(spark, root, table)
     return spark.read.schema(_partitioned(table)).parquet(_path(root, table))
 
 
@@ -51,18 +56,128 @@ def _declared(spark: SparkSession, root: str, table: str) -> bool:
     return any(r["data_type"].split(":", 1)[-1].lstrip("/") == _path(root, table).split(":", 1)[-1].lstrip("/") for r in rows)
 
 
-def append(rows: DataFrame, root: str, table: str) -> None:
-    """Append rows; the partition day comes from the table's time column.
+def append(rows: DataFrame, root: str, table: str, batch: str | None = None) -> int:
+    """Append rows as one batch, whole or not at all; returns how many. The partition day comes from the table's time column.
 
-    A declared table is written through the catalogue, which takes up new days, so readers by name see them.
+    The rows are written to a staging folder that readers do not see. One rename of the batch's manifest commits them, and the files
+    then move to their days. A run that dies before the rename leaves nothing; one that dies after it is finished by whoever
+    reads or appends next (``recover``). A batch that is committed already adds nothing, so a run may be repeated under its name.
+    Moved days are taken up by a declared table's catalogue, so readers by name see them.
     """
     spark = rows.sparkSession
+    batch = batch or uuid.uuid4().hex
+    files = _Files(spark, _path(root, table))
+    create_empty(spark, root, table)
+    recover(spark, root, table)
+    if files.exists(f"{COMMITS}/{batch}"):
+        return 0
     names = STORE_TABLES[table].fieldNames()
-    ready = rows.select(*names).withColumn("day", F.to_date(TIME_COLUMN[table]))
-    if _declared(spark, root, table):
-        ready.write.insertInto(table)
-    else:
-        ready.write.mode("append").partitionBy("day").parquet(_path(root, table))
+    written = Observation()
+    attempt = f"{STAGING}/{batch}-{uuid.uuid4().hex}"
+    ready = rows.select(*names).withColumn("day", F.to_date(TIME_COLUMN[table])).observe(written, F.count(F.lit(1)).alias("n"))
+    ready.write.partitionBy("day").parquet(files.at(attempt))
+    n = written.get["n"]
+    if not _commit(files, batch, attempt, n):
+        files.delete(attempt)
+        return 0
+    _publish(spark, files, root, table, batch)
+    return n
+
+
+STAGING, COMMITS = "_staging", "_commits"
+
+
+class _Files:
+    """Files below one table's folder, on whatever file system it lies."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self._jvm, self.base = spark._jvm, base
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._system = self._path("").getFileSystem(self._conf)
+
+    def at(self, name: str) -> str:
+        return f"{self.base}/{name}" if name else self.base
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self.at(name))
+
+    def exists(self, name: str) -> bool:
+        return self._system.exists(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._system.listStatus(self._path(name))) if self.exists(name) else []
+
+    def read(self, name: str) -> str:
+        stream = self._system.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self._system.create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def delete(self, name: str) -> None:
+        self._system.delete(self._path(name), True)
+
+    def make(self, name: str) -> None:
+        self._system.mkdirs(self._path(name))
+
+    @cached_property
+    def _renames(self):
+        fs = self._jvm.org.apache.hadoop.fs
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = getattr(fs, "Options$Rename").NONE
+        return fs.FileContext.getFileContext(self._system.getUri(), self._conf), options
+
+    def move(self, source: str, target: str) -> bool:
+        """Rename in one step; False where the target is there already."""
+        context, options = self._renames
+        try:
+            context.rename(self._path(source), self._path(target), options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+
+def _commit(files: _Files, batch: str, attempt: str, n: int) -> bool:
+    """The one step that makes a batch count: its manifest takes its name. False if another run of the batch was first."""
+    files.make(COMMITS)
+    draft = f"{COMMITS}/.{attempt.rsplit('/', 1)[1]}"
+    files.write(draft, json.dumps({"attempt": attempt, "rows": n}))
+    if files.move(draft, f"{COMMITS}/{batch}"):
+        return True
+    files.delete(draft)
+    return False
+
+
+def _publish(spark: SparkSession, files: _Files, root: str, table: str, batch: str) -> None:
+    """Move a committed batch's files to their days; what an earlier run has moved is not met again."""
+    attempt = json.loads(files.read(f"{COMMITS}/{batch}"))["attempt"]
+    days = [d for d in files.names(attempt) if d.startswith("day=")]
+    for day in days:
+        if not files.move(f"{attempt}/{day}", day):  # a new day moves as a folder, a known one file by file
+            for name in files.names(f"{attempt}/{day}"):
+                files.move(f"{attempt}/{day}/{name}", f"{day}/{name}")
+    if days and _declared(spark, root, table):
+        spec = [d.removeprefix("day=") for d in days]
+        parts = " ".join("PARTITION (day = NULL)" if d == "__HIVE_DEFAULT_PARTITION__" else f"PARTITION (day = DATE '{d}')" for d in spec)
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
+        spark.catalog.refreshTable(table)
+    files.delete(attempt)
+
+
+def recover(spark: SparkSession, root: str, table: str) -> None:
+    """Finish the moves of batches that were committed by a run that did not come to its end."""
+    files = _Files(spark, _path(root, table))
+    for name in files.names(STAGING):
+        batch = name.rsplit("-", 1)[0]
+        if files.exists(f"{COMMITS}/{batch}") and json.loads(files.read(f"{COMMITS}/{batch}"))["attempt"] == f"{STAGING}/{name}":
+            _publish(spark, files, root, table, batch)
 
 
 def create_empty(spark: SparkSession, root: str, table: str) -> None:
@@ -98,20 +213,20 @@ def new_rows(existing: DataFrame, batch: DataFrame, keys: list[str], order: list
     return first.join(existing.select(*keys), keys, "left_anti").select(*batch.columns)
 
 
-def write_features(batch: DataFrame, root: str) -> None:
-    """Idempotent on (field_id, computed_at); only the days of the batch are read back."""
+def write_features(batch: DataFrame, root: str, name: str | None = None) -> int:
+    """Idempotent on (field_id, computed_at); only the days of the batch are read back. Returns the rows added."""
     spark = batch.sparkSession
     stored = read(spark, root, "field_features")
     days = batch.select(F.to_date("computed_at").alias("day")).distinct()
     same_days = join_reference(stored, days, ["day"], "left_semi")
     fresh = new_rows(same_days, batch, ["field_id", "computed_at"], ["latitude", "longitude"])
-    append(clean(fresh), root, "field_features")
+    return append(clean(fresh), root, "field_features", name)
 
 
-def write_predictions(rows: DataFrame, root: str) -> DataFrame | None:
+def write_predictions(rows: DataFrame, root: str, name: str | None = None) -> DataFrame | None:
     """Append and hand the ids back for linking; a failing audit table must not fail the scoring."""
     try:
-        append(clean(rows), root, "predictions")
+        append(clean(rows), root, "predictions", name)
     except (PySparkException, Py4JJavaError) as e:  # a failed write comes back as either
         log.warning("predictions not persisted: %s", e)
         return None
@@ -130,10 +245,10 @@ def split_outcomes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(valid_outcome()), rows.filter(~valid_outcome())
 
 
-def write_outcomes(rows: DataFrame, root: str) -> DataFrame:
+def write_outcomes(rows: DataFrame, root: str, name: str | None = None) -> DataFrame:
     """Append the valid reports and return the refused ones."""
     good, refused = split_outcomes(rows)
-    append(clean(good), root, "field_outcomes")
+    append(clean(good), root, "field_outcomes", name)
     return refused
 
 
@@ -159,23 +274,23 @@ def prune_features(spark: SparkSession, root: str, now: dt.datetime, keep_days:
     """
     limit = now - dt.timedelta(days=keep_days)
     stored = read(spark, root, "field_features")
-    old = stored.filter((F.col("day") <= F.lit(limit.date())) & (F.col("computed_at") < F.lit(limit)))
-    days = {r["day"]: r["n"] for r in old.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
     path = _path(root, "field_features")
-    if limit.date() in days:
-        kept = cut_lineage(
-            stored.filter((F.col("day") == F.lit(limit.date())) & (F.col("computed_at") >= F.lit(limit)))
-        )
-        if kept.isEmpty():
-            _drop_day(spark, root, "field_features", limit.date())
-        else:
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    for day in days:
-        if day < limit.date():
-            _drop_day(spark, root, "field_features", day)
+    # whole days are counted from the files' footers; the day of the limit is counted by the pass that rewrites it
+    whole = {r["day"]: r["n"] for r in stored.filter(F.col("day") < F.lit(limit.date())).groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = Observation()
+    counts = [F.count_if(F.col("computed_at") < F.lit(limit)).alias("old"), F.count(F.lit(1)).alias("all")]
+    of_limit = stored.filter(F.col("day") == F.lit(limit.date())).observe(seen, *counts)
+    kept = cut_lineage(of_limit.filter(~(F.col("computed_at") < F.lit(limit))))
+    old = seen.get["old"]
+    if old and old == seen.get["all"]:
+        _drop_day(spark, root, "field_features", limit.date())
+    elif old:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in whole:
+        _drop_day(spark, root, "field_features", day)
     if _declared(spark, root, "field_features"):
         spark.catalog.refreshTable("field_features")
-    return sum(days.values())
+    return sum(whole.values()) + old
 
 
 def _drop_day(spark: SparkSession, root: str, table: str, day: dt.date) -> None:

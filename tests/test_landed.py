@@ -46,3 +46,21 @@ def test_short_humidity_series(spark, tmp_path):
     path = write(tmp_path / "h.json", [{"site_id": 1, "hourly": hourly}])
     rows = landed.hourly_from_payload(landed.hourly_payloads(spark, path)).orderBy("ts").collect()
     assert (rows[0].rh, rows[1].rh, rows[1].temp) == (95.0, None, 21.0)
+
+
+def test_broken_payloads_go_to_the_side_table(spark, tmp_path):
+    from cropspark.schemas import WEATHER_PAYLOAD
+    from cropspark.streaming.runs import run_to_files
+
+    good = '{"site_id": 1, "daily": {"time": ["2024-01-01"], "temperature_2m_max": [30.0]}}'
+    lines = [good, good[:40], '{"site_id": "x", "daily": {"time": ["2024-01-01"]}}', '{"daily": {"time": ["2024-01-01"]}}', '{"site_id": 2, "daily": {"time": []}}', '{"site_id": 3}']
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(lines))
+    sift = lambda: spark.read.parquet(run_to_files(landed.sifted(spark, str(source), WEATHER_PAYLOAD, "daily"), "s", str(tmp_path / "out")))
+    rows = sift()
+    assert sorted((r.reason, r.file) for r in landed.refused(rows).collect()) == sorted((x, "a.json") for x in ("no json", "half parsed", "no site", "no series", "no series"))
+    assert [r.site_id for r in landed.accepted(rows).collect()] == [1]
+    assert [r.raw for r in landed.refused(rows).filter("reason = 'no json'").collect()] == [good[:40]]
+    (source / "b.json").write_text(good)
+    assert landed.accepted(sift()).count() == 2 and landed.refused(sift()).count() == 5  # a file is met once

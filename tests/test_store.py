@@ -117,3 +117,71 @@ def test_json_safe_nested(spark):
     df = spark.sql("SELECT named_struct('a', double('NaN'), 'b', array(double('Infinity'), 1D), 'c', map('k', double('NaN'))) AS s")
     s = store.clean(df).first().s
     assert s.a is None and s.b == [None, 1.0] and s.c == {"k": None}
+
+
+class Died(Exception):
+    pass
+
+
+def test_a_run_that_dies_before_its_commit_adds_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = feature_rows(spark, [(1, NOW, 0.1), (2, NOW - dt.timedelta(days=1), 0.2)])
+
+    def dies(*_):
+        raise Died
+
+    monkeypatch.setattr(store, "_commit", dies)
+    try:
+        store.append(rows, root, "field_features", "night")
+    except Died:
+        pass
+    monkeypatch.undo()
+    assert store.read(spark, root, "field_features").count() == 0
+    assert store.append(rows, root, "field_features", "night") == 2
+    assert store.append(rows, root, "field_features", "night") == 0
+    assert store.read(spark, root, "field_features").count() == 2
+
+
+def test_a_run_that_dies_after_its_commit_is_finished_by_readers(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = feature_rows(spark, [(i, NOW - dt.timedelta(days=i), 0.1) for i in range(4)])
+    moved = []
+    move = store._Files.move
+
+    def dies(self, source, target):
+        if target.startswith("day="):
+            moved.append(target)
+            if len(moved) > 2:
+                raise Died
+        return move(self, source, target)
+
+    monkeypatch.setattr(store._Files, "move", dies)
+    try:
+        store.append(rows, root, "field_features", "night")
+    except Died:
+        pass
+    monkeypatch.undo()
+    assert len(moved) == 3
+    assert store.append(rows, root, "field_features", "night") == 0
+    assert sorted(r.field_id for r in store.read(spark, root, "field_features").collect()) == [0, 1, 2, 3]
+    assert list((tmp_path / "field_features" / store.STAGING).iterdir()) == []
+
+
+def test_of_two_runs_of_a_batch_the_first_to_commit_counts(spark, tmp_path):
+    root, base = str(tmp_path), f"{tmp_path}/field_features"
+    files = store._Files(spark, base)
+    rows = feature_rows(spark, [(1, NOW, 0.1)])
+    for run in "ab":
+        rows.withColumn("day", F.to_date("computed_at")).write.partitionBy("day").parquet(f"{base}/{store.STAGING}/night-{run}")
+    assert store._commit(files, "night", f"{store.STAGING}/night-b", 1)
+    assert not store._commit(files, "night", f"{store.STAGING}/night-a", 1)
+    assert store.read(spark, root, "field_features").count() == 1
+
+
+def test_pruning_counts_in_the_pass_that_rewrites(spark, tmp_path):
+    root = str(tmp_path)
+    limit = NOW - dt.timedelta(days=90)
+    store.append(feature_rows(spark, [(i, limit - dt.timedelta(hours=i), 0.1) for i in range(1, 9)]), root, "field_features")
+    assert store.prune_features(spark, root, NOW) == 8  # the day of the limit goes whole
+    assert store.read(spark, root, "field_features").count() == 0
+    assert store.prune_features(spark, root, NOW) == 0
