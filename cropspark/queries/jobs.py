@@ -124,15 +124,15 @@ def _db(x):
     return f"CASE WHEN {x} > 0 THEN (10e0 * log10({x}) + 25e0) / 25e0 WHEN {x} IS NOT NULL THEN (-50e0 + 25e0) / 25e0 END"
 
 
-_CHANNEL_SQL = {
+CHANNEL_SQL = {
     "vv": _db("r.vv"), "vh": _db("r.vh"), **{b: f"b.{b}" for b in K.BAND_KEYS},
     "temp": "(w.temp + 1e0) / 35e0", "precip": "(w.rain / 1000e0) / 0.03e0", "ndvi": "o.ndvi",
 }
 _EMBED_SQL = f"""
 SELECT k.site_id, CAST(k.obs_date AS VARCHAR) AS obs_date, CAST(month(k.obs_date) - 1 AS INTEGER) AS month, CAST(k.t AS INTEGER) AS t,
-       {', '.join(f"coalesce(CAST(CAST({v} AS FLOAT) AS DOUBLE), 0e0) AS x_{c}" for c, v in _CHANNEL_SQL.items())},
+       {', '.join(f"coalesce(CAST(CAST({v} AS FLOAT) AS DOUBLE), 0e0) AS x_{c}" for c, v in CHANNEL_SQL.items())},
        CAST(CAST(s.elevation / 2000e0 AS FLOAT) AS DOUBLE) AS x_elevation, 0e0 AS x_slope,
-       CAST({' + '.join(f"CASE WHEN ({v}) IS NULL THEN 1 ELSE 0 END" for v in _CHANNEL_SQL.values())} AS DOUBLE) AS missing
+       CAST({' + '.join(f"CASE WHEN ({v}) IS NULL THEN 1 ELSE 0 END" for v in CHANNEL_SQL.values())} AS DOUBLE) AS missing
 FROM (SELECT site_id, obs_date, t, CAST(date_trunc('month', obs_date) - to_months(CAST(11 - t AS INTEGER)) AS DATE) AS m
       FROM canopy CROSS JOIN (SELECT unnest(range(0, 12)) AS t)) k
 JOIN sites s ON s.site_id = k.site_id
@@ -141,6 +141,8 @@ LEFT JOIN (SELECT site_id, {_MONTH.format('sensing_date')} AS m, avg(ndvi) AS nd
 LEFT JOIN (SELECT site_id, {_MONTH.format('sensing_date')} AS m, avg(vv) AS vv, avg(vh) AS vh FROM radar GROUP BY 1, 2) r ON r.site_id = k.site_id AND r.m = k.m
 LEFT JOIN (SELECT site_id, {_MONTH.format('sensing_date')} AS m, {_BAND_AVG} FROM bands GROUP BY 1, 2) b ON b.site_id = k.site_id AND b.m = k.m"""
 
+EMBED_FROM = _EMBED_SQL[_EMBED_SQL.index("FROM (SELECT site_id, obs_date, t") :]
+
 QUERIES = {
     "job01_training_samples": (
         lambda d: plain(d.samples),

@@ -81,7 +81,8 @@ def _retried_predictions(d):
     root = scratch(d.spark, "store")
     empty = {f.name: F.lit(None).cast(f.dataType) for f in STORE_TABLES["predictions"].fields}
     made = empty | {c: F.col(c) for c in ("id", "field_id", "predicted_at", "model_version", "risk_score", "severity")}
-    rows = d.predictions.select(*[c.cast(STORE_TABLES["predictions"][n].dataType).alias(n) for n, c in made.items()])
+    monthly = d.predictions.withColumn("predicted_at", F.date_trunc("month", "predicted_at"))
+    rows = monthly.select(*[c.cast(STORE_TABLES["predictions"][n].dataType).alias(n) for n, c in made.items()])
     ids = [store.write_predictions(rows, root, "run-1") for _ in range(2)][-1]
     stored = store.read(d.spark, root, "predictions").join(ids.select("id"), "id", "left_semi")
     return stored.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("risk"), F.max("predicted_at").alias("last"))
@@ -166,7 +167,7 @@ QUERIES = {
     ),
     "src11_retried_prediction_write": (
         lambda d: plain(_retried_predictions(d)),
-        rounded("SELECT severity, count(*) AS n, sum(risk_score) AS risk, CAST(max(predicted_at) AS VARCHAR) AS last FROM predictions GROUP BY 1", "risk"),
+        rounded("SELECT severity, count(*) AS n, sum(risk_score) AS risk, CAST(CAST(max(date_trunc('month', predicted_at)) AS TIMESTAMP) AS VARCHAR) AS last FROM predictions GROUP BY 1", "risk"),
     ),
     "src10_idempotent_feature_append": (
         lambda d: plain(_idempotent_append(d)),
