@@ -33,6 +33,7 @@ WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,18}(?![A-Za-z0-
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD = 0.35  # mean log-likelihood ratio of a character
 SAMPLE_ROWS = 2_000
+WORDS_A_TEXT = 200
 DRAWS = 2_000
 _CODE = np.full(128, -1, dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -90,10 +91,11 @@ def _draws() -> list[str]:
     return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), size=int(rng.integers(20, 64)))) for i in range(DRAWS)]
 
 
-def train(docs: DataFrame, text: str = "text", id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> MarkovRatio:
-    """Fit from at most `sample_rows` texts, chosen by a hash of the id, the documented bound of the training sample.
+def train(docs: DataFrame, text: str = "text", id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, words_a_text: int = WORDS_A_TEXT) -> MarkovRatio:
+    """Fit from at most `sample_rows` texts, chosen by a hash of the id, and at most `words_a_text` of the ordinary words of each, evenly
+    spread over it: the documented bounds of the training sample.
 
-    Only what the labels need leaves the executors: the values of the base spans and at most 200 other words of a text.
+    Only what the labels need leaves the executors: the values of the base spans and those words.
     """
 
     common.ship(docs.sparkSession)
@@ -105,10 +107,8 @@ def train(docs: DataFrame, text: str = "text", id: str = "doc_id", sample_rows:
                 spans = base_spans(body)
                 for start, end, _ in spans:
                     random_strings += RUN.findall(body[start:end])
-                for start, end, _ in sorted(spans, reverse=True):
-                    body = body[:start] + " " + body[end:]
-                words = WORD.findall(body)
-                ordinary += words[:: max(1, len(words) // 200)][:200]
+                words = WORD.findall(outside(body, spans))
+                ordinary += words[:: max(1, len(words) // words_a_text)][:words_a_text]
             yield pd.DataFrame({"random": [random_strings], "ordinary": [ordinary]})
 
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("body")).where(F.length("body") > 0)
@@ -119,11 +119,27 @@ def train(docs: DataFrame, text: str = "text", id: str = "doc_id", sample_rows:
     return MarkovRatio.fit(random_strings + _draws(), [s for r in found for s in r["ordinary"]])
 
 
+def outside(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a space in place of each span, in one pass; spans may overlap."""
+    out, at = [], 0
+    for start, end, _ in sorted(spans):
+        if start >= at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return " ".join([*out, text[at:]])
+
+
 def added_spans(text: str, covered: list[tuple[int, int, str]], model: MarkovRatio, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
+    """Runs that meet no covered span and look random. Runs and spans are gone through together, in order of their starts."""
     out = []
+    ordered = sorted(covered)
+    upcoming, reach = 0, 0  # spans that begin before the run's end, and the furthest end of them
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, b, _ in covered):
+        while upcoming < len(ordered) and ordered[upcoming][0] < end:
+            reach = max(reach, ordered[upcoming][1])
+            upcoming += 1
+        if start < reach:
             continue
         if model.mean(m.group()) >= threshold:
             out.append((start, end, "markov"))
