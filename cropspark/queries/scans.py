@@ -107,6 +107,15 @@ def _quarantine(d):
     return counts.join(days, "one").select("reason", "payloads", F.when(F.col("reason") == "accepted", F.col("days")).alias("days"))
 
 
+def _latest_of_buckets(d):
+    """Latest fresh row per field from the feature log in buckets of the field, joined with the farmers' newest outcome."""
+    log = store.by_field(_feature_log(d), "feature_log_by_field", scratch(d.spark, "by-field"))
+    reports = store.by_field(d.outcomes.select("field_id", "observed_at", "outcome_type"), "outcomes_by_field", scratch(d.spark, "by-field"))
+    newest = latest_by(log, ["field_id"], ["computed_at", "row_id"], ["computed_at", "row_id"])
+    seen = reports.groupBy("field_id").agg(F.count(F.lit(1)).alias("reports"), F.max("observed_at").alias("last_report"))
+    return newest.join(seen, "field_id", "left")
+
+
 def _json_safe(d):
     """Shares with a zero denominator produce NaN and infinities, which must come out as NULL."""
     pct = F.round(F.col("l_discount") * 100)
@@ -206,6 +215,13 @@ QUERIES = {
                    (SELECT o_custkey AS field_id, max(o_orderdate) AS computed_at FROM orders GROUP BY 1)
                    WHERE computed_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 48 HOUR AND TIMESTAMP '{NOW}'"""),
     ),
+    "win09_src19_latest_of_buckets": (
+        lambda d: plain(_latest_of_buckets(d)),
+        rounded("""SELECT l.field_id, CAST(l.computed_at AS VARCHAR) AS computed_at, l.row_id, r.reports, CAST(r.last_report AS VARCHAR) AS last_report FROM (
+                     SELECT o_custkey AS field_id, o_orderdate AS computed_at, o_orderkey AS row_id FROM orders
+                     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) l
+                   LEFT JOIN (SELECT field_id, count(*) AS reports, max(observed_at) AS last_report FROM outcomes GROUP BY 1) r ON r.field_id = l.field_id"""),
+    ),
     "join04_label_join": (
         lambda d: plain(store.label_join(d.predictions, d.outcomes)),
         rounded("""SELECT p.id, p.field_id, CAST(p.predicted_at AS VARCHAR) AS predicted_at, p.model_version, p.risk_score, p.severity,

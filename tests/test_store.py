@@ -185,3 +185,20 @@ def test_pruning_counts_in_the_pass_that_rewrites(spark, tmp_path):
     assert store.prune_features(spark, root, NOW) == 8  # the day of the limit goes whole
     assert store.read(spark, root, "field_features").count() == 0
     assert store.prune_features(spark, root, NOW) == 0
+
+
+def test_readers_of_buckets_do_not_shuffle_the_store(spark, tmp_path):
+    rows = [(i % 40, NOW - dt.timedelta(hours=i), i) for i in range(400)]
+    log = spark.createDataFrame(rows, "field_id long, computed_at timestamp_ntz, row_id long")
+    try:
+        a = store.by_field(log, "log_buckets", str(tmp_path / "a"), 5)
+        b = store.by_field(log.filter("row_id < 100"), "few_buckets", str(tmp_path / "b"), 5)
+        latest = store.latest_by(a, ["field_id"], ["computed_at"], ["row_id"])
+        both = latest.join(b.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "field_id")
+        assert {r.field_id: (r.row_id, r.n) for r in both.collect()} == {f: (f, sum(x % 40 == f for x in range(100))) for f in range(40)}
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        again = store.by_field(log.filter("row_id < 7"), "log_buckets", str(tmp_path / "a"), 5)
+        assert again.count() == 7
+    finally:
+        for name in ("log_buckets", "few_buckets"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
