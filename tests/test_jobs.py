@@ -232,3 +232,19 @@ def test_closed_days_leave_the_state(spark, tmp_path):
     assert [(r.day - start).days for r in rows] == [0, 1, 2, 10, 11] and [r.total for r in rows] == [2, 4, 6, 8, 10]
     held = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "total" / "state"))
     assert sorted(r.user_map_key.day - (start - dt.date(1970, 1, 1)).days for r in held.collect()) == [10, 11]
+
+
+def test_statistics_within_folds_leave_out_what_is_held_out(spark):
+    frame = MO.cut_lineage(MO.model_frame(learned_frame(spark), 3))
+    frames = dict(MO.fold_frames(frame, 3, "spatial", ["a", "b", "c"]))
+    assert set(frames) == {"a", "b", "c"}
+    ndvi = {(r.site_id, r.cluster, r.obs_date.month): r.ndvi for r in frame.select("site_id", "cluster", "obs_date", "ndvi").collect()}
+    for r in frames["b"].filter("cluster IN ('a', 'b')").select("site_id", "cluster", "obs_date", "ndvi_z_peer").limit(60).collect():
+        others = [v for (_, c, m), v in ndvi.items() if m == r.obs_date.month and ((c == "a") if r.cluster == "a" else (c != "b"))]
+        own = ndvi[r.site_id, r.cluster, r.obs_date.month]
+        if len(others) > 1:
+            assert abs(r.ndvi_z_peer - (own - np.mean(others)) / np.std(others, ddof=1)) < 1e-6
+        else:
+            assert r.ndvi_z_peer in (None, 0.0)
+    scores, _ = MO.evaluate_arms(frame, 3, max_iter=1, protocols=("spatial",), arms=("regressor",), within_fold=True)
+    assert {(r.fold, r.arm) for r in scores.collect()} == {(f, a) for f in "abc" for a in ("regressor", "majority", "persistence", "climatology")}
