@@ -62,7 +62,9 @@ def append(rows: DataFrame, root: str, table: str, batch: str | None = None) ->
     The rows are written to a staging folder that readers do not see. One rename of the batch's manifest commits them, and the files
     then move to their days. A run that dies before the rename leaves nothing; one that dies after it is finished by whoever
     reads or appends next (``recover``). A batch that is committed already adds nothing, so a run may be repeated under its name.
-    Moved days are taken up by a declared table's catalogue, so readers by name see them.
+    Moved days are taken up by a declared table's catalogue, so readers by name see them. Before the write the rows are brought
+    together by day, large days split at run time: a batch then has about as many files as days, not as days times tasks, and the
+    driver's lists of files and the moves grow with the days only.
     """
     spark = rows.sparkSession
     batch = batch or uuid.uuid4().hex
@@ -74,7 +76,8 @@ def append(rows: DataFrame, root: str, table: str, batch: str | None = None) ->
     names = STORE_TABLES[table].fieldNames()
     written = Observation()
     attempt = f"{STAGING}/{batch}-{uuid.uuid4().hex}"
-    ready = rows.select(*names).withColumn("day", F.to_date(TIME_COLUMN[table])).observe(written, F.count(F.lit(1)).alias("n"))
+    dealt = rows.select(*names).withColumn("day", F.to_date(TIME_COLUMN[table])).hint("rebalance", F.col("day"))
+    ready = dealt.observe(written, F.count(F.lit(1)).alias("n"))  # above the exchange, which an empty batch does away with
     ready.write.partitionBy("day").parquet(files.at(attempt))
     n = written.get["n"]
     if not _commit(files, batch, attempt, n):

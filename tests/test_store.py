@@ -202,3 +202,12 @@ def test_readers_of_buckets_do_not_shuffle_the_store(spark, tmp_path):
     finally:
         for name in ("log_buckets", "few_buckets"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_a_batch_has_about_as_many_files_as_days(spark, tmp_path):
+    root = str(tmp_path)
+    days = [NOW - dt.timedelta(days=d) for d in range(6)]
+    rows = feature_rows(spark, [(f, at, 0.4) for f in range(16) for at in days]).repartition(8)
+    assert store.append(rows, root, "field_features") == 96 and store.append(rows.limit(0), root, "field_features") == 0
+    assert len(list(tmp_path.glob("field_features/day=*/*.parquet"))) == 6  # was 48: one for each day and task
+    assert store.read(spark, root, "field_features").count() == 96
