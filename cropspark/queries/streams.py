@@ -30,9 +30,14 @@ _DAILY_SQL = f"""SELECT site_id, day, wet_hours, wet_temp, {dsv('wet_temp', 'wet
   WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 6 HOUR FROM events)"""
 
 
+#: Bytes of daily rows in a micro-batch.
+SINCE_SPRAY_BATCH = 64 << 20
+
+
 def _since_spray(d):
     source = _daily(d)
-    days = d.spark.readStream.schema(d.spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    # a batch takes files by their size: one of some fixed number would make as many batches as the daily job had tasks
+    days = d.spark.readStream.schema(d.spark.read.parquet(source).schema).option("maxBytesPerTrigger", SINCE_SPRAY_BATCH).parquet(source)
     with rocksdb_state(d.spark):
         out = run_to_files(SW.severity_since_spray(days), "spray")
     return SW.latest_revision(d.spark.read.parquet(out))
