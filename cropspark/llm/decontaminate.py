@@ -3,8 +3,9 @@
 Texts are compared as normalised bytes: A-Z lower-cased, each run of white space one space. The CGK random walk reads a text
 from a start: at each step it puts out the current byte and moves on or stays, by a random bit of step and byte, so a few edits
 change a few places of the output only. A table samples some places of the walk and hashes them; tables differ in walk, places
-and length. Windows start at words chosen by a hash of their first bytes, alike in items and documents, so every window of a
-leaked item that has such a word is looked up; an item whose windows leave a table empty is also searched for in whole.
+and length. Windows start at every word of items and documents, and at every byte of words longer than LONG_WORD, which are texts
+written without spaces; an item whose windows leave a table empty is also searched for in whole. A walk ends early where its first
+HEAD places are those of no item, which drops no window that would have been found.
 
 A hit names an item and an offset. The item-sized part of the document around it is aligned with the item by bit-parallel edit
 distance (exact, free ends in the document), and the pair is a match if the distance is at most MAX_EDITS of the item's length.
@@ -28,7 +29,8 @@ from cropspark.llm import common
 
 TABLES = [40, 56, 64, 96, 96, 128]  # steps of the walk in each table; a walk covers about half as many bytes
 SAMPLES = 12
-ANCHORS = 3  # one word in so many starts a window
+HEAD = 5  # sampled places after which a document's walk ends unless an item's walk begins alike
+LONG_WORD = 24  # bytes
 MAX_EDITS = 0.2
 BLOCK_BYTES = 4_000_000
 CHUNK_BYTES = 2_000_000
@@ -43,21 +45,29 @@ def normalise(text: str | None) -> bytes:
 class _Table:
     def __init__(self, steps: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, size=(steps, 256), dtype=np.uint8).astype(np.int32)
+        self.moves = rng.integers(0, 2, size=(steps, 256), dtype=np.uint8).astype(np.intp)
         self.places = set(np.sort(rng.choice(np.arange(steps // 8, steps), SAMPLES, replace=False)).tolist())
         self.steps = max(self.places) + 1
 
-    def walk(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the sampled bytes, and the place after the last step, for each start; data ends in enough zero bytes."""
-        at = starts.astype(np.int32)
-        key = np.zeros(len(at), dtype=np.uint64)
+    def walk(self, data: np.ndarray, starts: np.ndarray, heads: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, hash of the sampled bytes, hash of the first HEAD of them, place after the last step); data ends in enough
+        zero bytes. With a sieve of heads, only the starts whose head it holds are walked to the end."""
+        at = starts.astype(np.intp)
+        key = head = np.zeros(len(at), dtype=np.uint64)
+        sampled = 0
         for step in range(self.steps):
-            byte = data[at]
+            byte = data.take(at)
             if step in self.places:
                 key = (key ^ byte) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            at += self.moves[step][byte]
-        return key, at
+                sampled += 1
+                if sampled == HEAD:
+                    head = key.copy()
+                    if heads is not None:
+                        near = np.flatnonzero(heads[(key % np.uint64(SIEVE)).astype(np.int64)])
+                        starts, at, key, head, byte = starts[near], at[near], key[near], head[near], byte[near]
+            at += self.moves[step].take(byte)
+        return starts, key, head, at
 
 
 def _tables() -> list[_Table]:
@@ -65,12 +75,15 @@ def _tables() -> list[_Table]:
 
 
 def anchors(data: np.ndarray, end: int) -> np.ndarray:
-    """Starts of the chosen words before `end`; a word starts after a space or a zero byte."""
-    starts = np.flatnonzero((data[: end - 1] == 32) | (data[: end - 1] == 0)) + 1
-    if data[0] not in (0, 32):
-        starts = np.concatenate([[0], starts])
-    head = data[starts].astype(np.uint32) * 31 + data[starts + 1].astype(np.uint32) * 131 + data[starts + 2].astype(np.uint32) * 1031
-    return starts[((head * np.uint32(2654435761)) >> np.uint32(16)) % ANCHORS == 0]
+    """Starts of the windows before `end`: of every word, and every place of a long one; words lie between spaces and zero bytes."""
+    edges = np.flatnonzero((data[:end] == 32) | (data[:end] == 0))
+    begins, ends = np.concatenate([[0], edges + 1]), np.concatenate([edges, [end]])
+    inside = np.zeros(end + 1, dtype=np.int8)
+    inside[begins[begins < ends]] = 1
+    long = ends - begins > LONG_WORD
+    step = np.zeros(end + 1, dtype=np.int8)
+    step[begins[long]], step[ends[long]] = 1, -1  # two words do not touch, so no place begins one and ends another
+    return np.flatnonzero(inside | np.cumsum(step, dtype=np.int8))
 
 
 def edit_distance(item: bytes, segment: bytes) -> tuple[int, int, int]:
@@ -105,21 +118,29 @@ def _best_end(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, best_end
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    sieve = np.zeros(SIEVE, dtype=bool)
+    sieve[(keys % np.uint64(SIEVE)).astype(np.int64)] = True
+    return sieve
+
+
 class ItemIndex:
     """The windows of a block of items in every table."""
 
     def __init__(self, items: list[tuple[object, bytes]]):
         self.items = items
         self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.heads: list[np.ndarray] = []
         missing: set[int] = set()
         for table in _tables():
-            keys, owner, offset = [], [], []
+            keys, owner, offset, heads = [], [], [], [np.zeros(0, np.uint64)]
             for n, (_, body) in enumerate(items):
                 data = np.frombuffer(body + bytes(max(TABLES) + 8), dtype=np.uint8)
                 starts = anchors(data, len(body))
                 if len(starts):
-                    key, at = table.walk(data, starts)
+                    _, key, head, at = table.walk(data, starts)
                     inside = at <= len(body)
+                    heads.append(head[inside])
                     keys.append(key[inside])
                     offset.append(starts[inside])
                     owner.append(np.full(int(inside.sum()), n))
@@ -129,15 +150,13 @@ class ItemIndex:
             key, owner, offset = join(keys, np.uint64), join(owner, np.int64), join(offset, np.int64)
             order = np.argsort(key, kind="stable")
             self.entries.append((key[order], owner[order], offset[order]))
+            self.heads.append(np.unique(np.concatenate(heads)))
         self.whole = sorted(missing)
 
     def prepare(self) -> None:
         self.tables = _tables()
-        self.sieves = []
-        for key, _, _ in self.entries:
-            sieve = np.zeros(SIEVE, dtype=bool)
-            sieve[(key % np.uint64(SIEVE)).astype(np.int64)] = True
-            self.sieves.append(sieve)
+        self.sieves = [_sieve(key) for key, _, _ in self.entries]
+        self.head_sieves = [_sieve(head) for head in self.heads]
         self.automaton = None
         if self.whole:
             self.automaton = ahocorasick.Automaton()
@@ -150,17 +169,17 @@ class ItemIndex:
         """(window, item, offset of the window in the item) of each window that a table finds."""
         starts = anchors(data, end)
         found = []
-        for table, sieve, (key, owner, offset) in zip(self.tables, self.sieves, self.entries, strict=True):
+        for table, heads, sieve, (key, owner, offset) in zip(self.tables, self.head_sieves, self.sieves, self.entries, strict=True):
             if not len(key) or not len(starts):
                 continue
-            own, _ = table.walk(data, starts)
+            at, own, _, _ = table.walk(data, starts, heads)
             near = np.flatnonzero(sieve[(own % np.uint64(SIEVE)).astype(np.int64)])
             first, last = np.searchsorted(key, own[near], "left"), np.searchsorted(key, own[near], "right")
             size = last - first
             near, first, size = near[size > 0], first[size > 0], size[size > 0]
             if len(near):
                 which = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                found.append(np.column_stack([np.repeat(starts[near], size), owner[which], offset[which]]))
+                found.append(np.column_stack([np.repeat(at[near], size), owner[which], offset[which]]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
 
 

@@ -231,3 +231,25 @@ def test_benchmarks_without_items_or_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5)
     items = spark.createDataFrame([(1, "tiny words"), (2, None), (3, ""), (None, "nothing"), (4, "tiny words")], "item_id bigint, text string")
     assert sorted((r.doc_id, str(r.item_id)) for r in decontaminate.matches(docs, items).collect()) == [(1, "1"), (1, "4"), (2, "None")]
+
+
+def test_windows_start_at_every_word_and_all_along_long_ones():
+    import numpy as np
+
+    def starts(text):
+        return decontaminate.anchors(np.frombuffer(text + bytes(200), dtype=np.uint8), len(text)).tolist()
+
+    text = b" ".join(b"w%d" % i for i in range(50))
+    assert starts(text) == [0, *(m.end() for m in re.finditer(rb" ", text))]
+    assert starts(b"ab\0\0" + b"x" * 30 + b" c") == [0, *range(4, 34), 35] and starts(b"") == [] and starts(b"\0") == []
+
+
+def test_an_item_without_spaces_is_found_inside_a_run_of_signs():
+    rng = random.Random(5)
+    run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    item, plain = run(120), run(120)
+    index = decontaminate.ItemIndex([(1, decontaminate.normalise(item)), (2, decontaminate.normalise(plain))])
+    index.prepare()
+    edited = run(40) + "好" + item[1:60] + item[61:] + run(40)  # its first sign is another one, and one is left out
+    found = list(decontaminate._matches(index, [decontaminate.normalise(t) for t in (edited, run(200), "")]))
+    assert {(d, n) for d, n, *_ in found} == {(0, 0)} and 0 < found[0][4] <= 6
