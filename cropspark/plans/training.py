@@ -58,7 +58,7 @@ def label_observations(obs: DataFrame, n_clusters: int) -> DataFrame:
     ready = obs.filter(
         F.col("ndvi").isNotNull() & (F.datediff("next_date", "sensing_date") <= F.lit(MAX_LABEL_GAP_DAYS))
     )
-    joined = ready.join(
+    joined = ready.hint("merge").join(  # both sides grow with the rows, however small their files
         known,
         (F.col("cluster") == F.col("_c")) & (F.col("next_date") == F.col("_d")) & (F.col("next_ndvi") == F.col("_v")),
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cropspark import constants as K
 from cropspark.functions import registry
 from cropspark.operators import calendar, peers, ranking, weather
+from cropspark.plans import evaluation as EV
+from cropspark.session import cut_lineage
 
 DAY0 = dt.date(2024, 1, 1)
 SCHEMA = "site_id long, date date, tmax double, tmin double, rain double, et0 double, rh double, radiation double"
@@ -164,3 +166,13 @@ def test_quantiles_of_many_small_groups(spark):
     counts = ranking.cumulative_counts(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", 60, ranges=4)
     got = {r.g: r.m for r in ranking.quantile_cuts(counts, ["g"], "v", {"m": F.lit(0.3)}, 60).collect()}
     assert got == {g: pytest.approx(np.quantile([v for k, v in rows if k == g], 0.3)) for g in range(60)}
+
+def test_rows_are_not_sent_to_the_few_cuts_of_their_groups(spark):
+    made = spark.range(200_000).select(
+        (F.col("id") % 3).cast("int").alias("g"), (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 7).cast("double").alias("risk"),
+        *[F.lit(10 * (k + 1)).alias(c) for k, c in enumerate(EV.PRIOR)],
+    )
+    decided = EV.decide(cut_lineage(made), ["g"], 3)
+    assert decided.count() == 200_000
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
