@@ -8,7 +8,7 @@ from cropspark.queries.flatten import plain
 from cropspark.queries.oracle import dsv, rounded
 from cropspark.streaming import outcomes as SO
 from cropspark.streaming import wetness as SW
-from cropspark.streaming.runs import file_stream, rocksdb_state, run_to_files
+from cropspark.streaming.runs import file_stream, join_state, rocksdb_state, run_to_files
 
 
 def _readings(d):
@@ -62,7 +62,8 @@ def _links(d):
     )
     outcomes = _outcome_stream(d)
     stored = d.predictions.select("id", "field_id", F.col("predicted_at").cast("timestamp").alias("predicted_at"))
-    by_time = d.spark.read.parquet(run_to_files(SO.link_in_horizon(predictions, outcomes), "links"))
+    with join_state(d.spark):  # the files may come as one batch, all of whose rows are state until it ends
+        by_time = d.spark.read.parquet(run_to_files(SO.link_in_horizon(predictions, outcomes), "links"))
     by_id = d.spark.read.parquet(run_to_files(SO.link_by_id(outcomes, stored), "links"))
     both = by_time.unionByName(by_id)
     return both.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("predicted_at", "observed_at")})

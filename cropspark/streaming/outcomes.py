@@ -19,7 +19,8 @@ def link_in_horizon(
 
     Both sides carry a watermark and the time bounds limit the state: a prediction is kept for one
     horizon, an outcome only for the lateness. Both are hashed by field and by a time bucket of the
-    horizon, so a busy field is spread over its buckets.
+    horizon, so a busy field is spread over its buckets. A prediction stands in the two buckets it
+    reaches, since there are more outcomes than predictions and every row of either is kept as state.
     """
     micros = horizon_days * 86_400 * 1_000_000
 
@@ -27,12 +28,13 @@ def link_in_horizon(
         return F.floor(F.unix_micros(F.col(c)) / F.lit(micros)).cast("long")
 
     p = predictions.withWatermark("predicted_at", lateness).select(
-        "id", F.col("field_id").alias("p_field"), "predicted_at", bucket("predicted_at").alias("p_bucket")
+        "id", F.col("field_id").alias("p_field"), "predicted_at",
+        F.explode(F.array(bucket("predicted_at"), bucket("predicted_at") + 1)).alias("p_bucket"),
     )
     o = (
         outcomes.filter(F.col("prediction_id").isNull())
         .withWatermark("observed_at", lateness)
-        .select("field_id", *FACTS, F.explode(F.array(bucket("observed_at"), bucket("observed_at") - 1)).alias("o_bucket"))
+        .select("field_id", *FACTS, bucket("observed_at").alias("o_bucket"))
     )
     in_time = (F.col("observed_at") >= F.col("predicted_at")) & (
         F.col("observed_at") <= F.col("predicted_at") + F.expr(f"interval {horizon_days} days")

@@ -21,3 +21,26 @@ def test_the_spray_stream_takes_its_days_by_size_and_not_by_file(spark, tmp_path
     files = [f for f in os.listdir(roots["wetness"]) if f.endswith(".parquet")]
     batches = [f for f in os.listdir(roots["spray"].replace("/out", "/state/sources/0")) if f.isdigit()]
     assert len(files) > 2 and len(batches) == 1
+
+
+def test_links_keep_their_rows_outside_the_heap(spark, tmp_path, monkeypatch):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    orders = [(k, k % 3, day(5 * k)) for k in range(20)]
+    lines = [(k, n, day(5 * k + 9 * n), "A", float(n)) for k in range(20) for n in range(1, 5)]
+    for name, rows, schema in (
+        ("orders", [(*o, "1-URGENT", 5000.0) for o in orders], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_totalprice double"),
+        ("lineitem", lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_returnflag string, l_quantity double"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        [part] = (tmp_path / "made" / name).glob("*.parquet")
+        os.link(part, tmp_path / f"{name}.parquet")
+    roots, run = [], streams.run_to_files
+    monkeypatch.setattr(streams, "run_to_files", lambda stream, name: roots.append(run(stream, name)) or roots[-1])
+    before = spark.conf.get("spark.sql.streaming.join.stateFormatVersion")
+    got = [(r.id, r.observed_at.replace(tzinfo=None)) for r in streams._links(Domain(spark, str(tmp_path))).collect()]
+    by_id = [(k, at) for k, n, at, *_ in lines if n == 1]
+    by_time = [(p, at) for k, n, at, *_ in lines if n > 1 for p, field, made in orders if field == k % 3 and made <= at <= made + dt.timedelta(days=30)]
+    assert sorted(got) == sorted(by_id + by_time) and len(by_time) > 50
+    assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == before
+    kinds = {f.rsplit(".", 1)[-1] for _, _, files in os.walk(roots[0].replace("/out", "/state/state")) for f in files if not f.startswith(".")}
+    assert "changelog" in kinds and "delta" not in kinds
