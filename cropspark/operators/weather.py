@@ -89,7 +89,7 @@ def cut_windows(
     """
     carried = [c for c in asofs.columns if c != "site_id"]
     grouped = asofs.groupBy("site_id").agg(F.collect_list(F.struct(*carried)).alias("asofs"))
-    both = series.join(grouped, "site_id")
+    both = series.hint("merge").join(grouped, "site_id")  # both lie by site already; a series is far larger than its estimate
     shift = 1 if include_asof_day else 0
 
     def with_end(a: Column) -> Column:

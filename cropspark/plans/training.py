@@ -41,6 +41,7 @@ def usable_observations(daily: DataFrame, optical: DataFrame, sites: DataFrame)
     return (
         observation_history(optical)
         .filter(F.col("n_obs") >= MIN_OBSERVATIONS)
+        .hint("merge")  # both lie by site already
         .join(site_coverage(daily), "site_id")
         .join(place, "site_id")
     )

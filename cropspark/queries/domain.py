@@ -42,11 +42,25 @@ class Domain:
         """The day up to which hourly readings have arrived."""
         return self.hourly_weather.agg(F.max(F.to_date("ts"))).first()[0]
 
+    # the observations of a site, written once for the coverage, the canopy rows, the site state and the windows that read them
+
+    @cached_property
+    def stored_weather(self) -> DataFrame:
+        return cut_lineage(self.daily_weather)
+
+    @cached_property
+    def stored_optical(self) -> DataFrame:
+        return cut_lineage(self.optical_obs)
+
+    @cached_property
+    def stored_radar(self) -> DataFrame:
+        return cut_lineage(self.radar_obs)
+
     @cached_property
     def canopy(self) -> DataFrame:
         """Labelled canopy rows, written once: the peer reference and its users both start from the files."""
         return cut_lineage(
-            canopy_samples(self.daily_weather, self.optical_obs, self.radar_obs, self.sites, self.n_clusters)
+            canopy_samples(self.stored_weather, self.stored_optical, self.stored_radar, self.sites, self.n_clusters)
         )
 
     @cached_property
@@ -55,7 +69,7 @@ class Domain:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return build_samples(self.daily_weather, self.optical_obs, self.radar_obs, self.sites, self.n_clusters)
+        return build_samples(self.stored_weather, self.stored_optical, self.stored_radar, self.sites, self.n_clusters)
 
     @cached_property
     def stored_samples(self) -> DataFrame:
@@ -90,7 +104,7 @@ class Domain:
         """One row per site, written once for all the fields that share it."""
         return cut_lineage(
             site_state(
-                self.daily_weather, self.optical_obs, self.radar_obs, severity_by_station(self.hourly_weather, self.last_hourly_day),
+                self.stored_weather, self.stored_optical, self.stored_radar, severity_by_station(self.hourly_weather, self.last_hourly_day),
                 self.sites, self.clusters, peer_stats(self.canopy), self.n_clusters,
             )
         )

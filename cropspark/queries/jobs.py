@@ -107,7 +107,7 @@ def _nightly(d):
 
 def _embedding_inputs(d):
     wanted = d.canopy.select("site_id", "obs_date")
-    inputs = EM.build_inputs(wanted, d.sites, calendar.fill_gaps(d.daily_weather), d.optical_obs, d.radar_obs, d.band_obs)
+    inputs = EM.build_inputs(wanted, d.sites, calendar.fill_gaps(d.stored_weather), d.stored_optical, d.stored_radar, d.band_obs)
     steps = F.inline(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda t: F.struct(
         t.alias("t"),
         *[F.get("x", t * F.lit(17) + F.lit(i)).cast("double").alias(f"x_{c}") for i, c in enumerate(K.CHANNELS)],

@@ -13,6 +13,7 @@ from cropspark.plans import embeddings as EM
 from cropspark.plans import evaluation as EV
 from cropspark.plans import models as MO
 from cropspark.plans.features import run_summary
+from cropspark.queries import domain
 from cropspark.sources import snapshot
 from cropspark.streaming import wetness as SW
 from cropspark.streaming.runs import rocksdb_state, run_to_files
@@ -248,3 +249,20 @@ def test_statistics_within_folds_leave_out_what_is_held_out(spark):
             assert r.ndvi_z_peer in (None, 0.0)
     scores, _ = MO.evaluate_arms(frame, 3, max_iter=1, protocols=("spatial",), arms=("regressor",), within_fold=True)
     assert {(r.fold, r.arm) for r in scores.collect()} == {(f, a) for f in "abc" for a in ("regressor", "majority", "persistence", "climatology")}
+
+
+def test_observations_of_the_sites_are_built_once(monkeypatch):
+    built, taken = [], []
+    for name in ("daily_weather", "optical_obs", "radar_obs"):
+        monkeypatch.setattr(domain.M, name, lambda spark, folder, name=name: built.append(name) or name)
+    for name in ("sites", "clusters", "hourly_weather"):
+        monkeypatch.setattr(domain.M, name, lambda spark, folder, name=name: name)
+    for name in ("canopy_samples", "build_samples", "site_state"):
+        monkeypatch.setattr(domain, name, lambda *tables: taken.append(tables[:3]))
+    for name in ("peer_stats", "severity_by_station"):
+        monkeypatch.setattr(domain, name, lambda *tables: None)
+    monkeypatch.setattr(domain, "cut_lineage", lambda rows: rows)
+    d = domain.Domain(None, "")
+    d.__dict__.update(n_clusters=5, last_hourly_day=None)
+    _ = d.canopy, d.samples, d.site_state
+    assert taken == [("daily_weather", "optical_obs", "radar_obs")] * 3 and sorted(built) == sorted(taken[0])
