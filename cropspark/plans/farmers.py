@@ -44,20 +44,22 @@ def crop_diversity(farms: DataFrame, farm_crops: DataFrame) -> DataFrame:
 
 
 def farmer_features(
-    profiles: DataFrame, farms: DataFrame, farm_crops: DataFrame, crops: DataFrame, survey: DataFrame
+    profiles: DataFrame, farms: DataFrame, farm_crops: DataFrame, crops: DataFrame, survey: DataFrame, all_farms: DataFrame | None = None
 ) -> DataFrame:
-    """One row per registered farmer; farm and survey columns are NULL where nothing is recorded."""
+    """One row per registered farmer; farm and survey columns are NULL where nothing is recorded.
+
+    ``farms`` may hold the latest farms alone, so that only those are located; ``all_farms`` then has every farm for the diversity.
+    """
     farm = latest_farm(farms).withColumnRenamed("id", "farm_id")
     wanted = farm.select("farm_id")
     extra = [c for c in survey.columns if c != "farmer_id"]
+    diversity = crop_diversity(farms if all_farms is None else all_farms, farm_crops)
     joined = (
         profiles.join(farm, F.col("user_id") == F.col("farmer_profile_id"), "left")
         .drop("farmer_profile_id")
         .join(crops_per_farm(farm_crops, crops, wanted), "farm_id", "left")
         .join(survey.withColumnRenamed("farmer_id", "user_id"), "user_id", "left")
-        .join(
-            crop_diversity(farms, farm_crops).withColumnRenamed("farmer_profile_id", "user_id"), "user_id", "left"
-        )
+        .join(diversity.withColumnRenamed("farmer_profile_id", "user_id"), "user_id", "left")
     )
     farm_columns = [c for c in farm.columns if c != "farmer_profile_id"]
     return joined.select(

@@ -78,13 +78,15 @@ class Domain:
 
     @cached_property
     def located_farms(self) -> DataFrame:
-        return farmer_plans.located_farms(self.farms, self.farm_sites, self.sites)
+        """The latest farm of every farmer at its site, written once: the farmer rows and the choice of crop lines read it."""
+        latest = farmer_plans.latest_farm(self.farms).select(*self.farms.columns)
+        return cut_lineage(farmer_plans.located_farms(latest, self.farm_sites, self.sites))
 
     @cached_property
     def farmers(self) -> DataFrame:
         survey = self.survey.drop("head_gender")
         return farmer_plans.farmer_features(
-            self.farmer_profiles, self.located_farms, self.farm_crops, self.crops, survey
+            self.farmer_profiles, self.located_farms, self.farm_crops, self.crops, survey, self.farms
         )
 
     @cached_property

@@ -11,6 +11,7 @@ from cropspark import constants as K
 from cropspark.operators import calendar
 from cropspark.plans import embeddings as EM
 from cropspark.plans import evaluation as EV
+from cropspark.plans import farmers
 from cropspark.plans import models as MO
 from cropspark.plans.features import run_summary
 from cropspark.queries import domain
@@ -266,3 +267,32 @@ def test_observations_of_the_sites_are_built_once(monkeypatch):
     d.__dict__.update(n_clusters=5, last_hourly_day=None)
     _ = d.canopy, d.samples, d.site_state
     assert taken == [("daily_weather", "optical_obs", "radar_obs")] * 3 and sorted(built) == sorted(taken[0])
+
+
+def test_only_the_latest_farms_are_located(spark, monkeypatch):
+    farms = spark.createDataFrame(
+        [(1, 7, "2.0 ha", "O", dt.date(2024, 1, 1)), (2, 7, "3.0 ha", "O", dt.date(2024, 5, 1)), (3, 7, "4.0 ha", "P", None),
+         (4, 8, "unknown", "P", None), (5, 8, "1.0 ha", "O", None), (6, None, "1.0 ha", "O", None)],
+        "id long, farmer_profile_id long, farm_size string, state string, created_at date",
+    )
+    lines = spark.createDataFrame([(1, 10), (2, 11), (2, 12), (3, 11), (3, 13), (5, 10), (None, 14)], "farm_id long, crop_id long")
+    tables = {
+        "farms": farms,
+        "farm_crops": lines,
+        "farm_sites": spark.createDataFrame([(1, 100), (2, 200), (3, 100), (5, None)], "farm_id long, site_id long"),
+        "sites": spark.createDataFrame([(100, 1.0, 2.0), (200, 3.0, 4.0), (200, 3.0, 4.0)], "site_id long, latitude double, longitude double"),
+        "crops": spark.createDataFrame([(10, "Maize"), (11, "Rice"), (12, None), (13, "Rice")], "id long, name string"),
+        "farmer_profiles": spark.createDataFrame([(7,), (8,), (9,)], "user_id long"),
+        "survey": spark.createDataFrame([(7, 1.5, "x")], "farmer_id long, yield_value double, head_gender string"),
+    }
+    for name, rows in tables.items():
+        monkeypatch.setattr(domain.M, name, lambda spark, folder, rows=rows: rows)
+    d = domain.Domain(spark, "")
+    # farmer 7's latest farm comes once for each row of its site, and no farm of an earlier date comes at all
+    assert sorted((r.farmer_profile_id or 0, r.id) for r in d.located_farms.collect()) == [(0, 6), (7, 2), (7, 2), (8, 5)]
+    got = {r.user_id: r for r in d.farmers.collect()}
+    whole = farmers.farmer_features(
+        tables["farmer_profiles"], farmers.located_farms(farms, tables["farm_sites"], tables["sites"]), lines, tables["crops"], tables["survey"].drop("head_gender")
+    )
+    assert got == {r.user_id: r for r in whole.collect()}
+    assert (got[7].farm_id, got[7].site_id, got[7].crop_diversity_score) == (2, 200, 4) and got[9].crop_diversity_score == 0
