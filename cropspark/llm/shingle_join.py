@@ -2,15 +2,19 @@
 
 A document's set of shingles is hashed into groups; the counts of the groups are a point. Two sets whose union is small against
 their intersection have points that are near in every part: with sizes up to n, at most n * (1 - t) / t counts differ in all, so
-of that many parts and one more of the coordinates at least one is equal. Equal parts are the cells of the tree's upper level and
-become a plain join; below, in cells whose members are not yet connected, points are packed into leaves with the largest
+of more parts of the coordinates than that, all but as many are equal. If every set orders its parts in the same way, those with
+the most shingles first, two such sets then have an equal one among their first ones, one more than may differ. Equal parts are the
+cells of the tree's upper level and become a plain join; below, in cells whose members are not yet connected, points are packed into leaves with the largest
 coordinates of each leaf, and the overlap of a query with a leaf is bounded by the summed coordinate minima. Pairs that survive
 the bound are verified on their whole sets. Nothing is capped: a cell of any size is tested in full, save pairs that are
 connected already.
 
-Work follows different sets, not rows: equal sets are one class from the start (map-side partial aggregates), each member of a
+Most cells have one member, and a set has many cells: they travel once, sorted and packed, to the range that their key lies in, and
+only those of several classes come back as rows.
+
+Work follows different sets, not rows: equal sets are one class from the start (a number that the set's digest gives), each member of a
 cell is first verified against one representative and then one of those left apart, and only members that this leaves apart are
-compared with each other, in blocks of a fixed number of members and each pair in one cell.
+compared with each other, in blocks of a fixed number of members.
 
 Words are what lies between ASCII white space after lower-casing A-Z. A text with fewer words than a shingle has the whole
 sequence as its one shingle; null, empty and blank texts have no shingle and link with nothing. Equal rows and equal ids are kept
@@ -19,7 +23,7 @@ apart as rows. A null id is ignored in the minimum of a component. An empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,11 @@ from cropspark.llm.components import components
 GROUPS = 64  # coordinates of a point
 CELL_GROUPS = 256  # groups of one part in the upper level
 CLASS_RATIO = 2.0  # sizes in one class differ by less than this factor
-FIRST = 8  # cells of a class that a member carries along, so that a pair is made in one cell only
+SPARE = 4  # one part more for each so many, so that light ones need not be cells
+CELL_BITS = 48  # of a cell's key
+DEALT = 1 << 19  # cells that one range has on average
+PACKED = 1 << 20  # cells that a task packs at a time
+SEEN = 1 << 20  # classes whose cells a task knows to be sent
 BLOCK = 1_024  # members of a cell that one task compares
 LEAF = 16
 CHUNK_BYTES = 500_000
@@ -112,22 +120,31 @@ class Cells:
         return size * (100 - self.percent) // self.percent
 
     def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """Cell keys of a set: one for each part, in its own size class and, near the upper end, in the next one."""
+        """Cell keys of a set: of its own size class and, near the lower end, of the one below, whose smaller sets it may link with.
+
+        In a class, so many shingles as its largest set allows may differ, each of them in one part, so linked sets have all but
+        so many parts in common. In an order that follows from the parts alone, the first parts of both, one more than may differ
+        for this set, then share one. Parts with more shingles come first, since fewer sets agree in them.
+        """
         size = len(hashes)
         if self.differ(size) == 0:
             return []  # links of such sizes are equal sets
         own = int(np.searchsorted(self.bounds, size, "right")) - 1
-        classes = [own] + ([own + 1] if size * 100 // self.percent >= self.bounds[own + 1] else [])
+        classes = [own] + ([own - 1] if own and (self.bounds[own] - 1) * 100 >= size * self.percent else [])
         out = []
         for c in classes:
-            parts = self.differ(self.bounds[c + 1] - 1) + 1
+            most = self.differ(self.bounds[c + 1] - 1)
+            parts = most + 1 + most // SPARE
             group = hashes % np.uint64(parts * CELL_GROUPS)
             part = (group // np.uint64(CELL_GROUPS)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            sums = np.zeros(parts, dtype=np.uint64)
-            present, starts = np.unique(part[order], return_index=True)
+            sums, weights = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=np.uint64)
+            present, starts, counts = np.unique(part[order], return_index=True, return_counts=True)
             sums[present] = np.add.reduceat(_mix(group[order] + np.uint64(1)), starts)
-            out.append(_mix(_mix(sums) + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c << 40)))
+            weights[present] = counts
+            sums = _mix(sums + weights * _PLACE[1])
+            keys = _mix(sums + np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(c << 40)) >> np.uint64(64 - CELL_BITS)
+            out.append(keys[np.lexsort((keys, -weights.astype(np.int64)))][: min(most, self.differ(size)) + 1])
         return out
 
 
@@ -135,6 +152,17 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def point_bytes(counts: np.ndarray) -> bytes:
+    """A byte for each count, or four if one of them needs more."""
+    return (counts.astype(np.uint8) if counts.max() < 256 else counts).tobytes()
+
+
+def point_rows(points: Iterable[bytes]) -> np.ndarray:
+    """The counts again, one row for each point."""
+    rows = [np.frombuffer(p, dtype=np.uint8 if len(p) == GROUPS else np.int32) for p in points]
+    return np.array(rows, dtype=np.int32).reshape(-1, GROUPS)
+
+
 def fine_point(hashes: np.ndarray) -> bytes:
     """Counts of up to 1,024 groups, about as many as the set has members, a byte each; empty if a count needs more."""
     bits = min(10, max(6, len(hashes).bit_length()))
@@ -159,33 +187,151 @@ def digest(hashes: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") + len(hashes).to_bytes(5, "little")
 
 
+def number(digest: bytes, salt: int) -> int:
+    """64 bits of a digest, the number of the class of its set; other salts give other numbers."""
+    a, b = np.frombuffer(digest[:16], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return int(_mix(_mix(np.array([a + np.uint64(salt)])) + b).view(np.int64)[0])
+
+
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), ROWS):
             yield batch.iloc[at : at + ROWS]
 
 
-def _marks(docs: DataFrame, text: str, id: str, width: int, percent: int) -> DataFrame:
+def _marks(docs: DataFrame, text: str, id: str, width: int, percent: int, salt: int) -> DataFrame:
     cells = Cells(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches):
             sets = shingle_sets(batch["body"].tolist(), width)
-            keys = [[k.view(np.int64) for k in cells.keys(s)] for s in sets]
-            none = np.zeros(0, dtype=np.int64)
+            digests = [digest(s) for s in sets]
+            keys = [cells.keys(s) for s in sets]
+            none = np.zeros(0, dtype=np.uint64)
             yield pd.DataFrame({
                 "key": batch["key"].array,
-                "digest": [digest(s) for s in sets],
+                "digest": digests,
+                "cls": [number(d, salt) for d in digests],
                 "n": [len(s) for s in sets],
-                "cells": pd.Series([np.concatenate([*k, none]) for k in keys], dtype=object),
-                "first": pd.Series([np.concatenate([*(c[:FIRST] for c in k), none]) for k in keys], dtype=object),
-                "point": [point(s).tobytes() for s in sets],
+                "cells": [_narrow(np.concatenate([*k, none])).tobytes() for k in keys],
+                "point": [point_bytes(point(s)) for s in sets],
                 "fine": [fine_point(s) for s in sets],
             })
 
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("body"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, digest binary, n bigint, cells array<bigint>, first array<bigint>, point binary, fine binary")
+    return rows.mapInPandas(run, f"key {kind}, digest binary, cls bigint, n bigint, cells binary, point binary, fine binary")
+
+
+def _narrow(keys: np.ndarray) -> np.ndarray:
+    """The bytes of each key that are not always zero, one row each."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, : CELL_BITS // 8]
+
+
+def _wide(data: bytes | np.ndarray) -> np.ndarray:
+    """The keys again."""
+    narrow = np.frombuffer(data, dtype=np.uint8).reshape(-1, CELL_BITS // 8)
+    out = np.zeros((len(narrow), 8), dtype=np.uint8)
+    out[:, : CELL_BITS // 8] = narrow
+    return out.view(np.uint64).ravel()
+
+
+def pack(cells: np.ndarray, classes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, cells, classes) of the pairs, sorted, for every range of keys that has some."""
+    order = np.argsort(cells)
+    cells, classes = cells[order], classes[order]
+    edges = np.searchsorted((cells * np.uint64(ranges)) >> np.uint64(CELL_BITS), np.arange(ranges + 1, dtype=np.uint64))
+    for at in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[at], edges[at + 1])
+        yield at, _narrow(cells[own]).tobytes(), classes[own].tobytes()
+
+
+def shared(cells: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, class, least class of the cell), each pair once, of the cells that hold more than one class."""
+    if not len(cells):
+        return cells, classes, classes
+    order = np.argsort(cells)
+    cells, classes = cells[order], classes[order]
+    same = cells[1:] == cells[:-1]
+    several = np.append(same, False) | np.append([False], same)
+    cells, classes = cells[several], classes[several]
+    order = np.lexsort((classes, cells))
+    cells, classes = cells[order], classes[order]
+    fresh = np.append([True], (cells[1:] != cells[:-1]) | (classes[1:] != classes[:-1]))[: len(cells)]
+    cells, classes = cells[fresh], classes[fresh]
+    starts = np.flatnonzero(np.append([True], cells[1:] != cells[:-1])[: len(cells)])  # the cut is for no cells at all
+    sizes = np.diff(np.append(starts, len(cells)))
+    held = np.repeat(sizes > 1, sizes)
+    return cells[held], classes[held], np.repeat(classes[starts], sizes)[held]
+
+
+def _members(marks: DataFrame, ranges: int) -> DataFrame:
+    """(cell, cls, head) of the cells that several classes have; head is the least of them."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # equal sets have equal cells, so a task sends those of a class once
+        cells, classes, held = [], [], 0
+
+        def flush() -> pd.DataFrame:
+            rows = list(pack(_wide(b"".join(cells)), np.concatenate([*classes, np.zeros(0, np.int64)]), ranges))
+            cells.clear()
+            classes.clear()
+            return pd.DataFrame(rows, columns=["range", "cells", "classes"])
+
+        for batch in batches:
+            for cls, own in zip(batch["cls"].tolist(), batch["cells"], strict=True):
+                if cls in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(cls)
+                cells.append(own)
+                classes.append(np.full(len(own) * 8 // CELL_BITS, cls, dtype=np.int64))
+                held += len(classes[-1])
+                if held >= PACKED:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, classes = [], []
+        for batch in batches:
+            cells += batch["cells"].tolist()
+            classes += batch["classes"].tolist()
+        cell, cls, head = shared(_wide(b"".join(cells)), np.frombuffer(b"".join(classes), dtype=np.int64))
+        for at in range(0, len(cell), 65_536):
+            own = slice(at, at + 65_536)
+            yield pd.DataFrame({"cell": cell[own].view(np.int64), "cls": cls[own], "head": head[own]})
+
+    sent = marks.where(F.length("cells") > 0).select("cls", "cells").mapInPandas(packed, "range int, cells binary, classes binary")
+    return sent.repartition(ranges, "range").mapInPandas(met, "cell bigint, cls bigint, head bigint")
+
+
+def _classes(docs: DataFrame, text: str, id: str, width: int, percent: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, members), written: the numbers of a document's set, of each different set, and of shared cells.
+
+    A class is numbered by 64 bits of its set's digest, so that the cells need not wait for the classes. Should two sets have the
+    same number, all are numbered anew. The cells of single sets are let go once the shared ones are known.
+    """
+    spark, salt = docs.sparkSession, 0
+    while True:
+        own = f"{folder}/marks-{salt}"
+        marks = common.written(_marks(docs, text, id, width, percent, salt), "shingle-marks", own, codec="zstd")
+        alike = marks.where("n > 0").groupBy("cls").agg(
+            F.min("key").alias("doc"), F.count("*").alias("size"), F.first("n").alias("n"),
+            F.first("point").alias("point"), F.first("fine").alias("fine"), F.min("digest").alias("digest"), F.max("digest").alias("other"),
+        )
+        classes = common.written(alike, "shingle-classes", folder, codec="zstd")
+        if classes.where("digest != other").isEmpty():
+            break
+        common.remove(spark, own)
+        salt += 1
+    documents = common.written(marks.select("key", "n", F.expr("if(n > 0, cls, null)").alias("cls")), "shingle-documents", folder)
+    cells = marks.agg(F.sum(F.length("cells"))).first()[0] or 0
+    members = common.written(_members(marks, min(1 << 15, cells * 8 // CELL_BITS // DEALT + 1)), "shingle-cells", folder)
+    common.remove(spark, own)
+    return documents, classes.drop("other"), members
 
 
 def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -200,19 +346,27 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, width: int, percent: int, folder: str) -> DataFrame:
     """The pairs (u, v) of class numbers whose whole sets link.
 
-    Pairs are first held against the summed minima of their fine points; texts are fetched only for the classes that are left.
+    Pairs are first held against the summed minima of their points, those left against the ones of their fine points, which are
+    several times as long; texts are fetched only for the classes that are left.
     """
-    size = classes.select("cls", "n", "fine")
-    a, b = size.toDF("u", "nu", "fu"), size.toDF("v", "nv", "fv")
+    def fit(batch: pd.DataFrame, most: np.ndarray) -> np.ndarray:
+        most = np.minimum(most, np.minimum(batch["nu"], batch["nv"]).to_numpy())
+        return (100 * most >= percent * (batch["nu"] + batch["nv"] - most)).to_numpy()
+
+    def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[fit(batch, np.minimum(point_rows(batch["pu"]), point_rows(batch["pv"])).sum(1)), ["u", "v", "nu", "nv"]]
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            least = np.minimum(batch["nu"], batch["nv"]).to_numpy()
             most = [most_shared(x, y) for x, y in zip(batch["fu"], batch["fv"], strict=True)]
-            most = np.array([n if m is None else min(n, m) for n, m in zip(least, most, strict=True)], dtype=np.int64)
-            yield batch.loc[100 * most >= percent * (batch["nu"] + batch["nv"] - most), ["u", "v", "nu", "nv"]]
+            none = np.iinfo(np.int64).max
+            yield batch.loc[fit(batch, np.array([none if m is None else m for m in most], dtype=np.int64)), ["u", "v", "nu", "nv"]]
 
-    near = pairs.join(a, "u").join(b, "v").mapInPandas(bound, "u bigint, v bigint, nu bigint, nv bigint")
+    kept, size, fine = "u bigint, v bigint, nu bigint, nv bigint", classes.select("cls", "n", "point"), classes.select("cls", "fine")
+    near = pairs.join(size.toDF("u", "nu", "pu"), "u").join(size.toDF("v", "nv", "pv"), "v").mapInPandas(coarse, kept)
+    near = common.written(near, "coarse-pairs", folder)
+    near = near.join(fine.toDF("u", "fu"), "u").join(fine.toDF("v", "fv"), "v").mapInPandas(bound, kept)
     near = common.written(near, "near-pairs", folder)
     needed = near.select(F.col("u").alias("cls")).unionByName(near.select(F.col("v").alias("cls"))).distinct()
     needed = common.written(classes.join(needed, "cls").select("cls", "digest", "doc"), "near-classes", folder)
@@ -256,8 +410,7 @@ def group_pairs(rows: pd.DataFrame, percent: int) -> np.ndarray:
     """
     cell, i, j, own = (rows[c].to_numpy() for c in ("cell", "i", "j", "own"))
     cls, n, component = (rows[c].to_numpy() for c in ("cls", "n", "component"))
-    points = np.frombuffer(b"".join(rows["point"]), dtype=np.int32).reshape(-1, GROUPS)
-    first = list(rows["first"])
+    points = point_rows(rows["point"])
     starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     sizes = np.diff(np.append(starts, len(cell)))
     made = []
@@ -279,25 +432,9 @@ def group_pairs(rows: pd.DataFrame, percent: int) -> np.ndarray:
         left, right = (inside, inside) if i[start] == j[start] else (inside[own[inside] == i[start]], inside[own[inside] == j[start]])
         kept.append(tree_pairs(n, points, component, left, right, percent))
     pairs = np.concatenate(kept) if kept else small[:0]
-    pairs = pairs[here(cell, first, pairs)]
     return np.unique(np.sort(np.column_stack([cls[pairs[:, 0]], cls[pairs[:, 1]]]), axis=1), axis=0)
 
 
-def here(cell: np.ndarray, first: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be made in this cell: it is the least of the carried cells that both have, or they have none in common."""
-    keys = np.zeros((len(first), 2 * FIRST), dtype=np.int64)
-    for i, f in enumerate(first):
-        keys[i, : len(f)] = f
-        keys[i, len(f) :] = -1 - np.arange(2 * FIRST - len(f)) - i * 2 * FIRST  # no other member's
-    out = np.empty(len(pairs), dtype=bool)
-    for at in range(0, len(pairs), 4096):
-        a, b = keys[pairs[at : at + 4096, 0]], keys[pairs[at : at + 4096, 1]]
-        both = (a[:, :, None] == b[:, None, :]).any(2)
-        least = np.where(both, a, np.iinfo(np.int64).max).min(1)
-        out[at : at + 4096] = ~both.any(1) | (least == cell[pairs[at : at + 4096, 0]])
-    return out
-
-
 def _second_stars(cells: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (u, v) of a cell's first member outside its least component with the members of other components."""
     members = cells.join(found.toDF("cls", "root"), "cls", "left").select("cell", "cls", F.coalesce("root", "cls").alias("component"))
@@ -312,10 +449,10 @@ def _apart(cells: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     members = cells.join(found.toDF("cls", "root"), "cls", "left").select("cell", "cls", F.coalesce("root", "cls").alias("component"))
     mixed = members.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     mixed = mixed.where("low != high").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "cell").join(classes.select("cls", "n", "point", "first"), "cls")
+    rows = members.join(mixed, "cell").join(classes.select("cls", "n", "point"), "cls")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n", "point", "first")
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n", "point")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -345,23 +482,14 @@ def join(
     common.ship(spark)
     folder = folder or common.new_folder(spark, "shingle-join")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = common.written(_marks(docs, text, id, width, percent), "shingle-marks", folder)
-    alike = marks.where("n > 0").groupBy("digest").agg(
-        F.min("key").alias("doc"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("cells").alias("cells"),
-        F.first("first").alias("first"), F.first("point").alias("point"), F.first("fine").alias("fine"),
-    )
-    classes = common.written(alike.withColumn("cls", F.monotonically_increasing_id()), "shingle-classes", folder)
-    cells = classes.select("cls", F.explode("cells").alias("cell"))
-    heads = cells.groupBy("cell").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1").select("cell", "head")
-    members = common.written(cells.join(heads, "cell").select("cell", "cls", "head"), "shingle-cells", folder)
+    documents, classes, members = _classes(docs, text, id, width, percent, folder)
 
     verify = lambda pairs: common.written(_verified(pairs, classes, docs, text, id, width, percent, folder), "links", folder)
     stars = members.where("cls != head").select(F.col("head").alias("u"), F.col("cls").alias("v")).distinct()
     links = verify(stars)
     links = links.unionByName(verify(_second_stars(members.select("cell", "cls"), components(links, folder))))
     links = links.unionByName(verify(_apart(members.select("cell", "cls"), components(links, folder), classes, percent, partitions)))
-    documents = marks.join(classes.select("digest", "cls"), "digest", "left").select(F.col("key").alias(id), "n", "cls")
-    return documents, classes.select("cls", "n", "size", F.col("doc").alias(id)), links
+    return documents.withColumnRenamed("key", id), classes.select("cls", "n", "size", F.col("doc").alias(id)), links
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -383,14 +511,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     A null id comes after all others; rows with equal ids are told apart by a row number of their own. Only rows whose hash
     bucket holds a dropped row go through the last join.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = common.written(packed.withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = common.written(packed.withColumn("row", F.monotonically_increasing_id()), "shingle-rows", codec="zstd")
+    own = rows.select("row", F.col("doc").getField(id).alias("id"), F.col("doc").getField(text).alias("text"))
     folder = common.new_folder(docs.sparkSession, "shingle-keep")
-    documents, classes, links = join(rows, width, percent, "text", "row", folder)
+    documents, classes, links = join(own, width, percent, "text", "row", folder)
     roots = components(links, folder).toDF("cls", "root")
     placed = documents.where("cls is not null").join(roots, "cls", "left").select("row", F.coalesce("root", "cls").alias("root"))
-    named = placed.join(rows.select("row", "id"), "row").select("row", "root", F.struct(F.col("id").isNull(), "id", "row").alias("rank"))
+    named = placed.join(own.select("row", "id"), "row").select("row", "root", F.struct(F.col("id").isNull(), "id", "row").alias("rank"))
     first = named.groupBy("root").agg(F.min("rank").alias("first"))
     dropped = common.written(named.join(first, "root").where("rank != first").select("row"), "shingle-dropped")
     common.remove(docs.sparkSession, folder)

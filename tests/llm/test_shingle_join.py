@@ -94,3 +94,56 @@ def test_the_tree_leaves_out_no_linked_pair():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (n[i] + n[j] - both):
                 assert (j, i) in got
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_one_of_their_few_cells(percent):
+    rng = np.random.default_rng(percent)
+    cells = shingle_join.Cells(percent)
+    for size in [5, 9, 31, 33, 120, 127, 128, 129, 255, 300, 511, 512, 600]:
+        for _ in range(12):
+            whole = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            most = size * (100 - percent) // 100  # so many of the union may be missing from one of the two
+            gone = rng.permutation(size)[: rng.integers(0, most + 1)]
+            cut = rng.integers(0, len(gone) + 1)
+            a, b = np.unique(np.delete(whole, gone[:cut])), np.unique(np.delete(whole, gone[cut:]))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= percent * (len(a) + len(b) - both)
+            if len(a) == len(b) == both or min(cells.differ(len(a)), cells.differ(len(b))) == 0:
+                continue
+            x, y = (np.concatenate(cells.keys(s)) for s in (a, b))
+            assert len(np.intersect1d(x, y))
+    mean = np.mean([sum(map(len, cells.keys(rng.integers(0, 1 << 63, n, dtype=np.uint64)))) / n for n in range(256, 1024, 8)])
+    assert mean < (1.8 if percent == 50 else 1.45) * (100 - percent) / percent  # of the shingles that may differ; was 1.7 to 4.4 times
+
+
+def test_cells_travel_packed_and_only_shared_ones_come_back():
+    rng = np.random.default_rng(4)
+    cells = np.concatenate([rng.integers(0, 1 << 48, 3_000, dtype=np.uint64), np.repeat(rng.integers(0, 1 << 48, 5, dtype=np.uint64), 4), [7, 7, 7]]).astype(np.uint64)
+    classes = np.concatenate([rng.integers(-(1 << 63), 1 << 63, 3_000), np.tile([3, -4, 3, 9], 5), [1, 1, 1]])
+    sent = list(shingle_join.pack(cells, classes, 6))
+    assert sum(len(c) + len(k) for _, c, k in sent) == 14 * len(cells) and {r for r, _, _ in sent} == set(range(6))
+    back = [shingle_join.shared(shingle_join._wide(c), np.frombuffer(k, dtype=np.int64)) for _, c, k in sent]
+    got = sorted((int(a), int(b), int(h)) for cell, cls, head in back for a, b, h in zip(cell, cls, head, strict=True))
+    assert got == sorted((int(c), k, -4) for c in cells[3_000:3_020:4] for k in (-4, 3, 9))
+    assert all(len(x) == 0 for x in shingle_join.shared(cells[:0], classes[:0]))
+
+
+def test_sets_with_the_same_number_are_numbered_anew(docs_of, monkeypatch):
+    marks = shingle_join._marks
+
+    def one_number(*args):
+        rows = marks(*args)
+        return rows.withColumn("cls", F.lit(5).cast("bigint")) if args[-1] == 0 else rows
+
+    monkeypatch.setattr(shingle_join, "_marks", one_number)
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words here"), (4, "")]
+    got = shingle_join.group(docs_of(rows), 3, 90).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_force(rows, 3, 90)
+
+
+def test_points_keep_large_counts():
+    points = [np.arange(64, dtype=np.int32), np.full(64, 70_000, dtype=np.int32)]
+    packed = [shingle_join.point_bytes(p) for p in points]
+    assert list(map(len, packed)) == [64, 256] and (shingle_join.point_rows(packed) == points).all()
+    assert shingle_join.point_rows([]).shape == (0, 64)
