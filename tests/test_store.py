@@ -211,3 +211,10 @@ def test_a_batch_has_about_as_many_files_as_days(spark, tmp_path):
     assert store.append(rows, root, "field_features") == 96 and store.append(rows.limit(0), root, "field_features") == 0
     assert len(list(tmp_path.glob("field_features/day=*/*.parquet"))) == 6  # was 48: one for each day and task
     assert store.read(spark, root, "field_features").count() == 96
+
+
+def test_stored_keys_do_not_go_through_the_driver(spark):
+    stored, batch = feature_rows(spark, [(1, NOW, 0.1)]), feature_rows(spark, [(1, NOW, 0.2), (2, NOW, 0.3)])
+    fresh = store.new_rows(stored, batch, ["field_id", "computed_at"], ["latitude", "longitude"])
+    assert [r.field_id for r in fresh.collect()] == [2]
+    assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
