@@ -44,3 +44,21 @@ def test_links_keep_their_rows_outside_the_heap(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == before
     kinds = {f.rsplit(".", 1)[-1] for _, _, files in os.walk(roots[0].replace("/out", "/state/state")) for f in files if not f.startswith(".")}
     assert "changelog" in kinds and "delta" not in kinds
+
+
+def test_links_do_not_end_with_a_batch_that_only_deletes(spark, tmp_path, monkeypatch):
+    for name, rows, schema in (
+        ("orders", [(k, 1, dt.datetime(2024, 1 + k % 9, 3)) for k in range(20)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        ("lineitem", [(k, 2, dt.datetime(2024, 1 + k % 9, 9), "A", 1.0) for k in range(20)], "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_returnflag string, l_quantity double"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        [part] = (tmp_path / "made" / name).glob("*.parquet")
+        os.link(part, tmp_path / f"{name}.parquet")
+    orders = streams.file_stream(spark, str(tmp_path), "orders").selectExpr("o_orderkey AS id", "o_custkey AS field_id", "cast(o_orderdate AS timestamp) AS predicted_at")
+    lines = streams.file_stream(spark, str(tmp_path), "lineitem").selectExpr(
+        "cast(null AS long) AS prediction_id", "1L AS field_id", "cast(l_shipdate AS timestamp) AS observed_at", "'harvest' AS outcome_type"
+    )
+    with streams.join_state(spark):
+        out = streams.run_to_files(streams.SO.link_in_horizon(orders, lines), "links", str(tmp_path / "run"))
+    assert spark.read.parquet(out).count() == sum(a % 9 == b % 9 for a in range(20) for b in range(20))
+    assert len([f for f in os.listdir(tmp_path / "run" / "state" / "offsets") if f.isdigit()]) == 1
